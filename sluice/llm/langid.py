@@ -1,7 +1,8 @@
 """Language identification by compression: the language whose dictionary encodes a text in the fewest bytes.
 
 Each language has a zstandard raw-content dictionary of excerpts from labelled texts. A text, reduced to lower-case
-letters, is encoded whole, in blocks, by each dictionary; the smallest sum wins and is rejected if the next is near.
+letters, is encoded whole, in blocks, by each dictionary; the smallest sum wins. Where the next is near, a slower
+coder encodes the text again; if it is near still, the text is rejected.
 
 Inputs and edge cases: a null text, or one without a letter, is `und`, score 0, rejected. Ties go to the language with
 more labelled texts, then to the first name. Equal rows get equal results; an input without labelled rows gives `und`
@@ -21,10 +22,14 @@ from pyspark.sql import functions as F
 
 #: For each language: so many excerpts of so many characters at most make its dictionary (64 KB and more).
 EXCERPTS, EXCERPT_CHARS = 96, 1000
-BLOCK = 4096
-LEVEL = 3
-#: Bytes by which the next language must be longer, as a share of the smallest code, and at least.
-MARGIN, MARGIN_BYTES = 0.01, 1
+BLOCK = 2048
+#: Settings of the two coders; short matches count, as texts of one language share syllables more than words.
+COARSE = {"min_match": 3}
+FINE = {"min_match": 3, "strategy": zstandard.STRATEGY_BTOPT, "search_log": 4}
+LEVEL = 5
+#: Bytes by which the next language must be longer, as a share of the smallest code: else the fine coder is asked, or
+#: the text is rejected. It is rejected too if it is not longer by MARGIN_BYTES.
+NEAR, MARGIN, MARGIN_BYTES = 0.05, 0.003, 1
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -53,28 +58,35 @@ def learn(labelled: DataFrame, excerpts: int = EXCERPTS, chars: int = EXCERPT_CH
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, str]):
-        self.names, self.coders = list(dictionaries), []
-        for text in dictionaries.values():
-            data = zstandard.ZstdCompressionDict(text.encode() or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-
-    def sizes(self, text: str) -> list[int]:
-        data = text.encode(errors="replace")
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        return [sum(len(code(b)) for b in blocks) for code in self.coders]
+        self.names = list(dictionaries)
+        self.coarse, self.fine = ([self._coder(text.encode() or b" ", how) for text in dictionaries.values()] for how in (COARSE, FINE))
+
+    @staticmethod
+    def _coder(data: bytes, how: dict):
+        found = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(data), source_size=BLOCK, write_content_size=0, write_checksum=0, write_dict_id=0, **how)
+        found.precompute_compress(compression_params=how)
+        return zstandard.ZstdCompressor(dict_data=found, compression_params=how).compress
+
+    @staticmethod
+    def _judge(coders: list, blocks: list[bytes]) -> tuple[list[int], int, int]:
+        """Bytes by language, the first with the fewest, and by how many the next is longer."""
+        sizes = [sum(len(code(b)) for b in blocks) for code in coders]
+        best = sizes.index(min(sizes))
+        return sizes, best, min((x for i, x in enumerate(sizes) if i != best), default=2 * sizes[best]) - sizes[best]
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         text = letters(text or "")
         if not text or not self.names:
             return "und", 0.0, True
-        sizes = self.sizes(text)
-        least = min(sizes)
-        best = sizes.index(least)
-        rest = min((x for i, x in enumerate(sizes) if i != best), default=2 * least + 8)
-        scale = max(1.0, MARGIN * least)
-        score = 1 / sum(math.exp(max(-50.0, (least - x) / scale)) for x in sizes)
-        return self.names[best], score, rest - least < max(MARGIN_BYTES, MARGIN * least)
+        data = text.encode(errors="replace")
+        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        sizes, best, margin = self._judge(self.coarse, blocks)
+        if margin < NEAR * sizes[best]:
+            sizes, best, margin = self._judge(self.fine, blocks)
+        scale = max(1.0, 0.01 * sizes[best])
+        score = 1 / sum(math.exp(max(-50.0, (sizes[best] - x) / scale)) for x in sizes)
+        return self.names[best], score, margin < max(MARGIN_BYTES, MARGIN * sizes[best])
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, str]) -> DataFrame:
