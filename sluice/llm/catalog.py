@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from sluice.llm import archives, decontam, langid, rules
+from sluice.llm import archives, decontam, langid, packing, rules, shards
 
-_MODULES = (decontam, archives, rules, langid)
+_MODULES = (decontam, archives, rules, shards, packing, langid)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
