@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from sluice.llm import archives, decontam, langid, minhash, packing, rules, shards
+from sluice.llm import archives, decontam, langid, minhash, packing, rules, shards, suffixes
 
-_MODULES = (decontam, archives, rules, shards, packing, langid, minhash)
+_MODULES = (decontam, archives, rules, shards, suffixes, packing, langid, minhash, suffixes)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
