@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from sluice.llm import archives, decontam, langid, minhash, packing, rules, shards, suffixes
+from sluice.llm import archives, crf, decontam, langid, lattice, minhash, packing, rules, shards, suffixes
 
 _MODULES = (decontam, archives, rules, shards, suffixes, packing, langid, minhash, suffixes)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
