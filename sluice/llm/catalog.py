@@ -2,6 +2,6 @@
 
 from sluice.llm import archives, crf, decontam, langid, lattice, minhash, packing, rules, shards, suffixes
 
-_MODULES = (decontam, archives, rules, shards, suffixes, packing, langid, minhash, suffixes)
+_MODULES = (decontam, archives, lattice, rules, crf, suffixes, shards, packing, langid, minhash)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

@@ -104,6 +104,17 @@ def identify(docs: DataFrame, dictionaries: dict[str, str]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
+def drop_rejected(docs: DataFrame, dictionaries: dict[str, str]) -> DataFrame:
+    """The documents whose language is told; rows and columns pass through as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classify = Classifier(dictionaries)
+        for b in batches:
+            yield b.filter(pa.array([not classify(x.as_py())[2] for x in b["text"]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(divisor: int, remainder: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder
 
