@@ -5,15 +5,12 @@ A written table cuts lineage: a lost executor costs the tasks that read it, not
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEAN_UP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where it is unset, as in tests, a new temporary folder becomes it."""
     path = spark.conf.get("spark.checkpoint.dir", "")
@@ -27,17 +24,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@contextlib.contextmanager
-def shuffle_clean_up(spark: SparkSession):
-    """Lets each execution within drop its own shuffle files when it ends."""
-    before = {k: spark.conf.get(k, None) for k in _CLEAN_UP}
-    try:
-        for k in _CLEAN_UP:
-            spark.conf.set(k, "true")
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that are over; it does so when the driver's JVM collects
+    its garbage, which a driver with little to do may put off for half an hour."""
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works beside the driver
 
 
 class Scratch:
@@ -50,11 +41,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.paths, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}, 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """free: the plan shuffles much, which is not needed once it is stored."""
         self.n += 1
         path = f"{self.root}/{self.n:02d}-{name}"
-        with shuffle_clean_up(self.spark):
-            df.write.parquet(path)
+        df.write.parquet(path)
+        if free:
+            free_shuffles(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
