@@ -38,7 +38,7 @@ def read_write_counts(log: DataFrame) -> DataFrame:
 def latency_histogram(log: DataFrame) -> DataFrame:
     ms, names = F.col("exec_ms"), ["le_10", "le_200", "le_1000", "over_1000"]
     bucket = F.when(ms <= 10, names[0]).when(ms <= 200, names[1]).when(ms <= 1000, names[2]).otherwise(names[3])
-    return log.select("user", bucket.alias("bucket")).groupBy("user").pivot("bucket", names).agg(F.count("*")).na.fill(0)
+    return log.select("user", bucket.alias("bucket")).groupBy("user").pivot("bucket", names).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def time_of_day_histogram(log: DataFrame, zone: str = "UTC") -> DataFrame:
