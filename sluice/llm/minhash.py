@@ -4,10 +4,12 @@ Two permutations of the 32-bit shingle hashes make a whole signature: the first,
 least p(s(x) + k) over the set, p being the second permutation and the sum circular. Bands of coordinates propose
 pairs, which the exact Jaccard similarity of the full sets confirms; confirmed links make components.
 
-A bucket of equal bands, however large, is not expanded into pairs: all its members are held against its least one,
-components are formed, and members outside the bucket's largest component go on, against all members of other
-components: PIVOTS of them a round, or all at once where they are SMALL or fewer. So all members of different
-components meet, while a bucket of copies of one text costs one comparison a member.
+A bucket of equal bands, however large, is not expanded into pairs. All its members are held against its least one and
+components are formed; where a bucket still spans several, its members are held against its most central text (the one
+whose shingles are the most common there), which gathers copies of one text. What then lies in different components
+can only be linked if it shares a shingle among its rarest: of two sets of n <= m shingles with similarity t, the first
+n - 2t/(1+t) n + 1 of the smaller and the first m - tm + 1 of the larger, in one order, must meet. Those pairs, which
+are few between texts that are not similar, are confirmed too, so that no proposed link is lost.
 
 Inputs and edge cases: a null or empty text, or one of white space, has an empty set, which links with nothing; a text
 of fewer words than a shingle has one shingle, its whole sequence; equal sets are one class and meet others once; rows
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 from sluice.llm.components import connected_components
 from sluice.sources.scratch import Scratch
 
-SMALL, PIVOTS = 32, 16
 #: Words whose hashes a task remembers; shingles whose signatures are worked out at once (they fit a core's cache).
 _MEMORY, _CHUNK = 1 << 20, 1 << 14
 
@@ -135,6 +136,33 @@ def _sets(docs: DataFrame, how: Setting) -> DataFrame:
     return docs.mapInArrow(run, "v bigint, s array<bigint>")
 
 
+def _rarest_first(vertices: DataFrame, sets: DataFrame, how: Setting) -> DataFrame:
+    """(v, n) with the rarest shingles (their count among these sets, and itself) in order, as many as a partner of any
+    size may have to meet, and `common`, the mean count of all its shingles. Counts only order the shingles."""
+    tokens = vertices.join(sets, "v").select("v", "n", F.explode("s").alias("t"))
+    counts = tokens.groupBy("t").agg(F.count("*").alias("k"))
+    rows = tokens.join(counts, "t").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("o"), F.avg("k").alias("common"))
+    return rows.select("v", "n", "common", F.slice("o", 1, _prefix(F.col("n"), how.percent, 100)).alias("o"))
+
+
+def _prefix(n, share: int, of: int):
+    """n - ceil(n * share / of) + 1."""
+    return (n - F.ceil(n * share / F.lit(of)) + 1).cast("int")
+
+
+def _meet_by_rarest(rows: DataFrame, components: DataFrame, how: Setting) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked by what their rarest shingles say."""
+    t = how.percent
+    rows = rows.join(components, "v", "left").withColumn("c", F.coalesce("component", "v"))
+    large = rows.select("v", "n", "c", F.posexplode("o").alias("i", "x")).where("x.k > 1").select(F.col("x.t").alias("t"), *[F.col(x).alias(f"{x}_l") for x in ("v", "n", "c", "i")])
+    small = rows.select("v", "n", "c", F.posexplode(F.slice("o", 1, _prefix(F.col("n"), 2 * t, 100 + t))).alias("i", "x")).where("x.k > 1").select(F.col("x.t").alias("t"), "v", "n", "c", "i")
+    fits = (F.col("c") != F.col("c_l")) & (F.struct("n", "v") < F.struct("n_l", "v_l")) & (100 * F.col("n") >= t * F.col("n_l"))
+    left = F.least(F.col("n") - F.col("i"), F.col("n_l") - F.col("i_l"))  # shingles that can still meet, this one included
+    fits = fits & ((100 + t) * left >= t * (F.col("n") + F.col("n_l")))
+    met = small.join(large, (small["t"] == large["t"]) & fits)
+    return met.select(F.least("v", "v_l").alias("a"), F.greatest("v", "v_l").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, how: Setting = Setting()) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links, itself included) of every document."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -161,34 +189,31 @@ def near_duplicates(docs: DataFrame, how: Setting = Setting()) -> DataFrame:
         can = (F.col("x") != F.col("y")) & (100 * F.least("n_x", "n_y") >= how.percent * F.greatest("n_x", "n_y"))
         return rows.where(can).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+    def step(pairs: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Links so far, with those among the pairs, and the components that they make."""
+        links = confirm(pairs).where("linked").select("a", "b")
+        links = scratch.save(links if before is None else before.union(links), "linked")
+        return links, connected_components(links, scratch)
+
     pairs = candidates(members.select(F.col("v").alias("x"), F.col("n").alias("n_x"), F.col("lo").alias("y"), F.col("lo_n").alias("n_y")))
-    checked = scratch.save(confirm(pairs), "checked")
-    pivots = scratch.save(members.select("b", F.col("lo").alias("v")).distinct(), "pivots")
-    while True:
-        components = connected_components(checked.where("linked").select("a", "b"), scratch)
-        named = members.join(components, "v", "left").select("b", "v", "n", F.coalesce("component", "v").alias("c"))
-        named = named.join(pivots, ["b", "v"], "left_anti")  # what has met its whole bucket is done there
-        counts = named.groupBy("b", "c").agg(F.count("*").alias("k"))
-        split = counts.groupBy("b").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.sum("k").alias("all"), F.max("k").alias("k")).where("all > k")
-        named = scratch.save(named.join(split.select("b", "most", (F.col("all") - F.col("k")).alias("left")), "b"), "open")
-        outside = named.where("c <> most")
-        few = outside.where(F.col("left") <= SMALL)
-        many = outside.where(F.col("left") > SMALL)
-        new = many.groupBy("b", F.pmod(F.xxhash64("v"), F.lit(PIVOTS)).alias("salt")).agg(F.min("v").alias("y"))
-        new = new.join(many.select("b", F.col("v").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y")), ["b", "y"])
-        new = scratch.save(new.select("b", "y", "n_y", "c_y").union(few.select("b", "v", "n", "c")), "meet")
-        meet = named.join(new, "b").where("c <> c_y").select(F.col("v").alias("x"), F.col("n").alias("n_x"), "y", "n_y")
-        pairs = scratch.save(candidates(meet).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty() and many.isEmpty():
-            break
-        more = scratch.save(checked.union(confirm(pairs)), "checked")
-        done = scratch.save(pivots.union(new.select("b", F.col("y").alias("v"))), "pivots")
-        scratch.drop(checked, pivots, components, named, new, pairs)
-        checked, pivots = more, done
+    links, components = step(pairs, None)
+    named = members.join(components, "v", "left").select("b", "v", "n", F.coalesce("component", "v").alias("c"))
+    split = named.groupBy("b").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("b")
+    split = scratch.save(named.join(split, "b"), "split")
+    if not split.isEmpty():
+        shared_by = scratch.save(_rarest_first(split.select("v", "n").distinct(), sets, how), "rarest")
+        central = split.join(shared_by.select("v", "common"), "v").groupBy("b").agg(F.max_by(F.struct("v", "n", "c"), F.struct("common", F.negate("v"))).alias("p"))
+        meet = split.join(central, "b").where(F.col("c") != F.col("p.c")).select(F.col("v").alias("x"), F.col("n").alias("n_x"), F.col("p.v").alias("y"), F.col("p.n").alias("n_y"))
+        first, second = links, components
+        links, components = step(candidates(meet), links)
+        scratch.drop(first, second)
+        first, second = links, components
+        links, components = step(_meet_by_rarest(shared_by, components, how), links)
+        scratch.drop(first, second, shared_by)
     out = base.join(classes, "key", "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(components.withColumnRenamed("v", "rep"), "rep", "left")
     out = scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")), "result")
-    scratch.drop(base, classes, members, sets, checked, pivots, components, named, new, pairs)
+    scratch.drop(base, classes, members, sets, links, components, split)
     return out
 
 
