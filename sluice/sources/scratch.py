@@ -27,6 +27,7 @@ def partitions(spark: SparkSession) -> int:
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that are over; it does so when the driver's JVM collects
     its garbage, which a driver with little to do may put off for half an hour."""
+    spark.range(1).count()  # Spark holds on to the plan that ran last; now that is this one
     spark.sparkContext._jvm.System.gc()
     time.sleep(0.5)  # the cleaner works beside the driver
 
