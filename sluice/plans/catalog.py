@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sluice.plans import queries_sql
+from sluice.plans import queries_clean, queries_io, queries_logs, queries_shard, queries_sql, queries_stream, queries_text, queries_web
 
-_MODULES = (queries_sql,)
+_MODULES = (queries_sql, queries_shard, queries_clean, queries_logs, queries_text, queries_web, queries_io, queries_stream)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
