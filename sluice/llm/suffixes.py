@@ -34,6 +34,8 @@ LENGTH = 100
 V, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 #: Bytes of text in a block; ranks in a bucket; starts looked at in one go (a multiple of V).
 BLOCK_BYTES, BUCKET_RANKS, SEGMENT = 8 << 20, 2 << 20, V << 14
+#: Ranges of suffix ranks that are sorted one after another.
+PASSES = 3
 _BLOCK = "_sluice_block"
 
 
@@ -107,9 +109,22 @@ def _within(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def _repeated(x: np.ndarray) -> np.ndarray:
+def _new(x: np.ndarray) -> np.ndarray:
+    """Where a sorted column has a value for the first time."""
+    return np.append(True, x[1:] != x[:-1]) if len(x) else np.zeros(0, bool)
+
+
+def _least(values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """For each row the least value among rows of its rank; the ranks are in order."""
+    at = np.flatnonzero(_new(ranks))
+    return np.repeat(np.minimum.reduceat(values, at), np.diff(np.append(at, len(ranks)))) if len(at) else values
+
+
+def _twice(x: np.ndarray) -> np.ndarray:
+    """Each value in order, once or, if there are more, twice."""
     x = np.sort(x)
-    return np.unique(x[1:][x[1:] == x[:-1]])
+    first = _new(x)
+    return x[first | np.append(True, first[:-1])] if len(x) else x
 
 
 class _Block:
@@ -133,10 +148,11 @@ class _Block:
         found = [self.ranks.samples(self.ranks.sums(data))[1] >> self.cut for _, _, data in self.pieces()]
         return np.concatenate(found) if found else np.empty(0, np.uint64)
 
-    def suffixes(self, elsewhere: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rank, text, start) of the suffixes that may have an equal, by (rank, text, start)."""
-        known = np.unique(np.concatenate([*(_unpack(x)[0] for x in elsewhere), _repeated(self.sample_ranks())]))
-        ranks, texts, starts = [], [], []
+    def suffixes(self, tied: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rank, text, start, whether it is the block's first of its rank), by rank, of the suffixes that may have an
+        equal: those near a tied sample."""
+        known = np.sort(np.concatenate([np.empty(0, np.uint64), *(_unpack(x)[0] for x in tied)]))
+        ranks, texts, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         for i, offset, data in self.pieces():
             sums = self.ranks.sums(data)
             places, own = self.ranks.samples(sums)
@@ -146,11 +162,10 @@ class _Block:
                 ranks.append(self.ranks.at(sums, at, self.ranks.length))
                 texts.append(np.full(len(at), i, np.int32))
                 starts.append(at + offset)
-        if not ranks:
-            return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64)
         ranks, texts, starts = map(np.concatenate, (ranks, texts, starts))
-        by = np.argsort(ranks, kind="stable")  # texts and starts ascend already
-        return ranks[by], texts[by], starts[by]
+        by = np.argsort(ranks)
+        ranks = ranks[by]
+        return ranks, texts[by], starts[by], by == _least(by, ranks)  # unsorted, texts and starts ascend
 
 
 _SENT = pa.schema([("bucket", pa.int64()), (_BLOCK, pa.int64()), ("data", pa.binary())])
@@ -194,45 +209,51 @@ def _repeats(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame,
     texts = docs.select(_BLOCK, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def sample(table: pa.Table) -> pa.Table:
-        return _deal(table[_BLOCK][0].as_py(), how["buckets"], how["bits"], np.unique(_Block(table, how).sample_ranks()))
+        return _deal(table[_BLOCK][0].as_py(), how["buckets"], how["bits"], _twice(_Block(table, how).sample_ranks()))
 
     def sort_sample(table: pa.Table) -> pa.Table:
         blocks, ranks = _gather(table, 1)
-        by = np.argsort(ranks, kind="stable")
+        by = np.argsort(ranks)
         blocks, ranks = blocks[by], ranks[by]
         same = ranks[1:] == ranks[:-1]
         tied = np.append(same, False) | np.insert(same, 0, False) if len(ranks) else np.zeros(0, bool)
         return _answer(blocks[tied], ranks[tied], 0)
 
-    def suffix(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _SENT.empty_table()
-        block = _Block(left, how)
-        ranks, at, _ = block.suffixes(_replies(right, 0))
-        first = np.append(True, ranks[1:] != ranks[:-1]) if len(ranks) else np.zeros(0, bool)
-        ids = np.array([-(1 << 63) if x is None else x for x in block.ids], np.int64)[at[first]]
-        return _deal(left[_BLOCK][0].as_py(), how["buckets"], 64, ranks[first], ids.view(np.uint64))
+    def suffix(turn: int):
+        low, high = (np.uint64((t << 64) // PASSES - (t > 0)) for t in (turn, turn + 1))
+
+        def send(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return _SENT.empty_table()
+            block = _Block(left, how)
+            ranks, at, _, first = block.suffixes(_replies(right, 0))
+            first &= (ranks <= high) & ((ranks > low) | (turn == 0))
+            ids = np.array([-(1 << 63) if x is None else x for x in block.ids], np.int64)[at[first]]
+            return _deal(left[_BLOCK][0].as_py(), how["buckets"], 64, ranks[first], ids.view(np.uint64))
+
+        return send
 
     def sort_suffixes(table: pa.Table) -> pa.Table:
         blocks, ranks, ids = _gather(table, 2)
-        by = np.lexsort((ids.view(np.int64), ranks))
-        blocks, ranks = blocks[by], ranks[by]
-        later = np.insert(ranks[1:] == ranks[:-1], 0, False)
+        by = np.argsort(ranks)
+        blocks, ranks, ids = blocks[by], ranks[by], ids.view(np.int64)[by]
+        later = ids != _least(ids, ranks)  # a text is in one block only
         return _answer(blocks[later], ranks[later], 1)
 
-    sampled = scratch.save(texts.groupBy(_BLOCK).applyInArrow(sample, _SENT_SQL).groupBy("bucket").applyInArrow(sort_sample, _BACK_SQL), "sample")
-    sent = texts.groupBy(_BLOCK).cogroup(sampled.groupBy(_BLOCK)).applyInArrow(suffix, _SENT_SQL)
-    later = scratch.save(sent.groupBy("bucket").applyInArrow(sort_suffixes, _BACK_SQL), "later")
-    return docs, sampled.union(later), how
+    sampled = scratch.save(texts.groupBy(_BLOCK).applyInArrow(sample, _SENT_SQL).groupBy("bucket").applyInArrow(sort_sample, _BACK_SQL), "sample", free=True)
+    known = sampled
+    for turn in range(PASSES):
+        sent = texts.groupBy(_BLOCK).cogroup(sampled.groupBy(_BLOCK)).applyInArrow(suffix(turn), _SENT_SQL)
+        known = known.union(scratch.save(sent.groupBy("bucket").applyInArrow(sort_suffixes, _BACK_SQL), "later", free=True))
+    return docs, known, how
 
 
 def _removed(left: pa.Table, right: pa.Table, how: dict):
     """(row, text, mask of removed bytes or None) of each text of a block."""
     block = _Block(left, how)
-    ranks, at, starts = block.suffixes(_replies(right, 0))
+    ranks, at, starts, first = block.suffixes(_replies(right, 0))
     known = [_unpack(x)[0] for x in _replies(right, 1)]
-    later = np.append(False, ranks[1:] == ranks[:-1]) if len(ranks) else np.zeros(0, bool)
-    later |= _within(np.sort(np.concatenate(known)) if known else np.empty(0, np.uint64), ranks)
+    later = ~first | _within(np.sort(np.concatenate(known)) if known else np.empty(0, np.uint64), ranks)
     at, starts = at[later], starts[later]
     by = np.argsort(at, kind="stable")
     at, starts = at[by], starts[by]
