@@ -44,7 +44,7 @@ def r2(s, d):
 
 
 @register("r3_stream_statement_stats", """SELECT date_trunc('hour', ts) AS start, user_id AS "user", count(*)::BIGINT AS n, max(trunc(value)::BIGINT) AS most_ms, sum(trunc(value)::BIGINT)::BIGINT AS total_ms FROM events
-GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def r3(s, d):
     rows, root = replay(s, log(s, d), "end_ts")
     return R.run(R.stream_statement_stats(rows), root)
