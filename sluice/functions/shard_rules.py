@@ -227,12 +227,15 @@ def murmur_points(n: int, seed: int = 0, vnodes: int = 160, weights: dict[int, i
 def murmur_ring(n: int, seed: int = 0, vnodes: int = 160, weights: dict[int, int] | None = None) -> Rule:
     places, shards = murmur_points(n, seed, vnodes, weights)
 
-    @F.pandas_udf("int")
-    def find(values: pd.Series) -> pd.Series:
-        at = np.searchsorted(places, [murmur3(v or "", seed) for v in values], "left")
-        return pd.Series(shards[at % len(places)])
+    def rule(c):
+        @F.pandas_udf("int")
+        def find(values: pd.Series) -> pd.Series:
+            at = np.searchsorted(places, [murmur3(v or "", seed) for v in values], "left")
+            return pd.Series(shards[at % len(places)])
 
-    return lambda c: F.when(c.isNotNull(), find(c.cast("string")))
+        return F.when(c.isNotNull(), find(c.cast("string")))
+
+    return rule
 
 
 @_rule
