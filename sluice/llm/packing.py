@@ -12,11 +12,15 @@ an empty table gives no rows. Only the last window can be short.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,39 +40,78 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class PieceIds(dict):
+    """Ids of the vocabulary's own pieces (letters of a word, a digit, a run of signs), remembered."""
+
+    def __init__(self, tokenize):
+        super().__init__()
+        self.tokenize = tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= _MEMORY:
+            self.clear()
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = self[piece] = array("H", [t.id for t in self.tokenize(spelled)]).tobytes()
+        return ids
+
+
 class WordIds(dict):
     """Ids of white-space separated words, remembered. The vocabulary's rules never look beyond white space, so that
-    the ids of a text are those of its words, one after another."""
+    the ids of a text are those of its words, one after another.
+
+    A word of printable Latin characters is put in lower case and parted here, as the vocabulary's file says, and its
+    pieces go to the vocabulary's model; any other word takes the whole way through the tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.size = tokenizer.encode, tokenizer.get_vocab_size()
+        self.encode, self.size, self.pieces = tokenizer.encode, tokenizer.get_vocab_size(), PieceIds(tokenizer.model.tokenize)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _MEMORY:
             self.clear()
-        ids = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+        low = word.lower()
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            if low.isalpha():
+                ids = self.pieces[low]
+            else:
+                ids = b"".join(map(self.pieces.__getitem__, (_ASCII_PIECE if low.isascii() else _PIECE).findall(low)))
+        else:
+            ids = array("H", self.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
         """Little-endian 16-bit ids of a text and the end token."""
         # Only white space that all Unicode tables agree on parts words here; the tokenizer itself sees to the rest.
-        words = text.translate(_SPACES).split(" ")
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join([*map(self.__getitem__, words), _END])
 
 
-_SPACES = str.maketrans("\t\n\r", "   ")
+@functools.lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """What a Python worker remembers, from one task to the next."""
+    return WordIds(path)
+
+
 _END = np.array([END], "<u2").tobytes()
+#: The vocabulary file's pattern of pieces, and the letters by which byte-level vocabularies spell bytes:
+#: printable bytes as themselves, the others by the letters from U+0100 on.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u0240]*")
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_OTHERS)}
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, source, tokens (with the end), ids (16-bit, as the vocabulary allows) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         if words.size > 1 << 16:
             raise ValueError(f"{path} has {words.size} ids; 16 bits hold 65,536")
         for b in batches:
