@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-#: clean(): a run of hit words at least this long is cut, and so is any run in a text with more than this share hit.
+#: clean(): a run of hit words at least this long is cut, and so are a run that holds a whole short item, however few
+#: its words, and any run in a text with more than this share hit.
 MIN_RUN, MAX_COVERAGE = 10, 0.5
 #: Characters of items in one automaton; a larger benchmark is scanned in several blocks.
 BLOCK_CHARS = 1 << 21
@@ -106,7 +107,7 @@ class SuffixAutomaton:
         return clone
 
     def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[int], int]:
-        """Runs [first, end) of hit words, the items met, and the longest match in words."""
+        """Runs [first, end) of hit words and whether each holds a whole short item, the items met, and the longest match in words."""
         runs, items, longest = [], set(), 0
         nxt, link, length, short, window = self.next, self.link, self.length, self.short, self.window
         state = matched = 0
@@ -120,7 +121,7 @@ class SuffixAutomaton:
             if token in nxt[state]:
                 state = nxt[state][token]
                 matched += 1
-            cover = 0
+            cover, whole = 0, False
             if matched >= window:
                 items |= self.owners[self.holder[state]]
                 cover = window
@@ -128,16 +129,16 @@ class SuffixAutomaton:
                 for n, item in short[state]:
                     if n <= matched:
                         items.add(item)
-                        cover = max(cover, n)
+                        cover, whole = max(cover, n), True
             if cover:
                 longest = max(longest, matched)
                 first = i + 1 - cover
                 while runs and runs[-1][0] >= first:
-                    runs.pop()
+                    whole |= runs.pop()[2]
                 if runs and first <= runs[-1][1]:
-                    runs[-1][1] = i + 1
+                    runs[-1][1:] = i + 1, runs[-1][2] or whole
                 else:
-                    runs.append([first, i + 1])
+                    runs.append([first, i + 1, whole])
         return runs, items, longest
 
 
@@ -169,7 +170,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
                 for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"]):
                     words = words_of(text.as_py() or b"")
                     runs, found, longest = automaton.scan(words)
-                    out.append((doc_id, len(words), sorted(found), [{"first": x, "end": y} for x, y in runs], longest))
+                    out.append((doc_id, len(words), sorted(found), [{"first": x, "end": y} for x, y, _ in runs], longest))
                 types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.int64()]
                 columns = zip(*out, strict=True) if out else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n_words", "item_ids", "runs", "longest"])
@@ -197,15 +198,16 @@ def cut(text: str, runs: list[list[int]]) -> str:
     data = text.encode()
     places = [m.span() for m in _WORD.finditer(data)]
     out, end = [], 0
-    for first, last in runs:
+    for first, last, *_ in runs:
         out.append(data[end : places[first][0]])
         end = places[last - 1][1]
     return b"".join([*out, data[end:]]).decode()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_run: int = MIN_RUN, max_coverage: float = MAX_COVERAGE) -> DataFrame:
-    """The documents without test passages: runs of min_run words or more are cut out of a text, and all its runs if
-    more than max_coverage of its words are hit. A text of which no word is left goes; a text without hits stays as it
+    """The documents without test passages: runs of min_run words or more are cut out of a text, and runs of any length
+    that hold a whole item of fewer than `window` words (an item of one word goes wherever it stands), and all its runs
+    if more than max_coverage of its words are hit. With min_run up to `window`, all that matches() hits is cut. A text of which no word is left goes; a text without hits stays as it
     is, a null text included. n_chars, where there is such a column, follows the text."""
     for items in _blocks(benchmark):
 
@@ -216,9 +218,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_run:
                 for i, text in enumerate(texts):
                     words = words_of((text or "").encode())
                     runs = automaton.scan(words)[0]
-                    if runs and sum(y - x for x, y in runs) <= max_coverage * len(words):
-                        runs = [r for r in runs if r[1] - r[0] >= min_run]
-                    keep.append(not runs or sum(y - x for x, y in runs) < len(words))
+                    if runs and sum(y - x for x, y, _ in runs) <= max_coverage * len(words):
+                        runs = [r for r in runs if r[2] or r[1] - r[0] >= min_run]
+                    keep.append(not runs or sum(y - x for x, y, _ in runs) < len(words))
                     if runs:
                         texts[i], changed = cut(text, runs), True
                 if changed:
