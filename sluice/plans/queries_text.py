@@ -52,6 +52,18 @@ register("u3_merge_postings", f"""{_HALVES}, m AS (SELECT term, doc_id, CASE WHE
 SELECT term, doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS rn FROM m) WHERE rn <= 5""")(lambda s, d: T.merge_postings(list(halves(s, d)), "doc_id", 5))
 register("u4_merge_indexes", f"{_HALVES} SELECT term, doc_id, CASE WHEN doc_id % 2 = 0 THEN n ELSE n + 100 END AS n FROM p WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")(lambda s, d: T.merge_indexes(*halves(s, d), "doc_id"))
 
+
+def overlapping(s, d):
+    """Two lists that share every third document and together hold all."""
+    p = tokens(s, d).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    return p.where("doc_id % 3 <> 2"), p.where("doc_id % 3 <> 1").withColumn("n", F.col("n") + 100)
+
+
+_OVERLAPPING = f"WITH {_TOK}, p AS (SELECT term, doc_id, count(*)::BIGINT AS n FROM tok GROUP BY ALL), m AS (SELECT term, doc_id, CASE WHEN doc_id % 3 <> 2 THEN n ELSE n + 100 END AS n FROM p)"
+register("u3_merge_all_postings", f"{_OVERLAPPING} SELECT term, doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS rn FROM m) WHERE rn <= 5")(
+    lambda s, d: T.merge_postings(list(overlapping(s, d)), "doc_id", 5))
+register("u4_merge_all_indexes", f"{_OVERLAPPING} SELECT term, doc_id, n FROM m")(lambda s, d: T.merge_indexes(*overlapping(s, d), "doc_id"))
+
 DICTIONARY = {"the": T.OMIT, "and": T.KEYWORD_OMIT, "edsh": T.KEYWORD, "thon": T.NAME, "der": T.KEYWORD, "que": T.NAME}
 _DICT = "dict(word, attr) AS (VALUES " + ", ".join(f"('{w}', {a})" for w, a in DICTIONARY.items()) + ")"
 

@@ -17,8 +17,9 @@ _HREFS = r"""SELECT page_id, url, unnest(regexp_extract_all(h, '(?i)<(?:(?:a|lin
 FROM (SELECT page_id, url, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages)"""
 _LINKS = f"SELECT page_id, ordinal::INTEGER AS ordinal, replace(href, chr(92), '/') AS href FROM ({_HREFS}) WHERE NOT regexp_matches(href, '[?=*]')"
 
+# The SQL of l1 and u6 knows no escapes, /../ and ports and leaves such pages out; the queries take all pages.
 register("l1_canonical_urls", f"SELECT page_id, {_CANON} AS canonical FROM pages WHERE {_PLAIN}")(
-    lambda s, d: W.canonical_urls(table(s, d, "pages").where(~F.col("url").rlike(r"%|\.\.|:[0-9]")), "url").select("page_id", "canonical"))
+    lambda s, d: W.canonical_urls(table(s, d, "pages"), "url").select("page_id", "canonical"))
 register("l2_extract_links", _LINKS)(lambda s, d: W.extract_links(table(s, d, "pages")).select("page_id", "ordinal", "href"))
 register("l3_resolve_links")(lambda s, d: W.resolve_links(W.extract_links(table(s, d, "pages"))).select("page_id", "ordinal", "target"))
 register("l4_filter_links", f"SELECT page_id, url FROM pages WHERE ({_SITE} LIKE '%.com' OR {_SITE} LIKE '%.net') AND NOT regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '(5|\\.gif)$')")(
@@ -55,7 +56,7 @@ FROM (SELECT page_id, 200 + (page_id % 5) * 100 AS status, CASE WHEN page_id % 1
     lambda s, d: W.classify_fetches(table(s, d, "pages").selectExpr("page_id", "200 + (page_id % 5) * 100 AS status", "CASE WHEN page_id % 11 = 0 THEN 'image/png' ELSE 'text/html' END AS content_type", "length(html) * 10 AS length", "page_id % 13 = 0 AS duplicate")).select("page_id", "outcome"))
 register("l11_url_site", f"SELECT page_id, {_SITE} AS site FROM pages")(lambda s, d: W.url_site(table(s, d, "pages"), "url").select("page_id", "site"))
 register("u6_dedupe_urls", f"SELECT min(page_id) AS page_id, c AS canonical FROM (SELECT page_id, {_CANON} AS c FROM pages WHERE {_PLAIN}) GROUP BY c")(
-    lambda s, d: W.dedupe_urls(W.canonical_urls(table(s, d, "pages").where(~F.col("url").rlike(r"%|\.\.|:[0-9]")), "url").select("page_id", "canonical"), "canonical", "page_id"))
+    lambda s, d: W.dedupe_urls(W.canonical_urls(table(s, d, "pages"), "url").select("page_id", "canonical"), "canonical", "page_id"))
 register("u7_dedupe_pages", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(regexp_replace(text, '[^B-y]', '', 'g'))")(
     lambda s, d: W.dedupe_pages(table(s, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id"))
 register("w2_cap_per_group", f"SELECT page_id, row_number() OVER (PARTITION BY {_SITE} ORDER BY page_id) > 2 AS deferred FROM pages")(
