@@ -5,8 +5,11 @@ is due when its share of what was served so far falls behind most. A token's tur
 T tokens is due at (j + 1/2) / T of the whole - so every window finds, on its own, where each queue stands at its
 start; the deficit carried over (under one token a queue) is part of that, across windows and across partitions.
 
-Inputs and edge cases: a null or empty text has only its end token; null sources share a queue; beyond MAX_QUEUES
-sources, hashes of them share queues; a document of any length is cut at window ends; equal rows are packed one by one;
+With more than MAX_QUEUES sources, or with target weights, no window holds counts of all queues: the tokens' turns are
+sorted by range instead, a row a token, and a turn's place in the order gives its window. The order is the same.
+
+Inputs and edge cases: a null or empty text has only its end token; null sources share a queue; any number of sources
+has a queue each; a document of any length is cut at window ends; equal rows are packed one by one;
 an empty table gives no rows. Only the last window can be short.
 """
 
@@ -23,13 +26,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.operators.ordering import running_totals
 from sluice.sources.scratch import Scratch, partitions
 
 WINDOW = 4096
 END = 2
+#: Sources whose counts a task works out for every window; with more of them, turns are sorted.
 MAX_QUEUES = 256
+_PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
 #: Distinct words whose ids a task remembers.
 _MEMORY = 1 << 19
 
@@ -161,17 +168,59 @@ def served(start: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return given
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source (and ids on request)."""
+def _pack_sorted(rows: DataFrame, window: int, with_ids: bool, weights: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """pack() for any number of sources. The j-th token of a source of weight v (its number of tokens, where none is
+    given) is due at (j + 1/2) / v; due times are doubles, and equal ones go by the source."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    totals = rows.groupBy("queue").agg(F.sum("tokens").alias("tokens"))
+    totals = running_totals(totals.withColumn("one", F.lit(1)), ["queue"], ["tokens", "one"], scratch)
+    shares = totals.select("queue", F.col("before_tokens").alias("ahead"), F.col("before_one").alias("q"), F.col("tokens").cast("double").alias("weight"))
+    if weights is not None:
+        given = weights.select(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("queue"), F.col("weight").cast("double").alias("target"))
+        shares = scratch.save(shares.drop("weight").join(given, "queue", "left").withColumnRenamed("target", "weight"), "shares")
+        if bad := shares.where("weight IS NULL OR NOT weight > 0 OR isnan(weight)").limit(3).collect():
+            raise ValueError(f"sources without a weight above 0: {[r.queue[1:] if r.queue else None for r in bad]}")
+        if shares.groupBy("q").count().where("count > 1").limit(1).collect():
+            raise ValueError("a source has more than one weight")
+    placed = running_totals(rows.select("queue", "doc_id", "row", "tokens"), ["queue", "doc_id", "row"], ["tokens"], scratch)
+    placed = placed.join(shares, "queue").select("row", "tokens", "q", "weight", (F.col("before_tokens") - F.col("ahead")).alias("place"))
+    turns = placed.select("row", "q", "place", "weight", F.explode(F.sequence("place", F.col("place") + F.col("tokens") - 1)).alias("j"))
+    turns = turns.select(((F.col("j") + 0.5) / F.col("weight")).alias("due"), "q", "j", "row", "place", F.lit(1).alias("one"))
+    turns = running_totals(turns, ["due", "q", "j"], ["one"], scratch).withColumn("sequence_id", F.floor(F.col("before_one") / window).cast("bigint"))
+    pieces = turns.groupBy("sequence_id", "q", "row", "place").agg(F.min("j").alias("first"), F.count("*").alias("length"))
+    earlier = Window.partitionBy("sequence_id").orderBy("q", "first").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)))
+    pieces = pieces.select("row", (F.col("first") - F.col("place")).alias("start"), "length", "sequence_id", "offset")
+    piece = F.expr("substring(ids, cast(2 * start + 1 AS int), cast(2 * length AS int))")
+    cut = rows.select("row", "doc_id", "source", "tokens", "ids").join(pieces, "row").select(
+        "doc_id", "start", "length", piece.alias("ids"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset", "source"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide = [np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes() for x in b["ids"]]
+            columns = [pa.array([zlib.crc32(x) for x in wide], pa.int64()) if name == "ids" else b[name] for name in b.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(wide, pa.binary())] if with_ids else columns, names=_PIECES + ["ids"] * with_ids)
+
+    return cut.mapInArrow(run, _SCHEMA + ", ids binary" * with_ids)
+
+
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False, weights: DataFrame | None = None) -> DataFrame:
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source (and ids on request).
+
+    weights (source, weight): the target proportions, of every source; without them, the sources' shares of all tokens.
+    A source that is used up leaves its share to the others, in proportion to their weights.
+    """
     spark, path = docs.sparkSession, path or vocabulary_path()
     scratch = Scratch(spark, "packing")
     rows = encode(docs, path).withColumn("row", F.monotonically_increasing_id())
     rows = scratch.save(rows, "ids")
     sources = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    n = sources.count()
-    queue = F.col("source") if n <= MAX_QUEUES else F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")
-    rows = rows.withColumn("queue", F.coalesce(F.concat(F.lit("="), queue), F.lit("")))
-    sums = sorted((r.queue, r.tokens) for r in rows.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect())  # MAX_QUEUES rows and one at most
+    if weights is not None or sources.count() > MAX_QUEUES:
+        return _pack_sorted(rows, window, with_ids, weights, scratch)
+    rows = rows.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    sums = sorted((r.queue, r.tokens) for r in rows.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect())  # MAX_QUEUES rows at most
     names, totals = [q for q, _ in sums], np.array([t for _, t in sums], np.int64)
     before = dict(zip(names, np.concatenate([[0], np.cumsum(totals)[:-1]]).tolist() if names else [], strict=True))
     placed = running_totals(rows.select("queue", "doc_id", "row", "tokens"), ["queue", "doc_id", "row"], ["tokens"], scratch)
@@ -190,7 +239,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
             return known[w]
 
         for b in batches:
-            out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")}
+            out = {k: [] for k in _PIECES}
             pieces = []
             for doc_id, source, name, tokens, ahead, ids in zip(*(b[c].to_pylist() for c in ("doc_id", "source", "queue", "tokens", "before_tokens")), b["ids"], strict=True):
                 q, ids = number[name], np.frombuffer(ids.as_buffer(), "<u2").astype("<u4")
@@ -223,7 +272,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
             arrays = [pa.array(c, t) for c, t in zip(out.values(), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(pieces, pa.binary())] if with_ids else arrays, [*out, "ids"] if with_ids else list(out))
 
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string" + ", ids binary" * with_ids
+    schema = _SCHEMA + ", ids binary" * with_ids
     # Documents of all queues that fall due together go to one task, so that each window is worked out about once.
     shares = spark.createDataFrame([(q, before[q], int(t)) for q, t in sums], "queue string, ahead bigint, total bigint")
     due = placed.join(F.broadcast(shares), "queue").select("row", "before_tokens", ((F.col("before_tokens") - F.col("ahead")) / F.col("total")).alias("due"))
