@@ -73,6 +73,16 @@ def query_terms(s, d):
     t = tokens(s, d).where("doc_id % 20 = 0 AND pos BETWEEN 1 AND 3")
     t = t.select(F.col("doc_id").alias("query_id"), "pos", "term")
     size = t.groupBy("query_id").agg((F.sum(F.octet_length("term")) + 2).alias("query_bytes"))
+    return known(s, d, t, size)
+
+
+def whole_query_terms(s, d):
+    """The whole text of every document whose id is divisible by 20 as a query; Scoring.most_terms is the only limit."""
+    docs = table(s, d, "documents").where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return known(s, d, T.tokenise_table(docs, "query_id", "text"), docs.select("query_id", F.octet_length("text").alias("query_bytes")))
+
+
+def known(s, d, t, size):
     words = s.createDataFrame(list(DICTIONARY.items()), "term string, attr int")
     idf = T.corpus_idf(tokens(s, d), "doc_id", table(s, d, "documents").count())
     return t.join(size, "query_id").join(F.broadcast(words), "term", "left").na.fill(T.UNKNOWN, ["attr"]).join(idf.select("term", "idf"), "term")
@@ -92,6 +102,11 @@ hits AS (SELECT qw.*, post.doc_id, w_main, w_title, w_kw FROM qw JOIN post ON qw
 _SCORE = """sums AS (SELECT query_id, doc_id, sum(round(weight * CASE WHEN w_main > 0 THEN 1.0::DOUBLE WHEN w_kw > 0 THEN 0.9::DOUBLE WHEN w_title > 0 THEN 0.8::DOUBLE ELSE 0 END, 9)::DECIMAL(24,9))::DOUBLE AS q,
   sum(round(greatest(w_main, w_title) * CASE attr WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.4::DOUBLE ELSE 0.9::DOUBLE END + w_kw * CASE attr WHEN 1 THEN 0.2::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END, 9)::DECIMAL(24,9))::DOUBLE AS d FROM hits GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, round(least(q, 1.0) * least(d, 1.0) * 10000, 3) AS score FROM sums)"""
+#: Queries of whole texts: positions count from 0, and Scoring.most_terms = 31.
+_WQT = f"""{_DICT}, q0 AS (SELECT tok.doc_id AS query_id, pos, term, octet_length(encode(text)) AS query_bytes FROM tok JOIN documents ON tok.doc_id = documents.doc_id WHERE tok.doc_id % 20 = 0 AND pos < 31),
+qt AS (SELECT q0.*, coalesce(attr, 0) AS attr, idf FROM q0 LEFT JOIN dict ON q0.term = word JOIN idf ON idf.term = q0.term),
+{_QT[_QT.index("qr AS"):]}"""
+_WHOLE = f"WITH {_TOK}, {_IDF}, {_WQT}, {_POST}, {_FOUND}, {_SCORE}"
 _ALL = f"WITH {_TOK}, {_IDF}, {_QT}, {_POST}, {_FOUND}, {_SCORE}"
 
 
@@ -103,6 +118,10 @@ def weighed(s, d):
     return T.weigh_query(query_terms(s, d))
 
 
+def whole_weighed(s, d):
+    return T.weigh_query(whole_query_terms(s, d))
+
+
 def scored(s, d):
     return T.score(T.retrieve(weighed(s, d), postings(s, d), "doc_id"), "doc_id")
 
@@ -121,7 +140,16 @@ register("t9_adjust_scores", "SELECT doc_id, (n_chars::BIGINT + trunc(n_chars *
 _RANK = "r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM scored)"
 register("t10_search", f"{_ALL}, {_RANK} SELECT query_id, rank::INTEGER AS rank, total::BIGINT AS total FROM r WHERE rank <= 10")(
     lambda s, d: T.search(query_terms(s, d), postings(s, d), "doc_id").select("query_id", "rank", "total"))
-register("t11_explain_scores")(lambda s, d: T.explain_scores(T.retrieve(weighed(s, d), postings(s, d), "doc_id"), "doc_id"))
+register("t11_explain_scores")(lambda s, d: T.explain_scores(T.retrieve(whole_weighed(s, d), postings(s, d), "doc_id"), "doc_id"))
+register("t6_weigh_whole_query", f"WITH {_TOK}, {_IDF}, {_WQT} SELECT query_id, pos, term, round(weight, 6) AS weight, mandatory FROM qw")(
+    lambda s, d: whole_weighed(s, d).select("query_id", "pos", "term", F.round("weight", 6).alias("weight"), "mandatory"))
+register("u5_intersect_whole_queries", f"{_WHOLE} SELECT query_id, doc_id FROM found")(lambda s, d: T.intersect_terms(whole_weighed(s, d), postings(s, d), "doc_id"))
+register("t7_retrieve_whole_queries", f"{_WHOLE} SELECT query_id, doc_id, term, pos, w_main, w_title, w_kw FROM hits")(
+    lambda s, d: T.retrieve(whole_weighed(s, d), postings(s, d), "doc_id").select("query_id", "doc_id", "term", "pos", "w_main", "w_title", "w_kw"))
+register("t8_score_whole_queries", f"{_WHOLE} SELECT query_id, doc_id, score FROM scored")(
+    lambda s, d: T.score(T.retrieve(whole_weighed(s, d), postings(s, d), "doc_id"), "doc_id"))
+register("t10_search_whole_queries", f"{_WHOLE}, {_RANK} SELECT query_id, doc_id, score, rank::INTEGER AS rank, total::BIGINT AS total FROM r WHERE rank <= 10")(
+    lambda s, d: T.search(whole_query_terms(s, d), postings(s, d), "doc_id").select("query_id", "doc_id", F.col("weight").alias("score"), "rank", "total"))
 register("o6_rank_results", "SELECT query_id, doc_id, rank::INTEGER AS rank, total::BIGINT AS total FROM (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, count(*) OVER (PARTITION BY source) AS total FROM documents) WHERE rank BETWEEN 11 AND 20")(
     lambda s, d: T.rank_results(table(s, d, "documents").select(F.col("source").alias("query_id"), "doc_id", "n_chars"), "doc_id", 1, 10, "n_chars").select("query_id", "doc_id", "rank", "total"))
 register("o7_best_answer", "SELECT query_id, doc_id, n_chars FROM (SELECT source AS query_id, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE n_chars >= 2000) WHERE rank = 1")(
