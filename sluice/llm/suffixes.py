@@ -9,7 +9,8 @@ but the first of equal ones are repeats. A task holds one block of texts or one
 a string that fills many texts counts once in each block, so that a hot passage is one record a block.
 
 Ranks are 64-bit fingerprints. Two different strings share one with a chance of 2^-64; among n candidate suffixes some
-pair does with about n^2 / 2^65 (under one in ten thousand at 30 million; pass wider ranks for tables far larger).
+pair does with about n^2 / 2^65 (under one in ten thousand at 30 million; at 5 billion, 0.7 such pairs are expected).
+Nothing confirms equality by bytes or by the sample's ranks, and ranks cannot be made wider.
 
 Inputs and edge cases: a null text has no bytes; a text shorter than `length` keeps all; matches never cross texts; of
 equal strings the one in the smallest doc_id, then at the earliest start, stays; rows that share a doc_id count as
