@@ -1,7 +1,8 @@
 """Minimax contiguous partition of ordered atomic groups into shards.
 
 The smallest capacity that lets a greedy pass fill at most n shards is found by binary search, and the shards are cut
-there. The driver keeps block ends of the running total; a block is opened only if a probe falls into it.
+there. The driver keeps block ends of the running total; a block is opened only if a probe falls into it, and each
+opening names the least and the greatest end of every part, so that what stays hidden lies in a block 256 times narrower.
 
 Inputs and edge cases: a null text has no bytes and goes with the empty ones; equal texts form a group and are never
 parted, however many; a group larger than the mean shard sets the capacity alone; rows with the same doc_id are placed
@@ -11,6 +12,7 @@ one by one; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,34 +26,34 @@ BLOCKS, PARTS = 4096, 256
 
 
 class Ends:
-    """Ends of the groups' running total, known at block ends: (end of a block, unknown ends inside it)."""
+    """Ends of the groups' running total, known at block ends: (end of a block, unknown ends inside it).
 
-    def __init__(self, groups: DataFrame, total: int):
-        self.groups, self.total = groups.select((F.col("before_bytes") + F.col("bytes")).alias("end")), total
+    `look(spans, parts)` parts each span (a, b] into equal parts and gives, for each part that holds ends, the least of
+    them, the greatest, and their number.
+    """
+
+    def __init__(self, look: Callable[[list[tuple[int, int]], int], list[tuple[int, int, int]]], total: int):
+        self.look, self.total = look, total
         self.ends, self.inside = [0], [0]
-        self._merge([0], total, BLOCKS)
-
-    def _merge(self, starts: list[int], width: int, parts: int) -> None:
-        """Opens the blocks that begin at `starts`; the driver gets at most len(starts) * parts rows."""
-        spans = []
-        for a in starts:
-            i = bisect_left(self.ends, a)
-            spans.append((a, self.ends[i + 1] if i + 1 < len(self.ends) else a + width))
-        part = F.lit(None).cast("bigint")
-        for k, (a, b) in enumerate(spans):
-            step = -(-(b - a) // parts)
-            part = F.when((F.col("end") > a) & (F.col("end") <= b), F.lit(k * parts) + F.floor((F.col("end") - a - 1) / F.lit(step))).otherwise(part)
-        wanted = F.lit(False)
-        for a, b in spans:
-            wanted = wanted | ((F.col("end") > a) & (F.col("end") <= b))
-        found = self.groups.where(wanted).groupBy(part.alias("part")).agg(F.max("end").alias("end"), F.count("*").alias("n")).collect()
-        known = dict(zip(self.ends, self.inside, strict=True)) | {r.end: r.n - 1 for r in found}
+        self._merge([(0, total)], BLOCKS)
+
+    def _merge(self, spans: list[tuple[int, int]], parts: int) -> None:
+        known = dict(zip(self.ends, self.inside, strict=True))
+        for least, most, n in self.look(spans, parts):
+            known[least] = 0  # none is hidden between a part's first end and the end before it
+            if most > least:
+                known[most] = n - 2
         self.ends = sorted(known)
         self.inside = [known[e] for e in self.ends]
 
     def open(self, starts: set[int]) -> None:
-        for chunk in range(0, len(starts), 32):
-            self._merge(sorted(starts)[chunk : chunk + 32], 0, PARTS)
+        """Parts the blocks that begin at `starts`, 32 a job; the driver gets at most 32 * PARTS rows at once."""
+        before, starts = len(self.ends), sorted(starts)
+        spans = [(a, self.ends[bisect_left(self.ends, a) + 1]) for a in starts]
+        for at in range(0, len(spans), 32):
+            self._merge(spans[at : at + 32], PARTS)
+        if len(self.ends) == before:
+            raise RuntimeError(f"the blocks at {starts[:3]} hide ends that opening them does not show")
 
     def reach(self, limit: int) -> tuple[int, int, int | None]:
         """The last end that is <= limit, as known at least and at most, and the start of the block that hides it."""
@@ -71,9 +73,24 @@ class Ends:
         return cuts, hidden
 
 
-def minimax_cuts(groups: DataFrame, total: int, largest: int, n: int) -> list[int]:
-    """Running totals at which the shards end, for the smallest capacity; `groups` has bytes and before_bytes."""
-    ends = Ends(groups, total)
+def _look(groups: DataFrame):
+    """What Ends asks for, of a table with bytes and before_bytes: one aggregation, with a row for each part."""
+    end = groups.select((F.col("before_bytes") + F.col("bytes")).alias("end"))
+
+    def look(spans: list[tuple[int, int]], parts: int) -> list[tuple[int, int, int]]:
+        part = F.lit(None).cast("bigint")
+        for k, (a, b) in enumerate(spans):
+            step = -(-(b - a) // parts)
+            part = F.when((F.col("end") > a) & (F.col("end") <= b), F.lit(k * parts) + F.floor((F.col("end") - a - 1) / F.lit(step))).otherwise(part)
+        found = end.withColumn("part", part).where("part IS NOT NULL").groupBy("part").agg(F.min("end").alias("least"), F.max("end").alias("most"), F.count("*").alias("n"))
+        return [(r.least, r.most, r.n) for r in found.collect()]
+
+    return look
+
+
+def minimax_cuts(ends: Ends, largest: int, n: int) -> list[int]:
+    """Running totals at which the shards end, for the smallest capacity."""
+    total = ends.total
     low, high = max(largest, -(-total // n)), largest + -(-total // n)
     while low < high:
         capacity = (low + high) // 2
@@ -104,7 +121,7 @@ def shard_by_bytes(docs: DataFrame, n: int = SHARDS) -> DataFrame:
     groups = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
     groups = scratch.save(running_totals(groups, ["first", "key"], ["bytes", "n"], scratch), "groups")
     most = groups.agg(F.max(F.col("before_bytes") + F.col("bytes")).alias("total"), F.max("bytes").alias("largest")).first()
-    cuts = minimax_cuts(groups, most.total, most.largest, n) if most.total else []
+    cuts = minimax_cuts(Ends(_look(groups), most.total), most.largest, n) if most.total else []
     shard = F.lit(0)
     for c in cuts[:-1]:
         shard = shard + (F.col("before_bytes") >= c).cast("int")
