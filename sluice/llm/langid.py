@@ -4,7 +4,7 @@ Each language has a zstandard raw-content dictionary of excerpts from labelled t
 letters, is encoded whole, in blocks, by each dictionary; the smallest sum wins. Where the next is near, a slower
 coder encodes the text again; if it is near still, the text is rejected.
 
-Inputs and edge cases: a null text, or one without a letter, is `und`, score 0, rejected. Ties go to the language with
+Inputs and edge cases: a null text, or one without a letter (of Unicode category L), is `und`, score 0, rejected. Ties go to the language with
 more labelled texts, then to the first name. Equal rows get equal results; an input without labelled rows gives `und`
 everywhere. Only doc_id, text and lang are read, the last for learning only.
 """
@@ -12,10 +12,10 @@ everywhere. Only doc_id, text and lang are read, the last for learning only.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +30,13 @@ LEVEL = 5
 #: Bytes by which the next language must be longer, as a share of the smallest code: else the fine coder is asked, or
 #: the text is rejected. It is rejected too if it is not longer by MARGIN_BYTES.
 NEAR, MARGIN, MARGIN_BYTES = 0.05, 0.003, 1
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Languages at most: the dictionaries go to every task, and each encodes every text.
+MAX_LANGUAGES = 256
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters(text: str) -> str:
+    """Runs of letters (Unicode category L; numerals and marks are none) in lower case, a space between them."""
     return _NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
@@ -41,13 +44,16 @@ def learn(labelled: DataFrame, excerpts: int = EXCERPTS, chars: int = EXCERPT_CH
     """language -> text of its dictionary, the commonest language first.
 
     Of each language and each of `excerpts` hash buckets, the text with the least hash gives one excerpt, so that the
-    sample is spread over the whole corpus, takes copies once, and is bounded by excerpts * chars for a language.
+    sample is spread over the whole corpus, takes copies once, and is bounded by excerpts * chars for a language. More
+    than MAX_LANGUAGES languages are an error.
     """
+    if len(labelled.where("lang IS NOT NULL").select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; their dictionaries would not fit a task")
     rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("text").alias("h"))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(excerpts)))
     least = rows.groupBy("lang", "bucket").agg(F.min("h").alias("h"), F.count("*").alias("n"))
     start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
-    found = rows.join(F.broadcast(least), ["lang", "bucket", "h"])  # languages * excerpts rows
+    found = rows.join(F.broadcast(least), ["lang", "bucket", "h"])  # MAX_LANGUAGES * excerpts rows at most
     found = found.select("lang", "bucket", "n", F.substring("text", start, F.lit(chars)).alias("x")).dropDuplicates(["lang", "bucket"]).collect()
     texts: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r.lang, r.bucket)):
