@@ -5,12 +5,15 @@ labels. Documents are labelled only as a whole, so the tokens' labels are induce
 beginning that toxic documents have and others (nearly) never have. Forward-backward marginals of a document are
 aggregated to its score, by a logistic curve fitted on the same sample, and to the offending offsets.
 
-The field is fitted on the driver from a bounded sample: SAMPLE documents of each class at most, in expectation, spread
-over the corpus by a hash of the text (copies count once). Scoring reads the text alone.
+The field is fitted on the driver from a bounded sample of the labelled rows, spread over the corpus by a hash of the
+text (copies count once): of each class at most SAMPLE documents and SAMPLE_BYTES of text in expectation, where a text
+of more than SAMPLE_BYTES never enters. Weights are trained on CHUNKS runs of CHUNK tokens of these at most, half of
+them with a marked token and half without, drawn at random; the score's curve is fitted on all of the sample. All
+bounds are parameters of learn(). Scoring reads the text alone.
 
 Inputs and edge cases: a null text, or one without a letter, gets the score of a text without offending tokens; without
 labelled rows of both classes every score is 0; rows that share a doc_id are scored one by one; a text of any length is
-scored whole; an empty table gives no rows; other columns are not read.
+scored whole; an empty table gives no rows; other columns are not read. Offsets are characters of the text as it is.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = {1: 2000, 0: 3000}
+SAMPLE_BYTES = 16 << 20
 #: A feature marks tokens if this share of the sample's toxic documents, and LEAST of them, have it, and it is at least
 #: ODDS times as frequent there as elsewhere.
 SUPPORT, LEAST, ODDS = 0.01, 3, 40.0
-#: Training chunks: their tokens, how many with and without a marked token are taken, and how often a feature must occur.
-CHUNK, MARKED_CHUNKS, PLAIN_CHUNKS, OFTEN = 48, 2500, 2500, 5
+#: Training chunks: their tokens, how many are taken at most, and how often a feature must occur in them.
+CHUNK, CHUNKS, OFTEN = 48, 5000, 5
 ROUNDS, PENALTY = 60, 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMORY = 1 << 19
@@ -85,7 +89,8 @@ class Field:
 
 
 def _words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """In lower case, each for itself: the places of the words are those in the text as it is."""
+    return [w.lower() for w in _WORD.findall(text or "")]
 
 
 def _induce(texts: list[list[str]], labels: list[int]) -> list[np.ndarray]:
@@ -110,8 +115,8 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return tuple(w.tolist())
 
 
-def fit(texts: list[str], labels: list[int], shares: tuple[float, float]) -> Field:
-    """The field of a sample; `shares` are the classes' shares of all labelled documents."""
+def fit(texts: list[str], labels: list[int], shares: tuple[float, float], most: int = CHUNKS) -> Field:
+    """The field of a sample; `shares` are the classes' shares of all labelled documents, `most` the chunks taken."""
     words = [_words(t) for t in texts]
     marked = _induce(words, labels)
     rng = np.random.default_rng(0)
@@ -119,7 +124,7 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float]) -> Fie
     for w, m in zip(words, marked):
         for at in range(0, len(w), CHUNK):
             (chunks if m[at : at + CHUNK].any() else plain).append((w[at : at + CHUNK], m[at : at + CHUNK]))
-    chunks = [part[i] for part, most in ((chunks, MARKED_CHUNKS), (plain, PLAIN_CHUNKS)) for i in rng.permutation(len(part))[:most]]
+    chunks = [part[i] for part in (chunks, plain) for i in rng.permutation(len(part))[: most // 2]]
     vocabulary = Counter(f for w, _ in chunks for x in w for f in features(x))
     number = {f: i for i, f in enumerate(sorted(f for f, n in vocabulary.items() if n >= OFTEN))}
     lost = len(number)
@@ -172,21 +177,24 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float]) -> Fie
     return field
 
 
-def learn(labelled: DataFrame, sample: dict[int, int] | None = None) -> Field | None:
+def learn(labelled: DataFrame, sample: dict[int, int] | None = None, sample_bytes: int = SAMPLE_BYTES, chunks: int = CHUNKS) -> Field | None:
     """The field of labelled texts (text, toxic); None unless both labels occur."""
     sample = sample or SAMPLE
-    rows = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("text", "toxic", F.xxhash64("text").alias("h"))
-    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("text", "toxic", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))
+    small = F.col("size") <= sample_bytes
+    counts = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.when(small, F.col("size"))).alias("bytes")).collect()
+    sizes = {r.toxic: r.n for r in counts}
     if len(sizes) < 2:
         return None
     grain = 1 << 20
     chosen = F.lit(False)
-    for y, n in sizes.items():
-        chosen = chosen | ((F.col("toxic") == y) & (F.pmod("h", F.lit(grain)) < math.ceil(grain * min(1.0, sample[y] / n))))
-    found = rows.where(chosen).dropDuplicates(["toxic", "h"]).select("text", "toxic").collect()
+    for y, n, size in counts:
+        share = min(1.0, sample[y] / n, sample_bytes / max(1, size or 0))
+        chosen = chosen | ((F.col("toxic") == y) & (F.pmod("h", F.lit(grain)) < math.ceil(grain * share)))
+    found = rows.where(small & chosen).dropDuplicates(["toxic", "h"]).select("text", "toxic").collect()
     found = sorted((r.text, r.toxic) for r in found)
     total = sum(sizes.values())
-    return fit([t for t, _ in found], [y for _, y in found], (sizes[0] / total, sizes[1] / total))
+    return fit([t for t, _ in found], [y for _, y in found], (sizes[0] / total, sizes[1] / total), chunks)
 
 
 def tag(docs: DataFrame, field: Field | None) -> DataFrame:
@@ -205,7 +213,7 @@ def tag(docs: DataFrame, field: Field | None) -> DataFrame:
                     score = field.score(field.measure(marginals))
                     if marginals and max(marginals) > 0.5:
                         last = -2
-                        for i, (p, m) in enumerate(zip(marginals, _WORD.finditer(text.lower()))):
+                        for i, (p, m) in enumerate(zip(marginals, _WORD.finditer(text))):
                             if p > 0.5:
                                 if last == i - 1:
                                     found[-1]["end"] = m.end()
@@ -225,7 +233,7 @@ def op5_toxic_spans(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     found = tag(docs, learn(docs.join(labels, "doc_id").where(~held_out).select("text", "toxic")))
-    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("bigint").alias("n_spans"))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.to_json("spans").alias("spans"))
 
 
 QUERIES = {"op5_toxic_spans": op5_toxic_spans}

@@ -1,6 +1,7 @@
 """Edge cases of the operators: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import io
 import math
 import zlib
 
@@ -68,7 +69,7 @@ def test_archives(spark, tmp_path, version):
     html = [None, "", "<p>a\n\nfiledesc://x 1 2 3 4\n</p>", "<p>a\n\nfiledesc://x 1 2 3 4\n</p>", "é\r\n\r\nWARC/1.0\r\n" * 50]
     pages = spark.createDataFrame([(i, None if i == 2 else f"http://h/{i} b", h, 7) for i, h in enumerate(html)], "page_id bigint, url string, html string, record int").repartition(2)
     archives.write_arc(pages, f"{tmp_path}/arc", version)
-    archives.write_warc(archives.convert(archives._archives(spark, f"{tmp_path}/arc")), f"{tmp_path}/warc")
+    archives.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
     got = {r.page_id: r for r in archives.read_warc(spark, f"{tmp_path}/warc").collect()}
     for i, h in enumerate(html):
         data = (h or "").encode()
@@ -79,8 +80,32 @@ def test_archives(spark, tmp_path, version):
 
 def test_arc_lengths_are_held_to():
     line = b"http://a/ 1.2.3.4 20200102030405 text/html 500\nshort"
+    with pytest.raises(ValueError, match="version block"):
+        list(archives.parse_arc(io.BytesIO(line)))
+    begin = b"filedesc://x 1.2.3.4 20200102030405 text/plain 9\n1 0 sluic\n"
     with pytest.raises(ValueError, match="beyond"):
-        list(archives.parse_arc(line))
+        list(archives.parse_arc(io.BytesIO(begin + line)))
+
+
+@pytest.mark.parametrize("size", [1, 200, 16 << 20])
+def test_repeated_rows_have_one_response_each_and_ids_of_their_own(spark, tmp_path, size):
+    rows = [(1, "http://a/", "x"), (1, "http://a/", "x"), (None, "http://a/", "x"), (None, None, "y"), (None, None, "y"), (5, "http://b/", None), (4, "http://b/", ""), (4, "http://c/", ""), (7, "http://d/", "z")]
+    archives.write_arc(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2), f"{tmp_path}/arc", archive_bytes=size)
+    archives.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", archive_bytes=size)
+    assert len(list((tmp_path / "warc").glob("*.gz"))) == len(rows) or size > 1
+    got = archives.read_warc(spark, f"{tmp_path}/warc").collect()
+    assert len(got) == len({r.record_id for r in got}) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.payload_digest, []).append(r)
+    for copies in by.values():
+        first, *others = sorted(copies, key=lambda r: r.record_type)
+        assert first.record_type == "response" and all(r.record_type == "revisit" and r.refers_to_record == first.record_id and r.refers_to == first.page_id for r in others)
+        assert first.page_id == min((r.page_id for r in copies if r.page_id is not None), default=None)
+    assert sorted(map(len, by.values())) == [1, 2, 3, 3]
+    archives.write_arc(spark.createDataFrame([], "page_id bigint, url string, html string"), f"{tmp_path}/none")
+    archives.convert(spark, f"{tmp_path}/none", f"{tmp_path}/nothing")
+    assert archives.read_warc(spark, f"{tmp_path}/nothing").count() == 0
 
 
 def test_lattice_sums_all_segmentations(spark, docs, none):
@@ -130,6 +155,20 @@ def test_field(docs, none):
     assert np.allclose(field.marginals(words), [sum(p for y, p in paths.items() if y[i]) / total for i in range(3)])
 
 
+def test_offsets_are_those_of_the_text_itself(spark, none):
+    texts = [f"some plain words here number {i} and more of them" for i in range(60)] + [f"you are a nasty{'ab'[i % 2]} person number {i} indeed" for i in range(40)]
+    field = crf.fit(texts, [0] * 60 + [1] * 40, (0.6, 0.4))
+    texts_in = ["İİ some plain words here number nastya", "ẞİ some plain words here number NASTYB!", "some plain words here"]
+    rows = [(i, t) for i, t in enumerate(texts_in)] + [(0, texts_in[0])]
+    found = [(r.doc_id, [texts_in[r.doc_id][a:b].split()[-1] for a, b in r.spans]) for r in crf.tag(spark.createDataFrame(rows, "doc_id bigint, text string"), field).collect()]
+    assert sorted(found) == [(0, ["nastya"]), (0, ["nastya"]), (1, ["NASTYB"]), (2, [])]
+    rows = [(i, t, int(i >= 60)) for i, t in enumerate(texts)] + [(200, "nastya " * 5000, 1), (201, "word " * 5000, 0)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    small = crf.learn(labelled, sample_bytes=20_000, chunks=40)
+    assert small is not None and crf.learn(labelled.where("toxic = 1")) is None and crf.learn(labelled.limit(0)) is None
+    assert crf.tag(none.limit(0), small).count() == 0
+
+
 def brute_repeats(texts, length=100):
     seen, out = set(), {}
     for d, t in texts:
@@ -232,6 +271,43 @@ def test_language(spark, docs, none):
     assert all(r.lang_pred == ["en", "de"][r.doc_id % 2] and not r.rejected for r in langid.identify(other, learned).collect())
     assert langid.identify(none, learned).count() == 0 and langid.learn(none) == {}
     assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
+    odd = spark.createDataFrame([(1, "½² Ⅷ ٣ ①"), (2, "\u0301\u0308 \u20dd"), (3, "_ 7 %"), (4, "ª")], "doc_id bigint, text string")
+    assert [(r.lang_pred, r.score) for r in langid.identify(odd, learned).orderBy("doc_id").collect()][:3] == [("und", 0.0)] * 3
+    assert by_id(langid.identify(odd, learned))[4].lang_pred in learned
+    many = spark.range(300).selectExpr("id AS doc_id", "'words' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(many)
+
+
+def test_language_is_that_of_the_smallest_code(spark):
+    """Against a plain compressor for each language and text, without blocks, in which both coders are tried anew."""
+    import zstandard
+
+    rng = np.random.default_rng(8)
+    syllables = {k: ["".join(rng.choice(list("abcdefghijklmnop"), 3)) for _ in range(40)] for k in ("aa", "bb", "cc")}
+    prose = lambda k, n: " ".join("".join(rng.choice(syllables[k], int(rng.integers(1, 4)))) for _ in range(n))
+    learned = {k: langid.letters(prose(k, 800)) for k in syllables}
+    texts = [(i, prose(k, int(n))) for i, (k, n) in enumerate(zip(list(syllables) * 20, rng.integers(2, 150, 60)))]
+    texts += [(100, prose("aa", 30) + " " + prose("bb", 30)), (101, "123 q"), (102, prose("cc", 5).upper())]
+
+    def sizes(text, how):
+        data = langid.letters(text).encode()
+        out = []
+        for d in learned.values():
+            raw = zstandard.ZstdCompressionDict(d.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how_all = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, dict_size=len(d.encode()), source_size=langid.BLOCK, write_content_size=0, write_checksum=0, write_dict_id=0, **how)
+            code = zstandard.ZstdCompressor(dict_data=raw, compression_params=how_all)
+            out.append(sum(len(code.compress(data[i : i + langid.BLOCK])) for i in range(0, len(data), langid.BLOCK)))
+        return out
+
+    found = by_id(langid.identify(spark.createDataFrame(texts, "doc_id bigint, text string"), learned))
+    for i, t in texts:
+        own = sizes(t, langid.COARSE)
+        if sorted(own)[1] - min(own) < langid.NEAR * min(own):
+            own = sizes(t, langid.FINE)
+        gap = sorted(own)[1] - min(own)
+        assert found[i].lang_pred == list(learned)[own.index(min(own))], (t, own)
+        assert found[i].rejected == (gap < max(langid.MARGIN_BYTES, langid.MARGIN * min(own))) and 0 < found[i].score <= 1
 
 
 def test_near_duplicates(spark, docs, none):
