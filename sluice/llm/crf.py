@@ -12,7 +12,7 @@ them with a marked token and half without, drawn at random; the score's curve is
 bounds are parameters of learn(). Scoring reads the text alone.
 
 Inputs and edge cases: a null text, or one without a letter, gets the score of a text without offending tokens; without
-labelled rows of both classes every score is 0; rows that share a doc_id are scored one by one; a text of any length is
+labelled rows of both classes in the sample every score is 0; rows that share a doc_id are scored one by one; a text of any length is
 scored whole; an empty table gives no rows; other columns are not read. Offsets are characters of the text as it is.
 """
 
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.sources.scratch import Scratch
+
 SAMPLE = {1: 2000, 0: 3000}
 SAMPLE_BYTES = 16 << 20
 #: A feature marks tokens if this share of the sample's toxic documents, and LEAST of them, have it, and it is at least
@@ -180,19 +182,26 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float], most:
 def learn(labelled: DataFrame, sample: dict[int, int] | None = None, sample_bytes: int = SAMPLE_BYTES, chunks: int = CHUNKS) -> Field | None:
     """The field of labelled texts (text, toxic); None unless both labels occur."""
     sample = sample or SAMPLE
-    rows = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("text", "toxic", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))
-    small = F.col("size") <= sample_bytes
-    counts = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.when(small, F.col("size"))).alias("bytes")).collect()
-    sizes = {r.toxic: r.n for r in counts}
+    scratch = Scratch(labelled.sparkSession, "toxic")
+    rows = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("text", "toxic", F.xxhash64("text").alias("h"))
+    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    grain = 1 << 20
-    chosen = F.lit(False)
-    for y, n, size in counts:
-        share = min(1.0, sample[y] / n, sample_bytes / max(1, size or 0))
-        chosen = chosen | ((F.col("toxic") == y) & (F.pmod("h", F.lit(grain)) < math.ceil(grain * share)))
-    found = rows.where(small & chosen).dropDuplicates(["toxic", "h"]).select("text", "toxic").collect()
+
+    def drawn(by, shares: dict[int, float]):
+        grain, out = 1 << 20, F.lit(False)
+        for y, share in shares.items():
+            out = out | ((F.col("toxic") == y) & (F.pmod(by, F.lit(grain)) < math.ceil(grain * min(1.0, share))))
+        return out
+
+    found = rows.where(drawn(F.col("h"), {y: sample[y] / n for y, n in sizes.items()})).dropDuplicates(["toxic", "h"])
+    found = scratch.save(found.where(F.octet_length("text") <= sample_bytes), "sample")
+    held = {r.toxic: r.b for r in found.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    found = found.where(drawn(F.xxhash64("h"), {y: sample_bytes / max(1, b) for y, b in held.items()})).select("text", "toxic").collect()
+    scratch.drop(*[t for _, t in scratch.paths.values()])
     found = sorted((r.text, r.toxic) for r in found)
+    if len({y for _, y in found}) < 2:
+        return None
     total = sum(sizes.values())
     return fit([t for t, _ in found], [y for _, y in found], (sizes[0] / total, sizes[1] / total), chunks)
 
