@@ -24,15 +24,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.components import connected_components
-from sluice.sources.scratch import Scratch
+from sluice.sources.scratch import Scratch, partitions
 
-#: Words whose hashes a task remembers; shingles whose signatures are worked out at once (they fit a core's cache).
-_MEMORY, _CHUNK = 1 << 20, 1 << 14
+#: Words whose hashes a task remembers; shingles whose signatures are worked out at once (they fit a core's cache); texts
+#: and bytes of text whose sets a task holds at once.
+_MEMORY, _CHUNK, _TEXTS, _BYTES = 1 << 17, 1 << 14, 512, 4 << 20
+#: A bucket with more than this many members, or than an eighth of a partition's share, is joined where its rows are.
+_HOT = 256
 
 
 @dataclass(frozen=True)
@@ -100,14 +104,26 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of _TEXTS rows and _BYTES of text at most, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False)
+    first = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and (i - first == _TEXTS or held + n > _BYTES):
+            yield b.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if b.num_rows > first:
+        yield b.slice(first)
+
+
 def _sketch(docs: DataFrame, how: Setting) -> DataFrame:
     """doc_id, n (shingles), key (of the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in _slices(b):
                 sets = [shingles(t.as_py() or b"", how.words, hashes) for t in part["text"]]
                 full = [s for s in sets if len(s)]
                 found = signatures(full, how.rows * how.bands).astype(np.uint64).reshape(len(full), how.bands, how.rows)
@@ -128,8 +144,7 @@ def _sets(docs: DataFrame, how: Setting) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in _slices(b):
                 sets = [shingles(t.as_py() or b"", how.words, hashes).view(np.int64) for t in part["text"]]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sets, pa.list_(pa.int64()))], ["v", "s"])
 
@@ -156,6 +171,8 @@ def _meet_by_rarest(rows: DataFrame, components: DataFrame, how: Setting) -> Dat
     rows = rows.join(components, "v", "left").withColumn("c", F.coalesce("component", "v"))
     large = rows.select("v", "n", "c", F.posexplode("o").alias("i", "x")).where("x.k > 1").select(F.col("x.t").alias("t"), *[F.col(x).alias(f"{x}_l") for x in ("v", "n", "c", "i")])
     small = rows.select("v", "n", "c", F.posexplode(F.slice("o", 1, _prefix(F.col("n"), 2 * t, 100 + t))).alias("i", "x")).where("x.k > 1").select(F.col("x.t").alias("t"), "v", "n", "c", "i")
+    live = large.groupBy("t").agg(F.min("c_l").alias("least"), F.max("c_l").alias("most")).where("least < most").select("t")  # of more than one component
+    large, small = (x.join(live, "t", "left_semi") for x in (large, small))
     fits = (F.col("c") != F.col("c_l")) & (F.struct("n", "v") < F.struct("n_l", "v_l")) & (100 * F.col("n") >= t * F.col("n_l"))
     left = F.least(F.col("n") - F.col("i"), F.col("n_l") - F.col("i_l"))  # shingles that can still meet, this one included
     fits = fits & ((100 + t) * left >= t * (F.col("n") + F.col("n_l")))
@@ -163,6 +180,15 @@ def _meet_by_rarest(rows: DataFrame, components: DataFrame, how: Setting) -> Dat
     return met.select(F.least("v", "v_l").alias("a"), F.greatest("v", "v_l").alias("b")).distinct()
 
 
+def _by_bucket(rows: DataFrame, buckets: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows joined with a table of one row a bucket `b`. Rows of hot buckets, which are few, stay where they are, so that
+    a cluster's members do not all go to one task."""
+    if hot is None:
+        return rows.join(buckets, "b")
+    few = F.broadcast(buckets.join(F.broadcast(hot), "b", "left_semi"))  # at most 8 rows a partition
+    return rows.join(F.broadcast(hot), "b", "left_anti").join(buckets, "b").unionByName(rows.join(few, "b"))
+
+
 def near_duplicates(docs: DataFrame, how: Setting = Setting()) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links, itself included) of every document."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -172,10 +198,17 @@ def near_duplicates(docs: DataFrame, how: Setting = Setting()) -> DataFrame:
     classes = scratch.save(classes, "classes")
     reps = base.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).select("doc_id", "n", F.posexplode("bands").alias("i", "band"))
     rows = reps.select(F.xxhash64("i", "band").alias("b"), F.col("doc_id").alias("v"), "n")
-    shared = rows.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min_by("n", "v").alias("lo_n")).where("lo < hi")
-    members = scratch.save(rows.join(shared.select("b", "lo", "lo_n"), "b").distinct(), "members")
+    shared = rows.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min_by("n", "v").alias("lo_n"), F.count("*").alias("k")).where("lo < hi")
+    shared = scratch.save(shared, "shared")
+    most = max(_HOT, (shared.agg(F.sum("k")).first()[0] or 0) // (8 * partitions(scratch.spark)))
+    large = scratch.save(shared.where(F.col("k") > most).select("b").coalesce(1), "hot")
+    hot = None if large.isEmpty() else large
+    members = scratch.save(_by_bucket(rows, shared.select("b", "lo", "lo_n"), hot).distinct(), "members")
     wanted = members.select(F.col("v").alias("doc_id")).distinct()
-    sets = scratch.save(_sets(docs.join(wanted, "doc_id", "left_semi"), how).dropDuplicates(["v"]), "sets")
+    sets = _sets(docs.join(wanted, "doc_id", "left_semi"), how)
+    if not base.groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["v"])
+    sets = scratch.save(sets, "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with links as a column; first those whose sizes alone rule a link out are left out."""
@@ -199,11 +232,11 @@ def near_duplicates(docs: DataFrame, how: Setting = Setting()) -> DataFrame:
     links, components = step(pairs, None)
     named = members.join(components, "v", "left").select("b", "v", "n", F.coalesce("component", "v").alias("c"))
     split = named.groupBy("b").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("b")
-    split = scratch.save(named.join(split, "b"), "split")
+    split = scratch.save(_by_bucket(named, split, hot), "split")
     if not split.isEmpty():
         shared_by = scratch.save(_rarest_first(split.select("v", "n").distinct(), sets, how), "rarest")
         central = split.join(shared_by.select("v", "common"), "v").groupBy("b").agg(F.max_by(F.struct("v", "n", "c"), F.struct("common", F.negate("v"))).alias("p"))
-        meet = split.join(central, "b").where(F.col("c") != F.col("p.c")).select(F.col("v").alias("x"), F.col("n").alias("n_x"), F.col("p.v").alias("y"), F.col("p.n").alias("n_y"))
+        meet = _by_bucket(split, central, hot).where(F.col("c") != F.col("p.c")).select(F.col("v").alias("x"), F.col("n").alias("n_x"), F.col("p.v").alias("y"), F.col("p.n").alias("n_y"))
         first, second = links, components
         links, components = step(candidates(meet), links)
         scratch.drop(first, second)
@@ -213,7 +246,7 @@ def near_duplicates(docs: DataFrame, how: Setting = Setting()) -> DataFrame:
     out = base.join(classes, "key", "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(components.withColumnRenamed("v", "rep"), "rep", "left")
     out = scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")), "result")
-    scratch.drop(base, classes, members, sets, links, components, split)
+    scratch.drop(base, classes, shared, large, members, sets, links, components, split)
     return out
 
 

@@ -37,8 +37,8 @@ END = 2
 MAX_QUEUES = 256
 _PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
 _SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
-#: Distinct words whose ids a task remembers.
-_MEMORY = 1 << 19
+#: Distinct words whose ids a worker remembers, also for the tasks to come (about 50 MB).
+_MEMORY = 1 << 17
 
 
 def vocabulary_path() -> str:

@@ -342,3 +342,24 @@ def test_near_duplicates(spark, docs, none):
     found = by_id(minhash.near_duplicates(docs))
     assert found[5].component_id == 4 and found[8].component_id == 7 and found[0].component_id == 0
     assert minhash.near_duplicates(none).count() == 0
+
+
+def test_hot_buckets_and_repeated_ids_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in rng.integers(0, 4000, 200)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in rng.integers(0, len(w), int(rng.integers(0, 6))):
+            w[k] = f"n{rng.integers(1 << 30)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, f"other {i} " + " ".join(f"o{i}x{j}" for j in range(50))) for i in range(20)] + [(300, "w w w w"), (301, "W w w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cold = sorted(minhash.near_duplicates(docs).collect())
+    monkeypatch.setattr(minhash, "_HOT", 2)
+    monkeypatch.setattr(minhash, "partitions", lambda _: 1 << 40)
+    assert sorted(minhash.near_duplicates(docs).collect()) == cold
+    assert len({r.component_id for r in cold if r.doc_id < 120}) == 1 and all(r.component_id == r.doc_id for r in cold if 200 <= r.doc_id < 300)
+    assert next(r.component_id for r in cold if r.doc_id == 301) == 300
+    twice = sorted(minhash.near_duplicates(docs.union(docs.where("doc_id < 50"))).collect())
+    assert len(twice) == len(cold) + 50 and sorted(set(twice)) == cold
