@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.operators.joins import small
+from sluice.sources.scratch import Scratch
 
 NAME, KEYWORD, KEYWORD_OMIT, OMIT, UNKNOWN = 1, 2, 3, 10, 0
 
@@ -45,25 +46,37 @@ def tokenise_table(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, F.posexplode(terms(F.col(column))).alias("pos", "term"))
 
 
-def corpus_idf(tokens: DataFrame, key: str, documents: int) -> DataFrame:
-    return tokens.groupBy("term").agg(F.countDistinct(key).alias("df")).withColumn("idf", F.round(F.log(F.lit(documents) / F.col("df")), 6))
+def distinct_terms(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, field_bytes, term) of a text column, each term of a row once; nothing is shuffled."""
+    rows = df.select(key, F.octet_length(column).alias("field_bytes"), F.array_distinct(terms(F.col(column))).alias("_terms"))
+    return rows.select(key, "field_bytes", F.explode("_terms").alias("term"))  # in two steps: what stands beside explode() is worked out for each term
 
 
-def weigh_terms(tokens: DataFrame, key: str, boost: float = 1.0) -> DataFrame:
-    """The weight of a term in a field: its share of the field's bytes and log10 of its idf (idf over 0), boosted, the
-    largest of its places, held in [0, 1] and cut to 255 steps. tokens: key, term, idf, field_bytes."""
+def corpus_idf(tokens: DataFrame, key: str, documents: int, distinct: bool = False) -> DataFrame:
+    """df and idf of each term; `distinct` tells that the tokens have each term of a document once."""
+    df = F.count("*") if distinct else F.countDistinct(key)
+    return tokens.groupBy("term").agg(df.alias("df")).withColumn("idf", F.round(F.log(F.lit(documents) / F.col("df")), 6))
+
+
+def weigh_terms(rows: DataFrame, key: str, boost: float = 1.0) -> DataFrame:
+    """The weight of a term in a field: its share of the field's bytes and log10 of its idf (idf over 0), boosted, held
+    in [0, 1] and cut to 255 steps; it is the same at all of a term's places. rows: key, term (once a key), idf,
+    field_bytes."""
     share = F.octet_length("term") / F.col("field_bytes")
     raw = (share + F.when(F.col("idf") > 0, F.log10("idf")).otherwise(0)) * boost
-    best = tokens.groupBy(key, "term").agg(F.max(raw).alias("w"))
-    return best.withColumn("w", F.floor(F.least(F.greatest("w", F.lit(0.0)), F.lit(1.0)) * 255) / 255)
+    return rows.select(key, "term", _steps(raw).alias("w"))
+
+
+def _steps(raw: Column) -> Column:
+    return F.floor(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)) * 255) / 255
 
 
 def index_fields(df: DataFrame, key: str, whole: list[str], titles: list[str]) -> DataFrame:
-    """whole_<field>_<value> terms of weight 1, and the tokens of title fields, bare and as field_<field>_<term>."""
+    """whole_<field>_<value> terms of weight 1, and the tokens of title fields, bare and as field_<field>_<term>. The key
+    identifies a row."""
     parts = [df.select(key, F.concat(F.lit(f"whole_{c}_"), F.lower(F.col(c).cast("string"))).alias("term"), F.lit(1.0).alias("w")) for c in whole]
     for c in titles:
-        rows = tokenise_table(df, key, c).join(df.select(key, F.octet_length(c).alias("field_bytes")), key).withColumn("idf", F.lit(0.0))
-        rows = weigh_terms(rows, key, Scoring().title_boost)
+        rows = weigh_terms(distinct_terms(df, key, c).withColumn("idf", F.lit(0.0)), key, Scoring().title_boost)
         parts += [rows, rows.withColumn("term", F.concat(F.lit(f"field_{c}_"), "term"))]
     out = parts[0]
     for p in parts[1:]:
@@ -92,11 +105,12 @@ def merge_indexes(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return merge_postings([a, b], key)
 
 
-def top_keywords(tokens: DataFrame, group: str, limit: int, least_idf: float = 0.2, stop: tuple[str, ...] = ()) -> DataFrame:
-    """Of each group the words of greatest weight, times and the sum of idf; rare enough words only."""
-    rows = tokens.where(F.col("idf") >= least_idf)
-    rows = rows.where(~F.col("term").isin(list(stop))) if stop else rows
-    rows = rows.groupBy(group, "term").agg(F.count("*").alias("times"), F.round(F.count("*") * F.max("idf"), 4).alias("weight"))
+def top_keywords(tokens: DataFrame, idf: DataFrame, group: str, limit: int, least_idf: float = 0.2, stop: tuple[str, ...] = ()) -> DataFrame:
+    """Of each group (of tokens: group, term) the words of greatest weight, times and the sum of idf; rare enough words
+    only. Words are counted before they meet their idf, so that a frequent word is one row of each group there."""
+    rows = tokens.where(~F.col("term").isin(list(stop))) if stop else tokens
+    rows = rows.groupBy(group, "term").agg(F.count("*").alias("times")).join(idf.where(F.col("idf") >= least_idf).select("term", "idf"), "term")
+    rows = rows.select(group, "term", "times", F.round(F.col("times") * F.col("idf"), 4).alias("weight"))
     w = Window.partitionBy(group).orderBy(F.desc("weight"), "term")
     return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).drop("rn")
 
@@ -119,32 +133,44 @@ def weigh_query(terms: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
     return out.withColumn("weight", F.col("raw").cast("double") / total.cast("double")).withColumn("mandatory", F.col("attr").isin(NAME, KEYWORD)).drop("raw")
 
 
+def _needed(query_terms: DataFrame) -> DataFrame:
+    """Adds _counts (1 at the first place of a mandatory term of a query) and _need (their number in the query)."""
+    first = F.row_number().over(Window.partitionBy("query_id", "term").orderBy("pos")) == 1
+    marked = query_terms.withColumn("_counts", (F.col("mandatory") & first).cast("int"))
+    return marked.withColumn("_need", F.sum("_counts").over(Window.partitionBy("query_id")))
+
+
 def intersect_terms(query_terms: DataFrame, postings: DataFrame, key: str) -> DataFrame:
     """(query_id, key) of documents with all mandatory terms of a query, or with any term where none is mandatory."""
-    need = query_terms.groupBy("query_id").agg(F.countDistinct(F.when(F.col("mandatory"), F.col("term"))).alias("need"))
-    hits = query_terms.join(postings, "term").groupBy("query_id", key).agg(F.countDistinct(F.when(F.col("mandatory"), F.col("term"))).alias("met"))
-    return hits.join(need, "query_id").where("met = need").select("query_id", key)
+    hits = _needed(query_terms).join(postings.select("term", key), "term")
+    return hits.groupBy("query_id", key).agg(F.sum("_counts").alias("met"), F.max("_need").alias("need")).where("met = need").select("query_id", key)
 
 
 def retrieve(query_terms: DataFrame, postings: DataFrame, key: str) -> DataFrame:
-    """All matches (query, document, term, weights) of the documents that a query finds."""
-    found = intersect_terms(query_terms, postings, key)
-    return query_terms.join(postings, "term").join(found, ["query_id", key], "left_semi")
+    """All matches (query, document, term, weights) of the documents that a query finds, by one join."""
+    hits = _needed(query_terms).join(postings, "term")
+    met = F.sum("_counts").over(Window.partitionBy("query_id", key))
+    return hits.withColumn("_met", met).where("_met = _need").drop("_met", "_need", "_counts")
 
 
-def score(hits: DataFrame, key: str, scoring: Scoring = Scoring()) -> DataFrame:
-    """(query_id, key, score) of matches with w_main, w_title, w_kw: the query's match times the document's match."""
+def _scored(hits: DataFrame, key: str, scoring: Scoring, found: Column | None = None) -> DataFrame:
     main, kw, title = scoring.fields
     place = F.when(F.col("w_main") > 0, main).when(F.col("w_kw") > 0, kw).when(F.col("w_title") > 0, title).otherwise(0.0)
     exact = lambda x: F.round(x, 9).cast("decimal(24,9)")
     a = _pick("attr", {k: v[0] for k, v in scoring.document.items()}, scoring.other[0])
     b = _pick("attr", {k: v[1] for k, v in scoring.document.items()}, scoring.other[1])
     sums = hits.groupBy("query_id", key).agg(
-        F.sum(exact(F.col("weight") * place)).cast("double").alias("q"), F.sum(exact(F.greatest("w_main", "w_title") * a + F.col("w_kw") * b)).cast("double").alias("d")
-    )
+        F.sum(exact(F.col("weight") * place)).cast("double").alias("q"), F.sum(exact(F.greatest("w_main", "w_title") * a + F.col("w_kw") * b)).cast("double").alias("d"),
+        (F.lit(True) if found is None else found).alias("found"),
+    ).where("found")
     return sums.select("query_id", key, F.round(F.least("q", F.lit(1.0)) * F.least("d", F.lit(1.0)) * scoring.scale, 3).alias("score"))
 
 
+def score(hits: DataFrame, key: str, scoring: Scoring = Scoring()) -> DataFrame:
+    """(query_id, key, score) of matches with w_main, w_title, w_kw: the query's match times the document's match."""
+    return _scored(hits, key, scoring)
+
+
 def adjust_scores(hits: DataFrame, boosts: dict[str, float], base: str = "score") -> DataFrame:
     """base + the whole parts of base * value * boost / 100, for each value column."""
     total = F.col(base).cast("bigint")
@@ -154,14 +180,17 @@ def adjust_scores(hits: DataFrame, boosts: dict[str, float], base: str = "score"
 
 
 def rank_results(results: DataFrame, key: str, page: int, size: int, weight: str = "weight") -> DataFrame:
-    """A page of each query's results, best first, with the rank and the count of all."""
-    q = Window.partitionBy("query_id")
-    out = results.withColumn("rank", F.row_number().over(q.orderBy(F.desc(weight), F.asc(key)))).withColumn("total", F.count("*").over(q))
-    return out.where((F.col("rank") > page * size) & (F.col("rank") <= (page + 1) * size))
+    """A page of each query's results, best first, with the rank and the count of all. Ranks are cut in each task before
+    rows move; the count is an aggregate of its own, which reads the results once more."""
+    q = Window.partitionBy("query_id").orderBy(F.desc(weight), F.asc(key))
+    out = results.withColumn("rank", F.row_number().over(q)).where(F.col("rank") <= (page + 1) * size).where(F.col("rank") > page * size)
+    totals = results.groupBy(F.col("query_id").alias("_query")).agg(F.count("*").alias("total"))
+    return out.join(totals, F.col("query_id").eqNullSafe(F.col("_query"))).drop("_query")
 
 
 def best_answer(results: DataFrame, key: str, least: float, weight: str = "weight") -> DataFrame:
-    return rank_results(results.where(F.col(weight) >= least), key, 0, 1, weight).drop("rank", "total")
+    q = Window.partitionBy("query_id").orderBy(F.desc(weight), F.asc(key))
+    return results.where(F.col(weight) >= least).withColumn("_n", F.row_number().over(q)).where("_n = 1").drop("_n")
 
 
 def dedupe_clusters(df: DataFrame, cluster: str, doc: str, internal: str, weight: str) -> DataFrame:
@@ -176,20 +205,31 @@ def explain_scores(hits: DataFrame, key: str) -> DataFrame:
 
 
 def build_index(docs: DataFrame, key: str, title: str, keyword: str) -> DataFrame:
-    """Postings (term, key, w_main, w_title, w_kw): the first line as main title, the text as title, the keyword whole."""
-    zero = F.lit(0.0)
-    first = docs.withColumn("_m", F.split_part(title, F.lit("\n"), F.lit(1)))
-    weigh = lambda rows, c: weigh_terms(tokenise_table(rows, key, c).join(rows.select(key, F.octet_length(c).alias("field_bytes")), key).withColumn("idf", zero), key)
-    main = weigh(first, "_m").select("term", key, F.col("w").alias("w_main"), zero.alias("w_title"), zero.alias("w_kw"))
-    titles = weigh(docs, title).select("term", key, zero.alias("w_main"), F.col("w").alias("w_title"), zero.alias("w_kw"))
-    words = docs.select(F.lower(F.col(keyword)).alias("term"), key, zero.alias("w_main"), zero.alias("w_title"), F.lit(1.0).alias("w_kw"))
-    return build_postings(main.union(titles).union(words), key, ["w_main", "w_title", "w_kw"])
+    """Postings (term, key, w_main, w_title, w_kw): the first line as main title, the text as title, the keyword whole.
+
+    The first line's terms are the first of the text's, so that a text is parted once; its terms and its keyword meet in
+    one aggregate by term and document."""
+    line = F.split_part(title, F.lit("\n"), F.lit(1))
+    none = F.array().cast("array<string>")
+    rows = docs.select(
+        key, F.octet_length(title).alias("_bytes"), F.octet_length(line).alias("_line"), F.size(F.coalesce(terms(line), none)).alias("_first"),
+        F.concat(F.array(F.lower(F.col(keyword))), F.coalesce(terms(F.col(title)), none)).alias("_terms"),
+    ).select(key, "_bytes", "_line", "_first", F.posexplode("_terms").alias("_pos", "term"))
+    word = F.when(F.col("_pos") > 0, F.col("_pos"))
+    share = lambda size: F.max(F.octet_length("term") / F.col(size))
+    found = rows.groupBy("term", key).agg(
+        (F.min(word) <= F.max("_first")).alias("main"), F.min(word).isNotNull().alias("title"), (F.min("_pos") == 0).alias("kw"), share("_line").alias("m"), share("_bytes").alias("t"),
+    )
+    weight = lambda on, w: F.when(F.coalesce(on, F.lit(False)), w).otherwise(0.0)
+    return found.select("term", key, weight(F.col("main"), _steps(F.col("m"))).alias("w_main"), weight(F.col("title"), _steps(F.col("t"))).alias("w_title"), weight(F.col("kw"), F.lit(1.0)).alias("w_kw"))
 
 
 def search(query_terms: DataFrame, postings: DataFrame, key: str, page: int = 0, size: int = 10, scoring: Scoring = Scoring()) -> DataFrame:
-    """Terms (query_id, pos, term, attr, idf, query_bytes) of many queries to a page of ranked documents each."""
-    hits = retrieve(weigh_query(query_terms, scoring), postings, key)
-    return rank_results(score(hits, key, scoring).withColumnRenamed("score", "weight"), key, page, size)
+    """Terms (query_id, pos, term, attr, idf, query_bytes) of many queries to a page of ranked documents each. Matches are
+    counted and scored by one aggregate; the scores are stored, as ranks and totals both read them."""
+    hits = _needed(weigh_query(query_terms, scoring)).join(postings, "term")
+    found = _scored(hits, key, scoring, F.sum("_counts") == F.max("_need")).withColumnRenamed("score", "weight")
+    return rank_results(Scratch(postings.sparkSession, "search").save(found, "scores"), key, page, size)
 
 
 def lookup_idf(terms: DataFrame, idf: DataFrame) -> DataFrame:

@@ -11,33 +11,33 @@ from sluice.plans.registry import Registry, table
 register = Registry()
 QUERIES, SQL = register.queries, register.sql
 
-_TOK = r"tok AS (SELECT doc_id, unnest(range(len(x)))::INTEGER AS pos, unnest(x) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS x FROM documents))"
-_IDF = "idf AS (SELECT term, count(DISTINCT doc_id)::BIGINT AS df, round(ln((SELECT count(*) FROM documents) / count(DISTINCT doc_id)), 6) AS idf FROM tok GROUP BY term)"
+_TOK = r"tok AS MATERIALIZED (SELECT doc_id, unnest(range(len(x)))::INTEGER AS pos, unnest(x) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS x FROM documents))"
+_IDF = "idf AS MATERIALIZED (SELECT term, count(DISTINCT doc_id)::BIGINT AS df, round(ln((SELECT count(*) FROM documents) / count(DISTINCT doc_id)), 6) AS idf FROM tok GROUP BY term)"
 
 
 def tokens(s, d):
     return T.tokenise_table(table(s, d, "documents"), "doc_id", "text")
 
 
-def with_idf(s, d):
-    t = tokens(s, d)
-    return t.join(T.corpus_idf(t, "doc_id", table(s, d, "documents").count()), "term")
+def idf(s, d):
+    docs = table(s, d, "documents")
+    return T.corpus_idf(T.distinct_terms(docs, "doc_id", "text"), "doc_id", docs.count(), distinct=True)
 
 
 register("t1_tokenise_table", f"WITH {_TOK} SELECT * FROM tok")(tokens)
-register("t2_corpus_idf", f"WITH {_TOK}, {_IDF} SELECT * FROM idf")(lambda s, d: T.corpus_idf(tokens(s, d), "doc_id", table(s, d, "documents").count()))
+register("t2_corpus_idf", f"WITH {_TOK}, {_IDF} SELECT * FROM idf")(idf)
 _WEIGHED = f"""WITH {_TOK}, {_IDF}, b AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents),
 w AS (SELECT tok.doc_id, tok.term, max((octet_length(encode(tok.term))::DOUBLE / n + CASE WHEN idf > 0 THEN log10(idf) ELSE 0 END) * 0.9) AS w FROM tok JOIN idf ON tok.term = idf.term JOIN b ON tok.doc_id = b.doc_id GROUP BY ALL)
 SELECT doc_id, term, floor(least(greatest(w, 0.0), 1.0) * 255) / 255 AS w FROM w"""
 register("t3_weigh_terms", _WEIGHED)(
-    lambda s, d: T.weigh_terms(with_idf(s, d).join(table(s, d, "documents").select("doc_id", F.octet_length("text").alias("field_bytes")), "doc_id"), "doc_id", 0.9))
+    lambda s, d: T.weigh_terms(T.distinct_terms(table(s, d, "documents"), "doc_id", "text").join(idf(s, d), "term"), "doc_id", 0.9))
 _PTOK = r"SELECT p_partkey, t AS term, floor(least(max(octet_length(encode(t))::DOUBLE / octet_length(encode(p_name)) * 0.9), 1.0) * 255) / 255 AS w FROM (SELECT p_partkey, p_name, unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+')) AS t FROM part) GROUP BY ALL"
 register("t4_index_fields", f"SELECT p_partkey, 'whole_p_brand_' || lower(p_brand) AS term, 1.0::DOUBLE AS w FROM part UNION ALL SELECT * FROM ({_PTOK.replace('GROUP BY ALL', 'GROUP BY p_partkey, t')}) UNION ALL SELECT p_partkey, 'field_p_name_' || term, w FROM ({_PTOK.replace('GROUP BY ALL', 'GROUP BY p_partkey, t')})")(
     lambda s, d: T.index_fields(table(s, d, "part"), "p_partkey", ["p_brand"], ["p_name"]))
 register("a12_build_postings", f"WITH {_TOK} SELECT term, doc_id, max(pos)::INTEGER AS pos FROM tok GROUP BY term, doc_id")(lambda s, d: T.build_postings(tokens(s, d), "doc_id", ["pos"]))
 register("a13_top_keywords", f"""WITH {_TOK}, {_IDF}, k AS (SELECT lang, tok.term, count(*)::BIGINT AS times, round(count(*) * max(idf), 4) AS weight FROM tok JOIN idf ON tok.term = idf.term JOIN documents ON tok.doc_id = documents.doc_id WHERE idf >= 0.2 AND tok.term NOT IN ('the', 'and') GROUP BY ALL)
 SELECT lang, term, times, weight FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS rn FROM k) WHERE rn <= 20""")(
-    lambda s, d: T.top_keywords(with_idf(s, d).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id"), "lang", 20, 0.2, ("the", "and")))
+    lambda s, d: T.top_keywords(T.tokenise_table(table(s, d, "documents"), "lang", "text"), idf(s, d), "lang", 20, 0.2, ("the", "and")))
 register("a14_select_words", f"WITH {_TOK} SELECT DISTINCT term FROM tok WHERE regexp_matches(term, '^[0-9]+$')")(lambda s, d: T.select_words(tokens(s, d), "^[0-9]+$"))
 register("a14_has_word", f"WITH {_TOK} SELECT doc_id, bool_or(regexp_matches(term, '^[0-9]+$')) AS has_word FROM tok GROUP BY doc_id")(lambda s, d: T.has_word(tokens(s, d), "doc_id", "^[0-9]+$"))
 
@@ -84,21 +84,20 @@ def whole_query_terms(s, d):
 
 def known(s, d, t, size):
     words = s.createDataFrame(list(DICTIONARY.items()), "term string, attr int")
-    idf = T.corpus_idf(tokens(s, d), "doc_id", table(s, d, "documents").count())
-    return t.join(size, "query_id").join(F.broadcast(words), "term", "left").na.fill(T.UNKNOWN, ["attr"]).join(idf.select("term", "idf"), "term")
+    return t.join(size, "query_id").join(F.broadcast(words), "term", "left").na.fill(T.UNKNOWN, ["attr"]).join(idf(s, d).select("term", "idf"), "term")
 
 
 _QT = f"""{_DICT}, q0 AS (SELECT doc_id AS query_id, pos, term FROM tok WHERE doc_id % 20 = 0 AND pos BETWEEN 1 AND 3),
 qt AS (SELECT q0.*, sum(octet_length(encode(q0.term))) OVER (PARTITION BY query_id) + 2 AS query_bytes, coalesce(attr, 0) AS attr, idf FROM q0 LEFT JOIN dict ON q0.term = word JOIN idf ON idf.term = q0.term),
 qr AS (SELECT *, round((octet_length(encode(term))::DOUBLE / query_bytes + CASE WHEN idf > 1 THEN log10(idf) ELSE 0 END) * CASE attr WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 1.1::DOUBLE WHEN 3 THEN 1.0::DOUBLE WHEN 10 THEN 0.1::DOUBLE ELSE 0.3::DOUBLE END, 9)::DECIMAL(18,9) AS raw FROM qt),
-qw AS (SELECT query_id, pos, term, attr, raw::DOUBLE / (sum(raw) OVER (PARTITION BY query_id))::DOUBLE AS weight, attr IN (1, 2) AS mandatory FROM qr)"""
+qw AS MATERIALIZED (SELECT query_id, pos, term, attr, raw::DOUBLE / (sum(raw) OVER (PARTITION BY query_id))::DOUBLE AS weight, attr IN (1, 2) AS mandatory FROM qr)"""
 _POST = r"""mt AS (SELECT doc_id, split_part(text, chr(10), 1) AS m, text, lang FROM documents),
 pm AS (SELECT doc_id, t AS term, floor(least(max(octet_length(encode(t))::DOUBLE / octet_length(encode(m))), 1.0) * 255) / 255 AS w FROM (SELECT doc_id, m, unnest(regexp_extract_all(lower(m), '[\p{L}\p{N}]+')) AS t FROM mt) GROUP BY doc_id, t),
 pt AS (SELECT doc_id, t AS term, floor(least(max(octet_length(encode(t))::DOUBLE / octet_length(encode(text))), 1.0) * 255) / 255 AS w FROM (SELECT doc_id, text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM mt) GROUP BY doc_id, t),
-post AS (SELECT term, doc_id, max(w_main) AS w_main, max(w_title) AS w_title, max(w_kw) AS w_kw FROM (SELECT term, doc_id, w AS w_main, 0.0::DOUBLE AS w_title, 0.0::DOUBLE AS w_kw FROM pm UNION ALL SELECT term, doc_id, 0.0, w, 0.0 FROM pt UNION ALL SELECT lang, doc_id, 0.0, 0.0, 1.0 FROM mt) GROUP BY term, doc_id)"""
+post AS MATERIALIZED (SELECT term, doc_id, max(w_main) AS w_main, max(w_title) AS w_title, max(w_kw) AS w_kw FROM (SELECT term, doc_id, w AS w_main, 0.0::DOUBLE AS w_title, 0.0::DOUBLE AS w_kw FROM pm UNION ALL SELECT term, doc_id, 0.0, w, 0.0 FROM pt UNION ALL SELECT lang, doc_id, 0.0, 0.0, 1.0 FROM mt) GROUP BY term, doc_id)"""
 _FOUND = """need AS (SELECT query_id, count(DISTINCT CASE WHEN mandatory THEN term END) AS need FROM qw GROUP BY query_id),
-found AS (SELECT qw.query_id, doc_id FROM qw JOIN post ON qw.term = post.term JOIN need ON need.query_id = qw.query_id GROUP BY qw.query_id, doc_id, need HAVING count(DISTINCT CASE WHEN mandatory THEN qw.term END) = need),
-hits AS (SELECT qw.*, post.doc_id, w_main, w_title, w_kw FROM qw JOIN post ON qw.term = post.term JOIN found ON found.query_id = qw.query_id AND found.doc_id = post.doc_id)"""
+found AS MATERIALIZED (SELECT qw.query_id, doc_id FROM qw JOIN post ON qw.term = post.term JOIN need ON need.query_id = qw.query_id GROUP BY qw.query_id, doc_id, need HAVING count(DISTINCT CASE WHEN mandatory THEN qw.term END) = need),
+hits AS MATERIALIZED (SELECT qw.*, post.doc_id, w_main, w_title, w_kw FROM qw JOIN post ON qw.term = post.term JOIN found ON found.query_id = qw.query_id AND found.doc_id = post.doc_id)"""
 _SCORE = """sums AS (SELECT query_id, doc_id, sum(round(weight * CASE WHEN w_main > 0 THEN 1.0::DOUBLE WHEN w_kw > 0 THEN 0.9::DOUBLE WHEN w_title > 0 THEN 0.8::DOUBLE ELSE 0 END, 9)::DECIMAL(24,9))::DOUBLE AS q,
   sum(round(greatest(w_main, w_title) * CASE attr WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.4::DOUBLE ELSE 0.9::DOUBLE END + w_kw * CASE attr WHEN 1 THEN 0.2::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END, 9)::DECIMAL(24,9))::DOUBLE AS d FROM hits GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, round(least(q, 1.0) * least(d, 1.0) * 10000, 3) AS score FROM sums)"""
@@ -134,13 +133,14 @@ register("t6_weigh_query", f"WITH {_TOK}, {_IDF}, {_QT} SELECT query_id, pos, te
 register("u5_intersect_terms", f"{_ALL} SELECT query_id, doc_id FROM found")(lambda s, d: T.intersect_terms(weighed(s, d), postings(s, d), "doc_id"))
 register("t7_retrieve", f"{_ALL} SELECT query_id, doc_id, term, pos, w_main, w_title, w_kw FROM hits")(
     lambda s, d: T.retrieve(weighed(s, d), postings(s, d), "doc_id").select("query_id", "doc_id", "term", "pos", "w_main", "w_title", "w_kw"))
-register("t8_score", f"{_ALL} SELECT query_id, doc_id, round(score, 1) AS score FROM scored")(lambda s, d: scored(s, d).withColumn("score", F.round("score", 1)))
+register("t8_score", f"{_ALL} SELECT query_id, doc_id, score FROM scored")(scored)
 register("t9_adjust_scores", "SELECT doc_id, (n_chars::BIGINT + trunc(n_chars * (doc_id % 10) * 0.5::DOUBLE * 0.01::DOUBLE)::BIGINT)::BIGINT AS weight FROM documents")(
     lambda s, d: T.adjust_scores(table(s, d, "documents").selectExpr("doc_id", "cast(n_chars AS double) AS score", "doc_id % 10 AS v"), {"v": 0.5}).select("doc_id", "weight"))
 _RANK = "r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM scored)"
-register("t10_search", f"{_ALL}, {_RANK} SELECT query_id, rank::INTEGER AS rank, total::BIGINT AS total FROM r WHERE rank <= 10")(
-    lambda s, d: T.search(query_terms(s, d), postings(s, d), "doc_id").select("query_id", "rank", "total"))
-register("t11_explain_scores")(lambda s, d: T.explain_scores(T.retrieve(whole_weighed(s, d), postings(s, d), "doc_id"), "doc_id"))
+register("t10_search", f"{_ALL}, {_RANK} SELECT query_id, doc_id, score, rank::INTEGER AS rank, total::BIGINT AS total FROM r WHERE rank <= 10")(
+    lambda s, d: T.search(query_terms(s, d), postings(s, d), "doc_id").select("query_id", "doc_id", F.col("weight").alias("score"), "rank", "total"))
+register("t11_explain_scores", f"""{_WHOLE}, lines AS (SELECT query_id, doc_id, printf('%s: query %.4f, main %.4f, title %.4f, keyword %.4f', term, weight, w_main, w_title, w_kw) AS x FROM hits)
+SELECT query_id, doc_id, string_agg(x, chr(10) ORDER BY x) AS why FROM lines GROUP BY query_id, doc_id""")(lambda s, d: T.explain_scores(T.retrieve(whole_weighed(s, d), postings(s, d), "doc_id"), "doc_id"))
 register("t6_weigh_whole_query", f"WITH {_TOK}, {_IDF}, {_WQT} SELECT query_id, pos, term, round(weight, 6) AS weight, mandatory FROM qw")(
     lambda s, d: whole_weighed(s, d).select("query_id", "pos", "term", F.round("weight", 6).alias("weight"), "mandatory"))
 register("u5_intersect_whole_queries", f"{_WHOLE} SELECT query_id, doc_id FROM found")(lambda s, d: T.intersect_terms(whole_weighed(s, d), postings(s, d), "doc_id"))
@@ -158,6 +158,18 @@ register("w1_dedupe_clusters", "SELECT source, doc_id FROM (SELECT source, doc_i
     lambda s, d: T.dedupe_clusters(table(s, d, "documents").select("source", "doc_id", F.col("doc_id").alias("iid"), "n_chars"), "source", "doc_id", "iid", "n_chars").select("source", "doc_id"))
 register("b3_build_index", f"WITH {_POST} SELECT term, doc_id, w_main, w_title, w_kw FROM post")(postings)
 
+#: Queries of which a template matches some and misses others, with words to ignore, parts too long and nulls.
+SOME = [(1, "what[D:role][W:1-3]?", "what"), (2, "[D:role]is[F:num]", "number")]
+
+
+def mixed(s, d):
+    kind = "CASE conv_id % 6 WHEN 0 THEN concat('what', role, 'ab?') WHEN 1 THEN concat('what', role, 'abcd?') WHEN 2 THEN concat('um', role, 'umis', turn) WHEN 3 THEN concat(role, 'is', turn, 'x') WHEN 4 THEN text END"
+    return table(s, d, "conversations").selectExpr("conv_id * 1000 + turn AS query_id", f"{kind} AS query")
+
+
+register("q1_match_some_templates", "SELECT conv_id * 1000 + turn AS query_id, CASE conv_id % 6 WHEN 0 THEN 1 ELSE 2 END::INTEGER AS template_id FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 6 IN (0, 2)")(
+    lambda s, d: M.match_templates(mixed(s, d), SOME, {"role": ["user", "assistant"]}, ["um"]).select("query_id", "template_id"))
+
 TEMPLATES = [(1, "please [D:role][W:1-4]now", "ask"), (2, "please [D:role][F:num]now", "count")]
 LEXICON = {"role": ["user", "assistant"]}
 
@@ -176,6 +188,11 @@ register("q3_match_domains", f"WITH {_ASKED} SELECT query_id, 'a' AS domain, 'as
 register("q4_tag_spans", "SELECT doc_id, section, attr::INTEGER AS attr FROM (SELECT doc_id, unnest(['edsh', 'x', lang]) AS section, unnest([2, 0, CASE lang WHEN 'en' THEN 1 ELSE 0 END]) AS attr FROM documents)")(
     lambda s, d: M.tag_spans(table(s, d, "documents").select("doc_id", F.concat(F.lit("edshx"), F.when(F.col("lang") == "en", "en").otherwise("")).alias("t")), "doc_id", "t", {"ed": 3, "edsh": 2, "en": 1}).select("doc_id", "section", "attr"))
 SQL["q4_tag_spans"] = "SELECT doc_id, 'edsh' AS section, 2::INTEGER AS attr FROM documents UNION ALL SELECT doc_id, 'x', 0 FROM documents UNION ALL SELECT doc_id, 'en', 1 FROM documents WHERE lang = 'en'"
+SPANS = {"the": 3, "der": 2, "tion": 1, "an": 4, "ander": 5}
+register("q4_tag_text_spans", f"""WITH p AS (SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(1), chr(2)), '({'|'.join(sorted(SPANS, key=lambda w: (-len(w), w)))})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents),
+u AS (SELECT doc_id, unnest(x) AS section, unnest(range(len(x))) AS i FROM p)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS ordinal, section, CASE WHEN i % 2 = 1 THEN CASE section {' '.join(f"WHEN '{w}' THEN {a}" for w, a in SPANS.items())} END ELSE 0 END::INTEGER AS attr FROM u WHERE section <> ''""")(
+    lambda s, d: M.tag_spans(table(s, d, "documents").select("doc_id", F.translate("text", "\x01", "\x02").alias("text")), "doc_id", "text", SPANS))
 register("q5_arbitrate", """WITH r AS (SELECT event_id // 4 AS query_id, event_id % 4 AS ord, event_type AS system, event_id % 7 <> 0 AS ok, value AS score, event_id % 3 AS level, 1 AS rl FROM events),
 l AS (SELECT * FROM r WHERE ok AND score >= 5), f AS (SELECT query_id, min(ord) AS o0 FROM l GROUP BY 1), z AS (SELECT l.*, f.o0, h.score AS s0, h.level AS l0 FROM l JOIN f ON l.query_id = f.query_id JOIN l h ON h.query_id = f.query_id AND h.ord = f.o0),
 k AS (SELECT *, CASE WHEN ord = o0 AND s0 >= 20 THEN 0 WHEN s0 < 20 AND ord > o0 AND score >= 20 AND abs(level - l0) <= 1 THEN 1 WHEN ord = o0 THEN 2 END AS rank FROM z)
