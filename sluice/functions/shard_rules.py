@@ -195,20 +195,30 @@ def jump_hash(n: int) -> Rule:
     return lambda c: F.when(c.isNotNull(), _jump(F.coalesce(java_hash(c.cast("string")), F.lit(0)), n))
 
 
+def murmur3_all(texts: list[str], seed: int) -> np.ndarray:
+    """Signed 32-bit Murmur3 of each string's UTF-16 code units; strings of one length are worked out together."""
+    data = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    sizes, out = np.array([len(d) for d in data], np.int64), np.zeros(len(data), np.int64)
+    turn = lambda x, n: (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        units = np.frombuffer(b"".join(data[i] for i in at), "<u2").reshape(len(at), size // 2).astype(np.uint32)
+        h = np.full(len(at), seed & _MASK, np.uint32)
+        for i in range(0, size // 2, 2):
+            whole = i + 1 < size // 2
+            k = units[:, i] | (units[:, i + 1] << np.uint32(16)) if whole else units[:, i]
+            h ^= turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+            if whole:
+                h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(size)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        out[at] = (h ^ (h >> np.uint32(16))).view(np.int32)
+    return out
+
+
 def murmur3(text: str, seed: int) -> int:
-    """Signed 32-bit Murmur3 of a string's UTF-16 code units."""
-    data = text.encode("utf-16-le", "surrogatepass")
-    h = seed & _MASK
-    for i in range(0, len(data), 4):
-        k = int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & _MASK
-        h ^= ((k << 15 | k >> 17) & _MASK) * 0x1B873593 & _MASK
-        if i + 4 <= len(data):
-            h = ((h << 13 | h >> 19) & _MASK) * 5 + 0xE6546B64 & _MASK
-    h ^= len(data)
-    h = (h ^ h >> 16) * 0x85EBCA6B & _MASK
-    h = (h ^ h >> 13) * 0xC2B2AE35 & _MASK
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
+    return int(murmur3_all([text], seed)[0])
 
 
 def murmur_points(n: int, seed: int = 0, vnodes: int = 160, weights: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +240,7 @@ def murmur_ring(n: int, seed: int = 0, vnodes: int = 160, weights: dict[int, int
     def rule(c):
         @F.pandas_udf("int")
         def find(values: pd.Series) -> pd.Series:
-            at = np.searchsorted(places, [murmur3(v or "", seed) for v in values], "left")
+            at = np.searchsorted(places, murmur3_all([v or "" for v in values], seed), "left")
             return pd.Series(shards[at % len(places)])
 
         return F.when(c.isNotNull(), find(c.cast("string")))

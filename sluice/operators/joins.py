@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast on request only if it has no more rows than this; else the join shuffles.
-BROADCAST_ROWS = 100_000
+#: A side is broadcast on request only if it has no more rows and bytes than this; else the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint, if it is small; a limited count tells, so that a large one is not read through."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The table with a broadcast hint, if it is small: by the plan's own statistics, or, where they cannot tell, by a
+    count of rows and bytes that stops after `rows` rows, so that a large table is not read through."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= size:
+        return F.broadcast(df)
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(df) if found.n <= rows and (found.bytes or 0) <= size else df
 
 
 def cross_shard_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
@@ -29,9 +33,11 @@ def replicated_join(fact: DataFrame, dimension: DataFrame, fact_key: str, key: s
     return fact.join(small(dimension), fact[fact_key] == dimension[key]).drop(dimension[key])
 
 
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """A table laid out by hash of a key; tables with equal buckets join on it without moving rows."""
-    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """A table laid out by hash of a key, in `path` (else the warehouse); tables with equal buckets join on it without
+    moving rows."""
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return df.sparkSession.table(name)
 
 

@@ -55,7 +55,7 @@ def table_heat(log: DataFrame) -> DataFrame:
     """Of each statement's first table: reads, writes, last use, and the tables used with it."""
     rows = log.withColumn("t", tables_of(F.col("sql"))).where(F.size("t") > 0).withColumn("main", F.col("t")[0])
     heat = rows.groupBy("main").agg(F.count_if(F.col("sql_type").isin(*READS)).alias("reads"), F.count_if(F.col("sql_type").isin(*WRITES)).alias("writes"), F.max("end_ts").alias("last_ts"))
-    along = rows.select("main", F.explode(F.slice("t", 2, 1000)).alias("other")).groupBy("main", "other").agg(F.count("*").alias("k"))
+    along = rows.select("main", F.explode(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0)))).alias("other")).groupBy("main", "other").agg(F.count("*").alias("k"))
     along = along.groupBy("main").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("other", "k"))), lambda x: F.concat(x["other"], F.lit("="), x["k"].cast("string"))), ",").alias("used_with"))
     return heat.join(along, "main", "left").withColumn("used_with", F.coalesce("used_with", F.lit("")))
 
@@ -84,14 +84,20 @@ def large_results(log: DataFrame, rows: int = 10_000, n: int = 10) -> DataFrame:
 
 
 def trailing_averages(df: DataFrame, key: str, ts: str, value: str, minutes: tuple[int, ...] = (1, 10, 30)) -> DataFrame:
-    """The mean of the values of the last minutes at every observation; negative values do not count."""
+    """The mean of the values of the last minutes at every observation; negative values do not count.
+
+    A key's rows are parted into spans of time, four times the longest window; the rows that the next span looks back
+    to are copied into it. So a key with many rows fills many tasks."""
+    longest = max(minutes) * 60_000_000
+    span = 4 * longest
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.where(F.col(value) >= 0).withColumn("_t", micros).withColumn("_v", F.col(value).cast("decimal(24,4)"))
-    out = rows
+    rows = df.where(F.col(value) >= 0).withColumn("_t", micros).withColumn("_v", F.col(value).cast("decimal(24,4)")).withColumn("_own", F.floor(F.col("_t") / F.lit(span)))
+    reaches = F.col("_t") >= (F.col("_own") + 1) * span - longest
+    out = rows.withColumn("_span", F.explode(F.when(reaches, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
     for m in minutes:
-        w = Window.partitionBy(key).orderBy("_t").rangeBetween(-m * 60_000_000, 0)
+        w = Window.partitionBy(key, "_span").orderBy("_t").rangeBetween(-m * 60_000_000, 0)
         out = out.withColumn(f"avg_{m}m", F.round(F.sum("_v").over(w).cast("double") / F.count("_v").over(w), 4))
-    return out.drop("_t", "_v")
+    return out.where(F.col("_span") == F.col("_own")).drop("_t", "_v", "_own", "_span")
 
 
 def last_n(df: DataFrame, key: str, ts: str, tie: str, n: int) -> DataFrame:

@@ -14,6 +14,7 @@ from sluice.operators.joins import small
 
 #: Words of a dictionary that one alternation of the expression form holds; larger dictionaries go through pandas.
 ALTERNATION = 2000
+MAX_TEMPLATES = 10_000
 _FUNCTIONS = {"num": r"([0-9.]*+)"}
 _PART = re.compile(r"\[([^\[\]]*)\]|([^\[\]]+)|(.)", re.S)
 
@@ -54,8 +55,11 @@ def compile_template(template: str, lexicon: dict[str, list[str]], ignore: list[
 
 def match_templates(queries: DataFrame, templates: list[tuple[int, str, str]], lexicon: dict[str, list[str]], ignore: list[str]) -> DataFrame:
     """(query_id, query, template_id, attr, pattern, slots) of each template (id, text, attr) that matches a whole
-    query. The templates are compiled here and sent along; their number is that of a hand-made table."""
+    query; a null query matches none. The templates are compiled here and sent along: a hand-made table, of MAX_TEMPLATES
+    at most, which every query meets."""
     spark = queries.sparkSession
+    if len(templates) > MAX_TEMPLATES:
+        raise ValueError(f"{len(templates)} templates; every query would meet each of them (at most {MAX_TEMPLATES})")
     rows = [(i, attr, *compile_template(t, lexicon, ignore)) for i, t, attr in templates]
     table = spark.createDataFrame(rows, "template_id int, attr string, pattern string, slots array<string>")
     return queries.select("query_id", "query").join(F.broadcast(table), F.regexp_like("query", F.col("pattern")))

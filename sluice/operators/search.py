@@ -216,7 +216,7 @@ def build_index(docs: DataFrame, key: str, title: str, keyword: str) -> DataFram
         F.concat(F.array(F.lower(F.col(keyword))), F.coalesce(terms(F.col(title)), none)).alias("_terms"),
     ).select(key, "_bytes", "_line", "_first", F.posexplode("_terms").alias("_pos", "term"))
     word = F.when(F.col("_pos") > 0, F.col("_pos"))
-    share = lambda size: F.max(F.octet_length("term") / F.col(size))
+    share = lambda size: F.max(F.try_divide(F.octet_length("term"), F.col(size)))  # noqa: E731; a line or text may be empty
     found = rows.groupBy("term", key).agg(
         (F.min(word) <= F.max("_first")).alias("main"), F.min(word).isNotNull().alias("title"), (F.min("_pos") == 0).alias("kw"), share("_line").alias("m"), share("_bytes").alias("t"),
     )

@@ -20,8 +20,9 @@ def assign_shards(df: DataFrame, column: str, rule: Rule, name: str = "shard", s
 
 
 def write_sharded(df: DataFrame, column: str, rule: Rule, path: str) -> None:
-    """A folder for each shard."""
-    assign_shards(df, column, rule, strict=True).repartition("shard").write.partitionBy("shard").parquet(path)
+    """A folder for each shard. Rows are dealt out by shard and rebalanced by size, so that a hot shard is written by
+    several tasks, as several files."""
+    assign_shards(df, column, rule, strict=True).hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
 
 
 def prune_shards(spark, rule: Rule, dtype: str, values: Iterable | None = None, between: tuple[int, int] | None = None, contiguous: bool = False, n: int = 0) -> list[int]:

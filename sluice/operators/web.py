@@ -7,35 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.operators.joins import small
+from sluice.operators.ordering import row_numbers
 from sluice.sources.scratch import Scratch
 
 MAX_URL, MAX_HOST, MAX_PAGE = 512, 40, 100_000
 _DROPPED = "\x00"
 
 
-def _decode(path: Column) -> Column:
-    """Printable %xx decoded, but %20 and %2F (and %25, whose sign would start another escape) kept; a bad escape makes null."""
-    pieces = F.split(path, "%")
-    head = F.element_at(pieces, 1)
-    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+def _decoded(pieces: Column) -> Column:
+    """A path in its pieces between % signs: printable %xx decoded, but %20 and %2F (and %25, whose sign would start
+    another escape) kept; a bad escape makes null."""
+    rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
     code = lambda p: F.conv(F.substring(p, 1, 2), 16, 10).cast("int")
     fine = lambda p: F.substring(p, 1, 2).rlike("^[0-9A-Fa-f]{2}$")
     keep = lambda p: code(p).isin(0x20, 0x25, 0x2F) | (code(p) < 0x20) | (code(p) > 0x7E)
-    one = lambda p: F.when(keep(p), F.concat(F.lit("%"), p)).otherwise(F.concat(F.char(code(p)), F.substring(p, 3, 1_000_000)))
-    bad = F.exists(rest, lambda p: ~fine(p))
-    return F.when(~bad, F.concat(head, F.array_join(F.transform(rest, one), "")))
+    one = lambda p: F.when(keep(p), F.concat(F.lit("%"), p)).otherwise(F.concat(F.char(code(p)), F.substring(p, F.lit(3), F.length(p))))
+    return F.when(~F.exists(rest, lambda p: ~fine(p)), F.concat(F.element_at(pieces, 1), F.array_join(F.transform(rest, one), "")))
 
 
-def _fold(path: Column) -> Column:
-    """/./, // and /../ resolved; a path that climbs above its root is null."""
-    parts = F.slice(F.split(path, "/"), 2, 1_000_000)
-    last = F.element_at(parts, -1)
-    slash = F.when(last.isin("", ".", ".."), "/").otherwise("")
+def _kept(parts: Column) -> Column:
+    """The parts of a path between slashes, /./, // and /../ resolved; _DROPPED is among them if it climbs above its root."""
     start = F.array().cast("array<string>")
-    step = lambda a, p: F.when(p.isin("", "."), a).when(p == "..", F.when(F.size(a) == 0, F.array(F.lit(_DROPPED), F.lit(_DROPPED))).otherwise(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))).otherwise(F.concat(a, F.array(p)))
-    kept = F.aggregate(parts, start, step)
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
-    return F.when(~F.array_contains(kept, _DROPPED), F.when(F.size(kept) == 0, "/").otherwise(F.concat(joined, slash)))
+    up = lambda a: F.when(F.size(a) == 0, F.array(F.lit(_DROPPED), F.lit(_DROPPED))).otherwise(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))))
+    return F.aggregate(parts, start, lambda a, p: F.when(p.isin("", "."), a).when(p == "..", up(a)).otherwise(F.concat(a, F.array(p))))
 
 
 def canonical_urls(df: DataFrame, column: str, name: str = "canonical") -> DataFrame:
@@ -43,11 +37,17 @@ def canonical_urls(df: DataFrame, column: str, name: str = "canonical") -> DataF
     null for anything else. A port is kept if it is not 80 (443 for https)."""
     pattern = r"^(?i)(https?)://([^/?#:]+)(?::(\d+))?([^?#]*)(\?[^#]*)?"
     part = lambda i: F.regexp_extract(column, pattern, i)
-    scheme, port = F.lower(part(1)), part(3)
-    default = F.when(scheme == "http", "80").otherwise("443")
-    path = _decode(_fold(F.when(part(4) == "", "/").otherwise(part(4))))
-    url = F.concat(scheme, F.lit("://"), F.lower(part(2)), F.when((port != "") & (port != default), F.concat(F.lit(":"), port)).otherwise(""), path, part(5))
-    return df.withColumn(name, F.when(F.col(column).rlike(pattern), url))
+    u = F.col("_u")
+    default = F.when(u["scheme"] == "http", "80").otherwise("443")
+    head = F.concat(u["scheme"], F.lit("://"), u["host"], F.when((u["port"] != "") & (u["port"] != default), F.concat(F.lit(":"), u["port"])).otherwise(""))
+    last = F.element_at("_parts", -1)
+    folded = F.concat(F.lit("/"), F.array_join("_kept", "/"), F.when((F.size("_kept") > 0) & last.isin("", ".", ".."), "/").otherwise(""))
+    # A column for each step: a step that the next uses more than once is worked out once.
+    rows = df.withColumn("_u", F.when(F.col(column).rlike(pattern), F.struct(F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("host"), part(3).alias("port"), part(4).alias("path"), part(5).alias("query"))))
+    rows = rows.withColumn("_parts", F.split(F.when(u["path"] == "", "/").otherwise(u["path"]), "/")).withColumn("_parts", F.slice("_parts", F.lit(2), F.size("_parts")))
+    rows = rows.withColumn("_kept", _kept(F.col("_parts")))
+    rows = rows.withColumn("_pieces", F.split(F.when(~F.array_contains("_kept", _DROPPED), folded), "%"))
+    return rows.withColumn(name, F.concat(head, _decoded(F.col("_pieces")), u["query"])).drop("_u", "_parts", "_kept", "_pieces")
 
 
 def url_site(df: DataFrame, column: str, name: str = "site") -> DataFrame:
@@ -141,33 +141,40 @@ def dedupe_pages(df: DataFrame, column: str, order: str) -> DataFrame:
 
 
 def cap_per_group(df: DataFrame, key: str, n: int, order: str, name: str = "deferred") -> DataFrame:
-    """The first n rows of each key are taken, the others deferred."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn(name, F.row_number().over(w) > n)
+    """The first n rows of each key are taken, the others deferred; a hot key is numbered by many tasks."""
+    out = row_numbers(df, [key], [order], "_rn", Scratch(df.sparkSession, "cap"))
+    return out.withColumn(name, F.col("_rn") > n).drop("_rn")
 
 
 def politeness_schedule(frontier: DataFrame, key: str, order: str, wait: int, start: int = 0) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    return frontier.withColumn("fetch_at", (F.lit(start) + (F.row_number().over(w) - 1) * wait).cast("bigint"))
+    out = row_numbers(frontier, [key], [order], "_rn", Scratch(frontier.sparkSession, "polite"))
+    return out.withColumn("fetch_at", (F.lit(start) + (F.col("_rn") - 1) * wait).cast("bigint")).drop("_rn")
 
 
 def expand_frontier(seeds: DataFrame, links: DataFrame, depth: int, reset_on_new_site: bool = False) -> DataFrame:
     """(url, depth) of all that seeds reach over links (source, target) in `depth` steps, at their least depth. With
-    reset_on_new_site a link to another host starts over, for as long as a better budget turns up."""
+    reset_on_new_site a link to another host starts over, for as long as a better budget turns up. A step writes what it
+    found and nothing else; a URL's least depth is taken over all steps."""
     scratch = Scratch(seeds.sparkSession, "frontier")
-    seen = scratch.save(seeds.select("url", F.lit(0).alias("depth")).distinct(), "seen")
-    fresh = seen
+    fresh = scratch.save(seeds.select("url", F.lit(0).alias("depth")).distinct(), "fresh")
+    steps = [fresh]
     while not fresh.isEmpty():
+        had = seeds.sparkSession.read.schema(fresh.schema).parquet(*[scratch.paths[id(x)][0] for x in steps]).groupBy("url").agg(F.min("depth").alias("had"))
         step = fresh.where(F.col("depth") < depth).join(links, F.col("url") == F.col("source"))
         new_depth = F.col("depth") + 1
         if reset_on_new_site:
             host = lambda c: F.regexp_extract(c, r"^https?://([^/?#:]+)", 1)
             new_depth = F.when(host("source") != host("target"), 0).otherwise(new_depth)
         step = step.select(F.col("target").alias("url"), new_depth.alias("depth")).groupBy("url").agg(F.min("depth").alias("depth"))
-        better = step.join(seen.select("url", F.col("depth").alias("had")), "url", "left").where("had IS NULL OR depth < had").select("url", "depth")
+        better = step.join(had, "url", "left").where("had IS NULL OR depth < had").select("url", "depth")
         fresh = scratch.save(better, "fresh")
-        seen = scratch.save(seen.join(fresh.select("url"), "url", "left_anti").union(fresh), "seen")
-    return seen
+        steps.append(fresh)
+    return seeds.sparkSession.read.schema(fresh.schema).parquet(*[scratch.paths[id(x)][0] for x in steps]).groupBy("url").agg(F.min("depth").alias("depth"))
+
+
+def unlinked(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """Seeds (url) that no link from another page has as its target."""
+    return seeds.join(links.where("source <> target").select(F.col("target").alias("url")), "url", "left_anti")
 
 
 def prioritise(frontier: DataFrame, privileged: list[str], url: str = "url", waiting: str = "waiting") -> DataFrame:

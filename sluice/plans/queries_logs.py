@@ -19,8 +19,7 @@ _WITH = f"WITH log AS ({_LOG.replace('cast(value AS BIGINT)', 'trunc(value)::BIG
 
 
 def log(spark, d) -> DataFrame:
-    table(spark, d, "events").createOrReplaceTempView("events")
-    return spark.sql(_LOG)
+    return spark.sql(_LOG.replace("FROM events", "FROM {rows}"), rows=table(spark, d, "events"))
 
 
 register("a21_statement_frequency", f"""{_WITH} SELECT statement, count(*)::BIGINT AS n, min(CASE WHEN exec_ms > 0 THEN exec_ms END) AS least_ms, max(exec_ms) AS most_ms, (sum(exec_ms) // count(*))::BIGINT AS mean_ms, max(end_ts) AS last_ts, sum(exec_ms)::BIGINT AS total_ms FROM fp GROUP BY 1

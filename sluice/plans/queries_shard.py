@@ -50,8 +50,44 @@ h AS (SELECT c_custkey, (k + (k % 2) * 2147483648) % 4294967296 AS k FROM g)
 SELECT c_custkey, (abs(CASE WHEN k >= 2147483648 THEN k - 4294967296 ELSE k END) % 12)::INTEGER AS shard FROM h"""
 rule_query("h7_hash_mod", "customer", "c_custkey", "c_name", H.hash_mod(12), "0")
 SQL["h7_hash_mod"] = _MIX
+
+
+def _jump_sql(keys: str, n: int, out: str) -> str:
+    """SQL of a jump consistent hash: `keys` gives id and k (64 bits, unsigned), `out` makes the shard of id and b."""
+    return f"""WITH RECURSIVE r AS (SELECT id, k::HUGEINT AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM ({keys}) UNION ALL
+SELECT id, nk, j, trunc((j + 1) * (2147483648.0::DOUBLE / ((nk // 8589934592)::DOUBLE + 1.0::DOUBLE)))::BIGINT FROM (SELECT *, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS nk FROM r WHERE j < {n}))
+{out}"""
+
+
+_DIGITS = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(o_orderkey::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296)"
+_JUMP = _jump_sql(f"SELECT o_orderkey AS id, CASE WHEN h >= 2147483648 THEN h::HUGEINT - 4294967296 + 18446744073709551616::HUGEINT ELSE h::HUGEINT END AS k FROM (SELECT o_orderkey, {_DIGITS} AS h FROM orders)", 16, "SELECT id AS o_orderkey, b::INTEGER AS shard FROM r WHERE j >= 16")
+_SPAN = _jump_sql("SELECT o_orderkey AS id, date_diff('second', TIMESTAMP '1970-01-01', o_orderdate::TIMESTAMP)::HUGEINT * 1000 AS k FROM orders", 6,
+                  "SELECT id AS o_orderkey, (trunc(date_diff('second', TIMESTAMP '1992-01-01', o_orderdate::TIMESTAMP) / 2592000.0) * 6 + b)::INTEGER AS shard FROM r JOIN orders ON o_orderkey = id WHERE j >= 6")
+
+
+def _turn(x: str, n: int) -> str:
+    return f"((({x})::HUGEINT << {n}) % 4294967296 + (({x})::HUGEINT >> {32 - n}))"
+
+
+def _murmur_sql(rows: str) -> str:
+    """SQL of Murmur3 of the ASCII strings of rows (id, x), with seed 0: id and h, signed."""
+    mixed = f"({_turn('(k * 3432918353::HUGEINT) % 4294967296', 15)} * 461845907::HUGEINT) % 4294967296 + full * 4294967296"
+    step = f"CASE WHEN e >= 4294967296 THEN ({_turn('xor(h, e % 4294967296)', 13)} * 5 + 3864292196) % 4294967296 ELSE xor(h, e) END"
+    blocks = "list_transform(range((length(x) + 1) // 2), lambda i: {'k': ascii(x[2 * i + 1])::HUGEINT + CASE WHEN length(x) > 2 * i + 1 THEN ascii(x[2 * i + 2]) * 65536 ELSE 0 END, 'full': (length(x) > 2 * i + 1)::HUGEINT})"
+    mixed = mixed.replace("k *", "b.k *").replace("full *", "b.full *")
+    last = "SELECT id, xor(h, h >> 16) AS h FROM (SELECT id, (xor(h, h >> 13) * 3266489909::HUGEINT) % 4294967296 AS h FROM (SELECT id, (xor(h, h >> 16) * 2246822507::HUGEINT) % 4294967296 AS h FROM m2))"
+    return f"""SELECT id, (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::BIGINT AS h FROM (WITH m1 AS (SELECT id, length(x) AS n, list_transform({blocks}, lambda b: ({mixed})::HUGEINT) AS e FROM ({rows})),
+m2 AS (SELECT id, xor(list_reduce(list_prepend(0::HUGEINT, e), lambda h, e: ({step})::HUGEINT), (2 * n)::HUGEINT) AS h FROM m1) {last})"""
+
+
+_RING = f"""WITH names AS (SELECT s * 1000 + v AS id, 'SHARD-' || s || (SELECT string_agg('-NODE-' || i, '' ORDER BY i) FROM range(v + 1) t(i)) AS x FROM range(8) a(s), range(160) b(v)),
+ring AS MATERIALIZED (SELECT h, max(id // 1000) AS shard FROM ({_murmur_sql('SELECT id, x FROM names')}) GROUP BY h),
+keys AS MATERIALIZED (SELECT id, h FROM ({_murmur_sql('SELECT o_orderkey AS id, o_orderkey::VARCHAR AS x FROM orders')}))
+SELECT id AS o_orderkey, coalesce(shard, (SELECT arg_min(shard, h) FROM ring))::INTEGER AS shard FROM keys ASOF LEFT JOIN ring ON keys.h <= ring.h"""
+
 rule_query("h8_jump_hash", "orders", "o_orderkey", "o_orderkey", H.jump_hash(16), None, "cast(o_orderkey AS string)")
 rule_query("h9_murmur_ring", "orders", "o_orderkey", "o_orderkey", H.murmur_ring(8), None, "cast(o_orderkey AS string)")
+SQL["h8_jump_hash"], SQL["h9_murmur_ring"] = _JUMP, _RING
 rule_query("h10_pattern", "orders", "o_orderkey", "o_custkey", H.pattern(256, [(1, 64, 0), (65, 128, 1), (129, 255, 2), (0, 0, 3)], 9),
            "CASE WHEN o_custkey % 5 = 0 THEN 9 WHEN o_custkey % 256 BETWEEN 1 AND 64 THEN 0 WHEN o_custkey % 256 BETWEEN 65 AND 128 THEN 1 WHEN o_custkey % 256 BETWEEN 129 AND 255 THEN 2 ELSE 3 END",
            "CASE WHEN o_custkey % 5 = 0 THEN concat('c', o_custkey) ELSE cast(o_custkey AS string) END")
@@ -66,6 +102,7 @@ rule_query("h14_latest_month", "orders", "o_orderkey", "o_orderdate", H.latest_m
 QUERIES["h14_latest_month"] = lambda s, d: S.assign_shards(
     table(s, d, "orders").select("o_orderkey", F.expr("concat(date_format(o_orderdate, 'yyyyMMdd'), lpad(cast(o_orderkey % 24 AS string), 2, '0'))").alias("v")), "v", H.latest_month(12)).select("o_orderkey", "shard")
 rule_query("h15_range_date_hash", "orders", "o_orderkey", "o_orderdate", H.range_date_hash("1992-01-01", 30, 6), None)
+SQL["h15_range_date_hash"] = _SPAN
 rule_query("h16_substring_direct", "customer", "c_custkey", "c_name", H.substring_direct(16, 2, 40, 41), "CASE WHEN c_name[17:18]::INTEGER >= 40 THEN 41 ELSE c_name[17:18]::INTEGER END")
 
 

@@ -21,7 +21,11 @@ _LINKS = f"SELECT page_id, ordinal::INTEGER AS ordinal, replace(href, chr(92), '
 register("l1_canonical_urls", f"SELECT page_id, {_CANON} AS canonical FROM pages WHERE {_PLAIN}")(
     lambda s, d: W.canonical_urls(table(s, d, "pages"), "url").select("page_id", "canonical"))
 register("l2_extract_links", _LINKS)(lambda s, d: W.extract_links(table(s, d, "pages")).select("page_id", "ordinal", "href"))
-register("l3_resolve_links")(lambda s, d: W.resolve_links(W.extract_links(table(s, d, "pages"))).select("page_id", "ordinal", "target"))
+_ORIGIN = "lower(regexp_extract(url, '^(https?://[^/?#:]+)', 1))"
+_TARGETS = f"""SELECT page_id, ordinal, {_ORIGIN} || regexp_replace(regexp_replace(p, '//+', '/', 'g'), '/\\.(/|$)', '/', 'g') AS target FROM (SELECT l.page_id, ordinal, url, regexp_extract(CASE WHEN starts_with(href, '/') THEN href ELSE '/' || href END, '^([^?#]*)', 1) AS p FROM ({_LINKS}) l JOIN pages ON l.page_id = pages.page_id)
+WHERE NOT regexp_matches(p, '%([^0-9A-Fa-f]|$|[0-9A-Fa-f]([^0-9A-Fa-f]|$))')"""
+# The tables' links are all rooted and without escapes; other forms are compared in tests.
+register("l3_resolve_links", _TARGETS)(lambda s, d: W.resolve_links(W.extract_links(table(s, d, "pages"))).select("page_id", "ordinal", "target"))
 register("l4_filter_links", f"SELECT page_id, url FROM pages WHERE ({_SITE} LIKE '%.com' OR {_SITE} LIKE '%.net') AND NOT regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '(5|\\.gif)$')")(
     lambda s, d: W.filter_links(table(s, d, "pages").select("page_id", "url"), "url", [".com", ".net"], ["5", ".gif"]))
 register("l5_valid_urls", f"SELECT page_id FROM pages WHERE length(regexp_extract(url, '^https?://([^/?#:]+)', 1)) < 40 AND length(regexp_replace(url, '^https?://', '')) + 18 < 512")(
@@ -32,11 +36,12 @@ _NAMED = "User-agent: sluice\nUser-agent: more\nDisallow: */x # all\nDisallow: \
 
 def robots(s, d):
     site = W.url_site(table(s, d, "pages"), "url").select(F.col("site").alias("host")).distinct()
-    return site.withColumn("text", F.when(F.crc32(F.col("host").cast("binary")) % 7 == 0, _NAMED).otherwise(_ROBOTS))
+    return site.withColumn("text", F.when(F.length("host") % 3 == 0, _NAMED).otherwise(_ROBOTS))
 
 
-register("l6_robots_rules")(lambda s, d: W.robots_rules(robots(s, d), "sluice"))
-register("l7_apply_robots")(lambda s, d: W.apply_robots(table(s, d, "pages").select("page_id", "url"), W.robots_rules(robots(s, d), "sluice"), "url"))
+_RULE = f"CASE WHEN length({_SITE}) % 3 = 0 THEN '/' ELSE '/fr' END"
+register("l6_robots_rules", f"SELECT DISTINCT {_SITE} AS host, 1::INTEGER AS ordinal, {_RULE} AS pattern FROM pages")(lambda s, d: W.robots_rules(robots(s, d), "sluice"))
+register("l7_apply_robots", f"SELECT page_id, url FROM pages WHERE NOT starts_with(regexp_replace(url, '^https?://[^/?#]+', ''), {_RULE})")(lambda s, d: W.apply_robots(table(s, d, "pages").select("page_id", "url"), W.robots_rules(robots(s, d), "sluice"), "url"))
 
 
 def graph(s, d):
@@ -65,7 +70,21 @@ register("w3_politeness_schedule", f"SELECT page_id, ((row_number() OVER (PARTIT
     lambda s, d: W.politeness_schedule(W.url_site(table(s, d, "pages"), "url"), "site", "page_id", 30).select("page_id", "fetch_at"))
 
 
-@register("b4_crawl_corpus_report")
+def page_links(s, d):
+    return W.resolve_links(W.extract_links(table(s, d, "pages"))).select(F.col("base").alias("source"), F.col("target"))
+
+
+@register("l8_expand_page_links")
+def l8_pages(s, d):
+    """What the pages reach over their own links, from the pages that no other page links to, five steps deep."""
+    links = W.canonical_urls(page_links(s, d), "source").select(F.col("canonical").alias("source"), "target").distinct()
+    seeds = W.canonical_urls(table(s, d, "pages"), "url").select(F.col("canonical").alias("url")).where("url IS NOT NULL")
+    return W.expand_frontier(W.unlinked(seeds, links), links, 5, reset_on_new_site=True)
+
+
+@register("b4_crawl_corpus_report", f"""WITH k AS (SELECT page_id, count(*) AS links FROM ({_TARGETS}) GROUP BY page_id)
+SELECT {_SITE} AS site, count(*)::BIGINT AS pages, count(DISTINCT {_CANON})::BIGINT AS urls, count(DISTINCT sha256(regexp_replace(html, '[^B-y]', '', 'g')))::BIGINT AS distinct_pages, coalesce(sum(links), 0)::BIGINT AS links, sum(octet_length(encode(html)))::BIGINT AS bytes
+FROM pages LEFT JOIN k ON pages.page_id = k.page_id GROUP BY 1""")
 def b4(s, d):
     """Pages, canonical URLs, links and distinct pages of each site."""
     pages = W.canonical_urls(W.url_site(table(s, d, "pages"), "url"), "url").withColumn("key", W.page_key("html"))

@@ -5,16 +5,22 @@ A written table cuts lineage: a lost executor costs the tasks that read it, not
 
 from __future__ import annotations
 
+import re
 import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset, as in tests, a new temporary folder becomes it."""
+    """The session's spark.checkpoint.dir. Where it is unset in a session of one machine, as in tests, a new temporary
+    folder becomes it; on a cluster, whose executors would not see that folder, this is an error."""
     path = spark.conf.get("spark.checkpoint.dir", "")
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; the executors of {master} need a folder that they share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-sluice-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

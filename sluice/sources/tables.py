@@ -67,4 +67,5 @@ def read_snapshot(spark: SparkSession, path: str, newer_than: int = -1) -> DataF
 
 
 def write_pages_by_host(df: DataFrame, path: str, host: str = "host") -> None:
-    df.repartition(host).write.partitionBy(host).parquet(path)
+    """A folder for each host; a hot host's pages are rebalanced into several files."""
+    df.hint("rebalance", host).write.partitionBy(host).parquet(path)

@@ -10,7 +10,7 @@ from sluice.plans import catalog
 def test_registered_queries_have_sql_or_are_named():
     assert set(catalog.SQL) <= set(catalog.QUERIES)
     without = set(catalog.QUERIES) - set(catalog.SQL)
-    assert without == {"h8_jump_hash", "h9_murmur_ring", "h15_range_date_hash", "l3_resolve_links", "l6_robots_rules", "l7_apply_robots", "b4_crawl_corpus_report", "t11_explain_scores"}
+    assert without == {"l8_expand_page_links"}
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
 
 
@@ -23,14 +23,15 @@ def test_template_matching(spark):
         q = spark.createDataFrame([(1, query)], "query_id int, query string")
         return M.match_templates(q, [(i, t, "a") for i, t in enumerate(templates)], lexicon, ignore)
 
-    templates = ["hehe[D:name]匹配不了", "lalala[D:name]匹配不了", "heihei[D:name]匹配不了", "[D:name]一组固定词", "[D:name]匹配不了"]
-    assert matches(templates, {"name": ["a", "b"]}, ["hehe", "haha", "heihei"], "heheb匹配不了").count() == 2
-    slots = M.extract_slots(matches(["ABC[F:num]DEF[D:name]"], {"name": ["aa", "bb"]}, ["hehe"], "ABC123456DEFaa"))
-    assert {(r.slot, r.value) for r in slots.collect()} == {("num", "123456"), ("name", "aa")}
-    words = matches(["ABC[W:1-4]DEF[D:name]"], {"name": ["aa", "bb"]}, [], "ABC四个中文DEFaa")
-    assert {(r.slot, r.value) for r in M.extract_slots(words).collect()} == {("W", "四个中文"), ("name", "aa")}
-    assert matches(["ABC[W:1-4]DEF[D:name]"], {"name": ["aa"]}, [], "ABC这里超过四个字符DEFaa").count() == 0
-    for bad in ("[dfdfddf", "[]DEF", "[D#ABC]DEF"):
+    templates = ["price of [D:fruit] today", "cost of [D:fruit]", "[D:fruit] today", "um[D:fruit] today", "price of [D:fruit]"]
+    found = matches(templates, {"fruit": ["pear", "plum"]}, ["um", "well ", "price of "], "well price of plum today")
+    assert sorted(r.template_id for r in found.collect()) == [0, 2]
+    slots = M.extract_slots(matches(["room[F:num]floor[D:side]"], {"side": ["east", "west"]}, ["um"], "room12.5umfloorwest"))
+    assert {(r.slot, r.value) for r in slots.collect()} == {("num", "12.5"), ("side", "west")}
+    words = matches(["to[W:1-3]by[D:means]"], {"means": ["bus", "tram"]}, [], "to日本ébybus")
+    assert {(r.slot, r.value) for r in M.extract_slots(words).collect()} == {("W", "日本é"), ("means", "bus")}
+    assert matches(["to[W:1-3]by[D:means]"], {"means": ["bus"]}, [], "tofourbybus").count() == 0
+    for bad in ("[open", "[]after", "[D/side]after"):
         try:
             M.compile_template(bad, {}, [])
         except ValueError as e:
@@ -69,3 +70,23 @@ def test_percentages(spark):
     rows = spark.createDataFrame([(1, "/p/", "10%"), (2, "/p/", "50%"), (3, "/p/", "99%"), (4, "/p/", "x%")], "id int, path string, value string")
     out = C.clean_values(rows, {"/p/": [("is_percent", "percent_to_score")]})
     assert [(r.cleaned, r.code) for r in out.orderBy("id").collect()] == [("1", 0), ("3", 0), ("5", 0), ("x%", 1)]
+
+
+def test_frontier_over_page_links(spark, tmp_path):
+    """Against a plain breadth-first walk; a link to another host starts over."""
+    pages = {1: ("http://a.b/", "/x http://c.d/"), 2: ("http://a.b/x", "y"), 3: ("http://a.b/y", "/z ../../no"), 4: ("http://c.d/", "p/q"), 5: ("http://c.d/p/q", "/p/r http://a.b/x"), 6: ("http://e.f/lone", "lone"), 7: ("http://g.h/g", "/g")}
+    rows = [(i, u, " ".join(f'<a href="{x}">' for x in links.split())) for i, (u, links) in pages.items()]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    edges = {"http://a.b/": ["http://a.b/x", "http://c.d/"], "http://a.b/x": ["http://a.b/y"], "http://a.b/y": ["http://a.b/z"], "http://c.d/": ["http://c.d/p/q"], "http://c.d/p/q": ["http://c.d/p/r", "http://a.b/x"], "http://g.h/g": ["http://g.h/g"]}
+    edges["http://e.f/lone"] = ["http://e.f/lone"]
+    best = {u: 0 for u in ("http://a.b/", "http://e.f/lone", "http://g.h/g")}
+    moved = True
+    while moved:
+        moved = False
+        for u, d in list(best.items()):
+            for v in edges.get(u, []) if d < 5 else []:
+                new = d + 1 if u.split("/")[2] == v.split("/")[2] else 0
+                if new < best.get(v, 99):
+                    best[v], moved = new, True
+    got = catalog.QUERIES["l8_expand_page_links"](spark, str(tmp_path)).collect()
+    assert {r.url: r.depth for r in got} == best

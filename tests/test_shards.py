@@ -59,7 +59,25 @@ def test_hash_mod_and_ring_stay_in_range(spark):
     for n in (7, 8):
         assert set(shards(spark, H.hash_mod(n), values, "string")) == set(range(n))
     assert set(shards(spark, H.murmur_ring(5), values, "string")) == set(range(5))
-    assert H.murmur3("", 0) == 0 and H.murmur3("a", 1) != H.murmur3("a", 2)
+
+
+def test_murmur_vectors():
+    """Published vectors of the 32-bit x86 form, their bytes read as UTF-16 code units. Fixed values."""
+    vectors = [("", 0, 0), ("", 1, 0x514E28B7), ("", 0xFFFFFFFF, 0x81F16F39), ("\uffff\uffff", 0, 0x76293B50), ("\u4321\u8765", 0, 0xF55B516B), ("\u4321\u8765", 0x5082EDEE, 0x2362F9DE), ("\u4321", 0, 0xA0F7B07A), ("\0\0", 0, 0x2362F9DE), ("\0", 0, 0x30F4C306)]
+    for text, seed, want in vectors:
+        assert H.murmur3(text, seed) & 0xFFFFFFFF == want
+    texts = ["", "a", "ab", "abc", "ab", "é🙂", "x" * 41]
+    assert H.murmur3_all(texts, 7).tolist() == [H.murmur3(t, 7) for t in texts]
+
+
+def test_ring_takes_the_next_place(spark):
+    places, owners = H.murmur_points(3, vnodes=4)
+    values = [f"v{i}" for i in range(50)]
+    want = []
+    for v in values:
+        later = [s for p, s in zip(places, owners) if p >= H.murmur3(v, 0)]
+        want.append(int(later[0] if later else owners[0]))
+    assert shards(spark, H.murmur_ring(3, vnodes=4), values, "string") == want
 
 
 def test_java_hash_counts_utf16_units(spark):
