@@ -35,7 +35,7 @@ from sluice.sources.scratch import Scratch, partitions
 #: Words whose hashes a task remembers; shingles whose signatures are worked out at once (they fit a core's cache); texts
 #: and bytes of text whose sets a task holds at once.
 _MEMORY, _CHUNK, _TEXTS, _BYTES = 1 << 17, 1 << 14, 512, 4 << 20
-#: A bucket with more than this many members, or than an eighth of a partition's share, is joined where its rows are.
+#: A bucket, or a shingle, with more rows than this and than an eighth of a partition's share is joined where they are.
 _HOT = 256
 
 
@@ -151,13 +151,35 @@ def _sets(docs: DataFrame, how: Setting) -> DataFrame:
     return docs.mapInArrow(run, "v bigint, s array<bigint>")
 
 
-def _rarest_first(vertices: DataFrame, sets: DataFrame, how: Setting) -> DataFrame:
+def _hot(counts: DataFrame, key: str, scratch: Scratch) -> DataFrame | None:
+    """The keys of a table (key, k rows each) with more than _HOT rows and an eighth of a partition's share: few by
+    construction, at most 8 a partition. None if there are none."""
+    most = max(_HOT, (counts.agg(F.sum("k")).first()[0] or 0) // (8 * partitions(scratch.spark)))
+    large = scratch.save(counts.where(F.col("k") > most).select(key).coalesce(1), "hot")
+    if not large.isEmpty():
+        return large
+    scratch.drop(large)
+    return None
+
+
+def _by_key(rows: DataFrame, table: DataFrame, hot: DataFrame | None, key: str = "b") -> DataFrame:
+    """rows joined with a table of one row a key. Rows of hot keys stay where they are, so that a cluster's members do
+    not all go to one task."""
+    if hot is None:
+        return rows.join(table, key)
+    few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(F.broadcast(hot), key, "left_anti").join(table, key).unionByName(rows.join(few, key))
+
+
+def _rarest_first(vertices: DataFrame, sets: DataFrame, how: Setting, scratch: Scratch) -> DataFrame:
     """(v, n) with the rarest shingles (their count among these sets, and itself) in order, as many as a partner of any
     size may have to meet, and `common`, the mean count of all its shingles. Counts only order the shingles."""
     tokens = vertices.join(sets, "v").select("v", "n", F.explode("s").alias("t"))
-    counts = tokens.groupBy("t").agg(F.count("*").alias("k"))
-    rows = tokens.join(counts, "t").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("o"), F.avg("k").alias("common"))
-    return rows.select("v", "n", "common", F.slice("o", 1, _prefix(F.col("n"), how.percent, 100)).alias("o"))
+    counts = scratch.save(tokens.groupBy("t").agg(F.count("*").alias("k")), "counts")
+    rows = _by_key(tokens, counts, _hot(counts, "t", scratch), "t").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("o"), F.avg("k").alias("common"))
+    rows = scratch.save(rows.select("v", "n", "common", F.slice("o", 1, _prefix(F.col("n"), how.percent, 100)).alias("o")), "rarest")
+    scratch.drop(counts)
+    return rows
 
 
 def _prefix(n, share: int, of: int):
@@ -165,14 +187,17 @@ def _prefix(n, share: int, of: int):
     return (n - F.ceil(n * share / F.lit(of)) + 1).cast("int")
 
 
-def _meet_by_rarest(rows: DataFrame, components: DataFrame, how: Setting) -> DataFrame:
+def _meet_by_rarest(rows: DataFrame, components: DataFrame, how: Setting, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that may be linked by what their rarest shingles say."""
     t = how.percent
     rows = rows.join(components, "v", "left").withColumn("c", F.coalesce("component", "v"))
     large = rows.select("v", "n", "c", F.posexplode("o").alias("i", "x")).where("x.k > 1").select(F.col("x.t").alias("t"), *[F.col(x).alias(f"{x}_l") for x in ("v", "n", "c", "i")])
     small = rows.select("v", "n", "c", F.posexplode(F.slice("o", 1, _prefix(F.col("n"), 2 * t, 100 + t))).alias("i", "x")).where("x.k > 1").select(F.col("x.t").alias("t"), "v", "n", "c", "i")
-    live = large.groupBy("t").agg(F.min("c_l").alias("least"), F.max("c_l").alias("most")).where("least < most").select("t")  # of more than one component
-    large, small = (x.join(live, "t", "left_semi") for x in (large, small))
+    live = large.groupBy("t").agg(F.min("c_l").alias("least"), F.max("c_l").alias("most"), F.count("*").alias("k")).where("least < most")
+    live = scratch.save(live.select("t", "k"), "live")  # shingles of more than one component; others link nothing new
+    hot = _hot(live, "t", scratch)
+    # Stored, so that no order of theirs keeps Spark from splitting a frequent shingle's rows in the join below.
+    large, small = (scratch.save(_by_key(x, live.select("t"), hot, "t"), "meeting") for x in (large, small))
     fits = (F.col("c") != F.col("c_l")) & (F.struct("n", "v") < F.struct("n_l", "v_l")) & (100 * F.col("n") >= t * F.col("n_l"))
     left = F.least(F.col("n") - F.col("i"), F.col("n_l") - F.col("i_l"))  # shingles that can still meet, this one included
     fits = fits & ((100 + t) * left >= t * (F.col("n") + F.col("n_l")))
@@ -180,15 +205,6 @@ def _meet_by_rarest(rows: DataFrame, components: DataFrame, how: Setting) -> Dat
     return met.select(F.least("v", "v_l").alias("a"), F.greatest("v", "v_l").alias("b")).distinct()
 
 
-def _by_bucket(rows: DataFrame, buckets: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """rows joined with a table of one row a bucket `b`. Rows of hot buckets, which are few, stay where they are, so that
-    a cluster's members do not all go to one task."""
-    if hot is None:
-        return rows.join(buckets, "b")
-    few = F.broadcast(buckets.join(F.broadcast(hot), "b", "left_semi"))  # at most 8 rows a partition
-    return rows.join(F.broadcast(hot), "b", "left_anti").join(buckets, "b").unionByName(rows.join(few, "b"))
-
-
 def near_duplicates(docs: DataFrame, how: Setting = Setting()) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links, itself included) of every document."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -200,10 +216,8 @@ def near_duplicates(docs: DataFrame, how: Setting = Setting()) -> DataFrame:
     rows = reps.select(F.xxhash64("i", "band").alias("b"), F.col("doc_id").alias("v"), "n")
     shared = rows.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min_by("n", "v").alias("lo_n"), F.count("*").alias("k")).where("lo < hi")
     shared = scratch.save(shared, "shared")
-    most = max(_HOT, (shared.agg(F.sum("k")).first()[0] or 0) // (8 * partitions(scratch.spark)))
-    large = scratch.save(shared.where(F.col("k") > most).select("b").coalesce(1), "hot")
-    hot = None if large.isEmpty() else large
-    members = scratch.save(_by_bucket(rows, shared.select("b", "lo", "lo_n"), hot).distinct(), "members")
+    hot = _hot(shared, "b", scratch)
+    members = scratch.save(_by_key(rows, shared.select("b", "lo", "lo_n"), hot).distinct(), "members")
     wanted = members.select(F.col("v").alias("doc_id")).distinct()
     sets = _sets(docs.join(wanted, "doc_id", "left_semi"), how)
     if not base.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -232,21 +246,21 @@ def near_duplicates(docs: DataFrame, how: Setting = Setting()) -> DataFrame:
     links, components = step(pairs, None)
     named = members.join(components, "v", "left").select("b", "v", "n", F.coalesce("component", "v").alias("c"))
     split = named.groupBy("b").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("b")
-    split = scratch.save(_by_bucket(named, split, hot), "split")
+    split = scratch.save(_by_key(named, split, hot), "split")
     if not split.isEmpty():
-        shared_by = scratch.save(_rarest_first(split.select("v", "n").distinct(), sets, how), "rarest")
+        shared_by = _rarest_first(split.select("v", "n").distinct(), sets, how, scratch)
         central = split.join(shared_by.select("v", "common"), "v").groupBy("b").agg(F.max_by(F.struct("v", "n", "c"), F.struct("common", F.negate("v"))).alias("p"))
-        meet = _by_bucket(split, central, hot).where(F.col("c") != F.col("p.c")).select(F.col("v").alias("x"), F.col("n").alias("n_x"), F.col("p.v").alias("y"), F.col("p.n").alias("n_y"))
+        meet = _by_key(split, central, hot).where(F.col("c") != F.col("p.c")).select(F.col("v").alias("x"), F.col("n").alias("n_x"), F.col("p.v").alias("y"), F.col("p.n").alias("n_y"))
         first, second = links, components
         links, components = step(candidates(meet), links)
         scratch.drop(first, second)
         first, second = links, components
-        links, components = step(_meet_by_rarest(shared_by, components, how), links)
+        links, components = step(_meet_by_rarest(shared_by, components, how, scratch), links)
         scratch.drop(first, second, shared_by)
     out = base.join(classes, "key", "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(components.withColumnRenamed("v", "rep"), "rep", "left")
     out = scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")), "result")
-    scratch.drop(base, classes, shared, large, members, sets, links, components, split)
+    scratch.drop(*[table for _, table in scratch.paths.values() if table is not out])
     return out
 
 
