@@ -38,7 +38,8 @@ def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits; a run of CJK characters gives its pairs (or its only character)."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\x{4E00}-\x{9FFF}]+|[\p{L}\p{N}&&[^\x{4E00}-\x{9FFF}]]+"), 0)
     pairs = lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\x{4E00}-\x{9FFF}]"), pairs(r)).otherwise(F.array(r))))
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\x{4E00}-\x{9FFF}]"), pairs(r)).otherwise(F.array(r))))
+    return F.when(text.rlike(r"[\x{4E00}-\x{9FFF}]"), mixed).otherwise(runs)  # a text without CJK characters is done with its runs
 
 
 def tokenise_table(df: DataFrame, key: str, column: str) -> DataFrame:
