@@ -1,23 +1,28 @@
 """Language-model scores by subword lattices.
 
 The pieces of an existing vocabulary span every word in many ways; a unigram model weights each segmentation by the
-product of its pieces, and a forward recursion in log space sums them all. A text's probability is the product of its
-words' marginals and of its end. The vocabulary and its order of pieces are given; the weights are re-estimated here
-from the training words by expectation-maximisation over the same lattices. Words are counted, and worked out once
-each, in Spark; a block of texts then gets the figures of its own words.
+product of its pieces, and a forward recursion in log space sums them all. A word that the training texts hold is one
+more segmentation of itself, of a single piece, weighted by its count less a discount; what all discounts free is shared
+out by the lattice of subwords, so that every word has a probability. A text's probability is the product of its words'
+marginals and of its end. The vocabulary and its order of pieces are given; the weights are re-estimated here by
+expectation-maximisation over the same lattices, from each training word once, as the subwords answer for new words.
+Words are counted, and worked out once each, in Spark; a block of texts then gets the figures of its own words.
 
 Inputs and edge cases: a null or empty text is its end alone; a word of any length or script has a lattice, as
-characters without a piece are spelled in byte pieces; without training rows the weights follow the vocabulary's order;
+characters without a piece are spelled in byte pieces (lattices are built for words of _BATCH_CHARS characters together,
+or for one longer word); without training rows the weights follow the vocabulary's order and only subwords count;
 rows that share a doc_id are scored one by one; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +32,8 @@ BLOCK_BYTES = 16 << 20
 ROUNDS = 1
 #: Added to each piece's expected count; the share of a vocabulary's piece at rank r, before training, is 1/(r + FLAT).
 SMOOTHING, FLAT = 0.01, 100.0
-_BATCH = 4096
+#: Words, and about their characters, whose lattices are built together.
+_BATCH, _BATCH_CHARS = 4096, 1 << 16
 _MARK = "▁"
 
 
@@ -60,7 +66,7 @@ class Lattice:
     def arcs(self, words: list[str], logs: np.ndarray) -> dict[str, np.ndarray]:
         """Arcs in order of their end's place in the word; a spelled-out character is one arc without a piece."""
         number, starts = self.number, self.starts
-        source, target, piece, level, spelled = [], [], [], [], []
+        source, target, piece, level, spelled = array("q"), array("q"), array("q"), array("q"), []
         node, first, last = 0, [], []
         for word in words:
             s = _MARK + word
@@ -85,11 +91,12 @@ class Lattice:
                     level.append(i + 1)
             node += len(s) + 1
             last.append(node - 1)
+        source, target, piece, level = (np.array(x, np.int64) for x in (source, target, piece, level))
         weight = np.append(logs, 0.0)[piece]
         for at, c in spelled:
             weight[at] = sum(logs[self.bytes[b]] for b in c.encode(errors="replace"))
         by = np.lexsort((target, level))
-        out = {k: np.array(v, np.int64)[by] for k, v in (("source", source), ("target", target), ("piece", piece), ("level", level))}
+        out = {"source": source[by], "target": target[by], "piece": piece[by], "level": level[by]}
         return out | {"weight": weight[by], "first": np.array(first), "last": np.array(last), "nodes": node, "spelled": spelled}
 
     @staticmethod
@@ -152,34 +159,62 @@ def _text(word: bytes) -> str:
     return word.decode(errors="replace")
 
 
+def _parts(batch: pa.RecordBatch):
+    """The batch in slices of _BATCH words, ended sooner by _BATCH_CHARS characters."""
+    first, size = 0, 0
+    for i, n in enumerate(pc.binary_length(batch["word"]).to_pylist()):
+        if i > first and (size + n > _BATCH_CHARS or i - first == _BATCH):
+            yield batch.slice(first, i - first)
+            first, size = i, 0
+        size += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def _weights(uses: np.ndarray) -> np.ndarray:
     uses = uses + SMOOTHING
     return np.log(uses / uses.sum())
 
 
-def train(words: DataFrame, pieces: list[str], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Log weights of the pieces, and pieces used in all, from the training words (word, c)."""
+def train(words: DataFrame, pieces: list[str], rounds: int = ROUNDS) -> np.ndarray:
+    """Log weights of the pieces from the training words (word, c), each counted once."""
     lattice = Lattice(pieces)
     logs = _weights(1 / (np.arange(len(pieces)) + FLAT))
-    total = 0.0
     for _ in range(rounds):
 
         def run(batches, logs=logs):
             uses, seen = np.zeros(lattice.n), 0
             for b in batches:
-                for at in range(0, b.num_rows, _BATCH):
-                    part = b.slice(at, _BATCH)
-                    uses += lattice.expected([_text(w) for w in part["word"].to_pylist()], part["c"].to_numpy(zero_copy_only=False).astype(float), logs)
+                for part in _parts(b):
+                    uses += lattice.expected([_text(w) for w in part["word"].to_pylist()], np.ones(part.num_rows), logs)
                     seen += part.num_rows
             if seen:
                 at = np.flatnonzero(uses)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(uses[at], pa.float64())], ["piece", "uses"])
 
-        found = words.where("c > 0").select("word", "c").mapInArrow(run, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # a row for each piece
-        uses = np.zeros(lattice.n)
-        uses[[r.piece for r in found]] = [r.uses for r in found]
-        logs, total = _weights(uses), float(uses.sum())
-    return logs, total
+        found = words.where("c > 0").select("word").mapInArrow(run, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # a row for each piece
+        if found:
+            uses = np.zeros(lattice.n)
+            uses[[r.piece for r in found]] = [r.uses for r in found]
+            logs = _weights(uses)
+    return logs
+
+
+class Words:
+    """Whole words as pieces of their own: `total` of them, `distinct` different, `once` and `twice` seen so often.
+
+    The discount is once / (once + 2 twice), with one added to `once` and to `twice` a half, so that it is never 0 or 1."""
+
+    def __init__(self, total: int, distinct: int, once: int, twice: int):
+        self.total = total
+        self.discount = (once + 1) / (once + 2 * twice + 2)
+        self.rest = self.discount * distinct / total if total else 1.0
+
+    def mix(self, c: np.ndarray, subwords: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of words that were seen `c` times and whose subwords alone give `subwords`."""
+        whole = np.where(c > 0, c - self.discount, 0.0) / max(self.total, 1)
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(whole), math.log(self.rest) + subwords)
 
 
 def score(docs: DataFrame, training, path: str | None = None) -> DataFrame:
@@ -205,19 +240,18 @@ def score(docs: DataFrame, training, path: str | None = None) -> DataFrame:
     seen = scratch.save(texts.groupBy("block").applyInArrow(count, "block bigint, word binary, n bigint"), "seen")
     counts = scratch.save(seen.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     docs_in = texts.where("train").count()
-    n, v = counts.where("c > 0").agg(F.sum("c"), F.count("*")).first()
-    n, v = (n or 0) + docs_in, v + bool(docs_in)
-    logs, used = train(counts, pieces)
-    end = math.log10(max(docs_in, 1) / (used + max(docs_in, 1)))
-    go_on = math.log10(max(used, 1) / (used + max(docs_in, 1)))  # a piece comes, rather than the end
-    lattice = Lattice(pieces)
-    logs = logs + go_on * math.log(10)
+    n, v, once, twice = counts.where("c > 0").agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    whole = Words(n or 0, v, once or 0, twice or 0)
+    ends, goes_on = max(docs_in, 1), max(whole.total, 1)  # a word comes, rather than the end
+    end, go_on = math.log10(ends / (ends + goes_on)), math.log10(goes_on / (ends + goes_on))
+    n, v = whole.total + docs_in, v + bool(docs_in)
+    logs, lattice = train(counts, pieces), Lattice(pieces)
 
     def work_out(batches):
         for b in batches:
-            for at in range(0, b.num_rows, _BATCH):
-                part = b.slice(at, _BATCH)
-                found = lattice.marginals([_text(w) for w in part["word"].to_pylist()], logs) / math.log(10)
+            for part in _parts(b):
+                subwords = lattice.marginals([_text(w) for w in part["word"].to_pylist()], logs)
+                found = whole.mix(part["c"].to_numpy(), subwords) / math.log(10) + go_on
                 yield pa.RecordBatch.from_arrays([part["word"], part["c"], pa.array(found, pa.float64())], ["word", "c", "score"])
 
     scored = scratch.save(counts.mapInArrow(work_out, "word binary, c bigint, score double"), "scored")

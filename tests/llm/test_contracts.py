@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -124,6 +125,33 @@ def test_lattice_sums_all_segmentations(spark, docs, none):
     assert found[0].score == found[1].score == found[2].score and found[0].n_tokens == 1 and found[7].n_tokens == 60_001
     assert all(r.score < 0 and math.isfinite(r.score) for r in found.values())
     assert lattice.score(none, F.lit(True)).count() == 0
+    long = "xyzé" * 5_000
+    assert np.allclose(net.marginals(["a", long], logs)[1], net.marginals([long], logs)[0])
+
+
+def test_lattice_mixes_in_whole_words(spark):
+    texts = ["the cat sat on the mat", "the dog sat", None, "A cat", "the zebra sat", "unseen 語 words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = by_id(lattice.score(docs, F.col("doc_id") < 4))
+    seen = Counter(w for t in texts[:4] for w in (t or "").lower().split())
+    total, once, twice = sum(seen.values()), *(sum(c == k for c in seen.values()) for k in (1, 2))
+    discount = (once + 1) / (once + 2 * twice + 2)
+    pieces = lattice.read_vocabulary(lattice.vocabulary_path())
+    words = spark.createDataFrame([(w.encode(), c) for w, c in seen.items()], "word binary, c bigint")
+    logs, net = lattice.train(words, pieces), lattice.Lattice(pieces)
+    for i, text in enumerate(texts):
+        p = 4 / (4 + total)
+        for w in (text or "").lower().split():
+            p *= total / (4 + total) * (max(seen[w] - discount, 0) / total + discount * len(seen) / total * math.exp(net.marginals([w], logs)[0]))
+        assert math.isclose(found[i].score, math.log10(p), rel_tol=1e-9)
+    untrained = by_id(lattice.score(docs, F.lit(False)))
+    assert all(math.isfinite(r.score) and r.n_known == r.train_tokens == 0 for r in untrained.values())
+
+
+def test_lattice_gains_from_training_on_held_out_texts(spark):
+    docs, held_out = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    total = lambda training: lattice.score(docs, training).join(docs.where(held_out).select("doc_id"), "doc_id").agg(F.sum("score")).first()[0]
+    assert total(~held_out) > 0.7 * total(F.lit(False))
 
 
 def test_rules(docs, none):
