@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.operators import search as T
+from sluice.plans import queries_clean as C
+from sluice.plans import queries_logs as L
 from sluice.plans.registry import Registry, table
 from sluice.sources.scratch import Scratch
 from sluice.streaming import streams as R
@@ -50,6 +52,32 @@ def r3(s, d):
     return R.run(R.stream_statement_stats(rows), root)
 
 
+_ENDED = "date_trunc('hour', end_ts) + INTERVAL 1 HOUR <= (SELECT max(end_ts) - INTERVAL 10 MINUTE FROM log)"
+
+
+@register("r3_stream_statement_load", f"""{L._WITH} SELECT date_trunc('hour', end_ts) AS start, "user", count(*)::BIGINT AS n, count(*) FILTER (sql_type IN ('SELECT', 'SHOW'))::BIGINT AS reads,
+count(*) FILTER (sql_type IN ('UPDATE', 'INSERT', 'DELETE', 'REPLACE'))::BIGINT AS writes, sum(net_in)::BIGINT AS net_in, sum(net_out)::BIGINT AS net_out, max(end_ts) AS last_ts,
+count(*) FILTER (exec_ms <= 10)::BIGINT AS le_10, count(*) FILTER (exec_ms > 10 AND exec_ms <= 200)::BIGINT AS le_200, count(*) FILTER (exec_ms > 200 AND exec_ms <= 1000)::BIGINT AS le_1000, count(*) FILTER (exec_ms > 1000)::BIGINT AS over_1000,
+CASE WHEN hour(start) < 6 OR hour(start) >= 22 THEN '22-06' WHEN hour(start) < 13 THEN '06-13' WHEN hour(start) < 18 THEN '13-18' ELSE '18-22' END AS part FROM log WHERE {_ENDED} GROUP BY 1, 2""")
+def r3_load(s, d):
+    rows, root = replay(s, L.log(s, d), "end_ts")
+    return R.run(R.stream_statement_load(rows), root)
+
+
+@register("r3_stream_statement_frequency", f"""{L._WITH} SELECT date_trunc('hour', end_ts) AS start, "user", statement, count(*)::BIGINT AS n, min(CASE WHEN exec_ms > 0 THEN exec_ms END) AS least_ms,
+max(exec_ms) AS most_ms, sum(exec_ms)::BIGINT AS total_ms, max(end_ts) AS last_ts FROM fp WHERE {_ENDED} GROUP BY 1, 2, 3""")
+def r3_frequency(s, d):
+    rows, root = replay(s, L.log(s, d), "end_ts")
+    return R.run(R.stream_statement_frequency(rows), root)
+
+
+@register("r4_stream_unseen_ever", "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL")
+def r4_ever(s, d):
+    rows, root = replay(s, table(s, d, "events").select("user_id", "ts"), "ts")
+    R.stream_unseen_ever(rows, "user_id", f"{root}/unseen", f"{root}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{root}/unseen").select("user_id")
+
+
 @register("r4_stream_unseen", "SELECT DISTINCT user_id FROM events")
 def r4(s, d):
     rows, root = replay(s, table(s, d, "events").select("user_id", "ts"), "ts")
@@ -62,6 +90,18 @@ def r5(s, d):
     return R.run(R.stream_clean(rows, {"/p_type/": [("is_english", "lower")]}, ["odd"]).select("id", "cleaned", "value_code", "code"), root)
 
 
+@register("r5_stream_clean_items", f"""WITH m AS ({C._MAPPED}), i AS (SELECT id, max(CASE WHEN value = '' AND path = '/size/' THEN 2 WHEN value = '' THEN 1 ELSE 0 END) AS item_code FROM m GROUP BY id),
+c AS (SELECT id, path, CASE WHEN path = '/kind/' AND regexp_matches(value, '^[a-zA-Z]+$') THEN lower(value) ELSE value END AS v, (path = '/kind/' AND NOT regexp_matches(value, '^[a-zA-Z]+$'))::INTEGER AS value_code FROM m)
+SELECT id, path, trim(regexp_replace(CASE WHEN path = '/kind/' AND v IN ('economy', 'small') THEN 'cheap' ELSE v END, '\\s+', ' ', 'g')) AS value,
+greatest(item_code, value_code, (path = '/kind/' AND v NOT IN ('economy', 'small'))::INTEGER, (v = '')::INTEGER)::INTEGER AS code FROM c JOIN i USING (id)""")
+def r5_items(s, d):
+    rows, root = replay(s, C.melted(s, d).withColumn("template_id", (F.col("id") % 2 + 1).cast("int")), "id")
+    synonyms = s.createDataFrame([("/kind/", ["economy", "small"], "cheap")], "path string, synonyms array<string>, target string")
+    clean = lambda batch, number: R.clean_items(batch, C.mapping(s), ["/size/"], {"/kind/": [("is_english", "lower")]}, synonyms)
+    R.store_batches(rows, clean, f"{root}/clean", f"{root}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{root}/clean").drop("batch")
+
+
 @register("r6_stream_trailing", """WITH m AS (SELECT event_type, unnest(generate_series(date_trunc('minute', ts) + INTERVAL 1 MINUTE, date_trunc('minute', ts) + INTERVAL 30 MINUTE, INTERVAL 1 MINUTE)) AS "at", value::DECIMAL(24,4) AS v FROM events WHERE value >= 0)
 SELECT "at", event_type, round(sum(v)::DOUBLE / count(v), 4) AS mean, count(*)::BIGINT AS n FROM m WHERE "at" <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE value >= 0) GROUP BY ALL""")
 def r6(s, d):
@@ -75,3 +115,11 @@ def updates(s, d):
 
 register("r7_session_state", "SELECT user_id AS \"user\", event_type AS tab, 'k' || event_id % 3 AS key, arg_max(value, ts) AS value FROM events GROUP BY ALL")(
     lambda s, d: R.session_state(updates(s, d)).withColumn("value", F.col("value").cast("double")))
+
+
+@register("r7_stream_session_state", SQL["r7_session_state"])
+def r7_stream(s, d):
+    rows, root = replay(s, updates(s, d), "ts")
+    R.store_batches(R.stream_session_state(rows), lambda batch, number: batch, f"{root}/state", f"{root}/checkpoint", mode="update").awaitTermination()
+    latest = s.read.parquet(f"{root}/state").groupBy("user", "tab", "key").agg(F.max_by("value", "batch").alias("value"))
+    return latest.withColumn("value", F.col("value").cast("double"))

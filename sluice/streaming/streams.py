@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from sluice.operators.cleaning import audit_missing, clean_values
+from sluice.operators.cleaning import audit_missing, check_required, clean_values, map_schema, normalise_whitespace, replace_synonyms
+from sluice.operators.joins import unseen
+from sluice.operators.logs import READS, WRITES, fingerprint
 from sluice.operators.search import merge_postings
 
 
@@ -25,16 +28,21 @@ def run(df: DataFrame, out: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{out}/rows")
 
 
-def stream_index(docs: DataFrame, build, path: str, checkpoint: str, available_now: bool = True):
-    """Every batch's postings, under a folder of its number, so that a batch that runs twice counts once."""
+def store_batches(rows: DataFrame, build, path: str, checkpoint: str, available_now: bool = True, mode: str = "append"):
+    """build(batch, number) of every batch, under a folder of its number, so that a batch that runs twice counts once."""
 
     def store(batch: DataFrame, number: int) -> None:
-        build(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        build(batch, number).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    writer = docs.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
 
 
+def stream_index(docs: DataFrame, build, path: str, checkpoint: str, available_now: bool = True):
+    """Every batch's postings."""
+    return store_batches(docs, lambda batch, number: build(batch), path, checkpoint, available_now)
+
+
 def compact_index(spark: SparkSession, path: str, base: DataFrame | None, key: str) -> DataFrame:
     """The base with all batches merged in; of a document's posting in several, the newest batch counts."""
     delta = spark.read.parquet(path)
@@ -49,6 +57,44 @@ def stream_statement_stats(log: DataFrame, ts: str = "end_ts", window: str = "1
     return out.select(F.col("w.start").alias("start"), "user", "n", "most_ms", "total_ms")
 
 
+def _hourly(log: DataFrame, ts: str, watermark: str) -> DataFrame:
+    return log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+
+
+def stream_statement_load(log: DataFrame, ts: str = "end_ts", zone: str = "UTC", watermark: str = "10 minutes") -> DataFrame:
+    """For each hour and user: reads and writes, bytes, latencies, and the part of the day that the hour is in."""
+    ms = F.col("exec_ms")
+    rows = _hourly(log, ts, watermark).groupBy(F.window(ts, "1 hour").alias("w"), "user").agg(
+        F.count("*").alias("n"), F.count_if(F.col("sql_type").isin(*READS)).alias("reads"), F.count_if(F.col("sql_type").isin(*WRITES)).alias("writes"),
+        F.sum("net_in").alias("net_in"), F.sum("net_out").alias("net_out"), F.max(ts).alias("last_ts"),
+        F.count_if(ms <= 10).alias("le_10"), F.count_if((ms > 10) & (ms <= 200)).alias("le_200"), F.count_if((ms > 200) & (ms <= 1000)).alias("le_1000"), F.count_if(ms > 1000).alias("over_1000"),
+    )
+    hour = F.hour(F.from_utc_timestamp("start", zone))
+    part = F.when((hour < 6) | (hour >= 22), "22-06").when(hour < 13, "06-13").when(hour < 18, "13-18").otherwise("18-22")
+    return rows.withColumn("start", F.col("w.start")).drop("w").withColumn("part", part)
+
+
+def stream_statement_frequency(log: DataFrame, ts: str = "end_ts", watermark: str = "10 minutes") -> DataFrame:
+    """For each hour and user: how often each statement ran, and its times."""
+    rows = _hourly(log, ts, watermark).withColumn("statement", fingerprint(F.col("sql")))
+    out = rows.groupBy(F.window(ts, "1 hour").alias("w"), "user", "statement").agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("exec_ms") > 0, F.col("exec_ms"))).alias("least_ms"), F.max("exec_ms").alias("most_ms"), F.sum("exec_ms").alias("total_ms"), F.max(ts).alias("last_ts"),
+    )
+    return out.withColumn("start", F.col("w.start")).drop("w")
+
+
+def stream_unseen_ever(urls: DataFrame, url: str, path: str, checkpoint: str, available_now: bool = True):
+    """Each URL once, whenever it was seen before: the URLs that earlier batches stored under `path` are joined out.
+    Of a URL's rows in one batch any one stays; null is no URL."""
+    spark, schema = urls.sparkSession, StructType([*urls.schema.fields, StructField("batch", IntegerType())])
+
+    def new(batch: DataFrame, number: int) -> DataFrame:
+        rows = batch.where(F.col(url).isNotNull()).dropDuplicates([url])
+        return unseen(rows, spark.read.schema(schema).parquet(path).where(F.col("batch") < number), url) if number else rows
+
+    return store_batches(urls, new, path, checkpoint, available_now)
+
+
 def stream_unseen(urls: DataFrame, url: str, ts: str, horizon: str) -> DataFrame:
     """Each URL once within the horizon."""
     return urls.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, horizon).dropDuplicatesWithinWatermark([url])
@@ -59,6 +105,18 @@ def stream_clean(rows: DataFrame, rules: dict, columns: list[str]) -> DataFrame:
     return audit_missing(clean_values(rows, rules).withColumnRenamed("code", "value_code"), columns)
 
 
+def clean_items(rows: DataFrame, mapping: DataFrame, required: list[str], rules: dict, synonyms: DataFrame) -> DataFrame:
+    """(id, path, value, code) of items given as (id, template_id, path, value): paths mapped, required ones looked for,
+    values cleaned, synonyms and white space made one, missing ones audited. The code is the worst of all steps', that
+    of the item's required paths included. For a stream's batches an item's rows have to arrive together."""
+    mapped = map_schema(rows, mapping).select("id", "path", "value")
+    asked = check_required(mapped, required).select("id", F.col("code").alias("item_code"))
+    out = clean_values(mapped, rules).select("id", "path", F.col("cleaned").alias("value"), F.col("code").alias("value_code"))
+    out = replace_synonyms(out, synonyms).select("id", "path", F.col("canonical").alias("value"), "value_code", F.col("code").alias("synonym_code"))
+    out = audit_missing(normalise_whitespace(out, ["value"]), ["value"])
+    return out.join(asked, "id").select("id", "path", "value", F.greatest("item_code", "value_code", "synonym_code", "code").alias("code"))
+
+
 def stream_trailing(df: DataFrame, key: str, ts: str, value: str, minutes: int = 30, slide: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
     """Means over sliding windows; the value at a window's end is the mean of the minutes before it."""
     rows = df.where(F.col(value) >= 0).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
