@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.operators.joins import small
+from sluice.operators.matching import tag_spans
 from sluice.sources.scratch import Scratch
 
 NAME, KEYWORD, KEYWORD_OMIT, OMIT, UNKNOWN = 1, 2, 3, 10, 0
@@ -225,11 +226,28 @@ def build_index(docs: DataFrame, key: str, title: str, keyword: str) -> DataFram
     return found.select("term", key, weight(F.col("main"), _steps(F.col("m"))).alias("w_main"), weight(F.col("title"), _steps(F.col("t"))).alias("w_title"), weight(F.col("kw"), F.lit(1.0)).alias("w_kw"))
 
 
-def search(query_terms: DataFrame, postings: DataFrame, key: str, page: int = 0, size: int = 10, scoring: Scoring = Scoring()) -> DataFrame:
+def tag_query(queries: DataFrame, key: str, column: str, dictionary: dict[str, int], unknown: int = 0) -> DataFrame:
+    """(key, pos, term, attr) of texts: parted into dictionary words and what lies between, each part's terms inherit its
+    attribute. A null or empty text has no terms."""
+    spans = tag_spans(queries, key, column, dictionary, unknown)
+    rows = spans.select(key, "ordinal", "attr", F.posexplode(terms(F.col("section"))).alias("_at", "term"))
+    at = F.row_number().over(Window.partitionBy(key).orderBy("ordinal", "_at")) - 1
+    return rows.select(key, at.alias("pos"), "term", "attr")
+
+
+def search(
+    query_terms: DataFrame, postings: DataFrame, key: str, page: int = 0, size: int = 10, scoring: Scoring = Scoring(),
+    values: DataFrame | None = None, boosts: dict[str, float] | None = None,
+) -> DataFrame:
     """Terms (query_id, pos, term, attr, idf, query_bytes) of many queries to a page of ranked documents each. Matches are
-    counted and scored by one aggregate; the scores are stored, as ranks and totals both read them."""
+    counted and scored by one aggregate; the scores are stored, as ranks and totals both read them. With boosts, scores
+    are adjusted by the documents' `values`, one row a document; a document without any has zeros."""
     hits = _needed(weigh_query(query_terms, scoring)).join(postings, "term")
-    found = _scored(hits, key, scoring, F.sum("_counts") == F.max("_need")).withColumnRenamed("score", "weight")
+    found = _scored(hits, key, scoring, F.sum("_counts") == F.max("_need"))
+    if boosts:
+        found = adjust_scores(found.join(values.select(key, *boosts), key, "left").na.fill(0, list(boosts)), boosts).select("query_id", key, "weight")
+    else:
+        found = found.withColumnRenamed("score", "weight")
     return rank_results(Scratch(postings.sparkSession, "search").save(found, "scores"), key, page, size)
 
 

@@ -139,6 +139,16 @@ register("t9_adjust_scores", "SELECT doc_id, (n_chars::BIGINT + trunc(n_chars *
 _RANK = "r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM scored)"
 register("t10_search", f"{_ALL}, {_RANK} SELECT query_id, doc_id, score, rank::INTEGER AS rank, total::BIGINT AS total FROM r WHERE rank <= 10")(
     lambda s, d: T.search(query_terms(s, d), postings(s, d), "doc_id").select("query_id", "doc_id", F.col("weight").alias("score"), "rank", "total"))
+register("t5_tag_query_terms", r"""WITH p AS (SELECT conv_id * 1000 + turn AS query_id, list_filter(string_split(regexp_replace(role || ' ' || text, '(user|assistant|system|the)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM conversations),
+s AS (SELECT query_id, unnest(p) AS section, unnest(range(len(p))) AS ordinal FROM p),
+t AS (SELECT query_id, ordinal, CASE section WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 WHEN 'system' THEN 3 WHEN 'the' THEN 4 ELSE 0 END::INTEGER AS attr, regexp_extract_all(lower(section), '[\p{L}\p{N}]+') AS t FROM s),
+w AS (SELECT query_id, ordinal, attr, unnest(t) AS term, unnest(range(len(t))) AS k FROM t)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY ordinal, k) - 1)::INTEGER AS pos, term, attr FROM w""")(
+    lambda s, d: T.tag_query(table(s, d, "conversations").select(F.expr("conv_id * 1000 + turn").alias("query_id"), F.concat_ws(" ", "role", "text").alias("t")), "query_id", "t", {"user": 1, "assistant": 2, "system": 3, "the": 4}))
+register("t10_search_boosted", f"""{_ALL}, b AS (SELECT query_id, scored.doc_id, (trunc(score)::BIGINT + trunc(score * (n_chars % 10) * 0.5::DOUBLE * 0.01::DOUBLE)::BIGINT)::BIGINT AS weight FROM scored JOIN documents USING (doc_id)),
+r AS (SELECT query_id, doc_id, weight, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM b)
+SELECT query_id, doc_id, weight, rank::INTEGER AS rank, total::BIGINT AS total FROM r WHERE rank <= 10""")(
+    lambda s, d: T.search(query_terms(s, d), postings(s, d), "doc_id", values=table(s, d, "documents").selectExpr("doc_id", "n_chars % 10 AS v"), boosts={"v": 0.5}).select("query_id", "doc_id", "weight", "rank", "total"))
 register("t11_explain_scores", f"""{_WHOLE}, lines AS (SELECT query_id, doc_id, printf('%s: query %.4f, main %.4f, title %.4f, keyword %.4f', term, weight, w_main, w_title, w_kw) AS x FROM hits)
 SELECT query_id, doc_id, string_agg(x, chr(10) ORDER BY x) AS why FROM lines GROUP BY query_id, doc_id""")(lambda s, d: T.explain_scores(T.retrieve(whole_weighed(s, d), postings(s, d), "doc_id"), "doc_id"))
 register("t6_weigh_whole_query", f"WITH {_TOK}, {_IDF}, {_WQT} SELECT query_id, pos, term, round(weight, 6) AS weight, mandatory FROM qw")(
@@ -189,7 +199,7 @@ register("q4_tag_spans", "SELECT doc_id, section, attr::INTEGER AS attr FROM (SE
     lambda s, d: M.tag_spans(table(s, d, "documents").select("doc_id", F.concat(F.lit("edshx"), F.when(F.col("lang") == "en", "en").otherwise("")).alias("t")), "doc_id", "t", {"ed": 3, "edsh": 2, "en": 1}).select("doc_id", "section", "attr"))
 SQL["q4_tag_spans"] = "SELECT doc_id, 'edsh' AS section, 2::INTEGER AS attr FROM documents UNION ALL SELECT doc_id, 'x', 0 FROM documents UNION ALL SELECT doc_id, 'en', 1 FROM documents WHERE lang = 'en'"
 SPANS = {"the": 3, "der": 2, "tion": 1, "an": 4, "ander": 5}
-register("q4_tag_text_spans", f"""WITH p AS (SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(1), chr(2)), '({'|'.join(sorted(SPANS, key=lambda w: (-len(w), w)))})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents),
+register("q4_tag_text_spans", f"""WITH p AS (SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(1), chr(2)), '({'|'.join(sorted(SPANS, key=lambda w: (-len(w), w)))})', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS x FROM documents),
 u AS (SELECT doc_id, unnest(x) AS section, unnest(range(len(x))) AS i FROM p)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS ordinal, section, CASE WHEN i % 2 = 1 THEN CASE section {' '.join(f"WHEN '{w}' THEN {a}" for w, a in SPANS.items())} END ELSE 0 END::INTEGER AS attr FROM u WHERE section <> ''""")(
     lambda s, d: M.tag_spans(table(s, d, "documents").select("doc_id", F.translate("text", "\x01", "\x02").alias("text")), "doc_id", "text", SPANS))
