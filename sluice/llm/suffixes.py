@@ -201,13 +201,18 @@ def _replies(left: pa.Table, kind: int) -> list[bytes]:
     return [d for k, d in zip(left["kind"].to_pylist(), left["data"].to_pylist()) if k == kind]
 
 
+def _spread(df: DataFrame, key: str, keys: int) -> DataFrame:
+    """Partitions in number by the groups, whatever the session's setting: few groups meet in a task at any size."""
+    return df.repartition(2 * keys, key)
+
+
 def _repeats(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, dict]:
     """The documents with their block, the ranks that concern each block, and the settings."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     how = {"length": length, "bits": min(64, total.bit_length() + 12), "buckets": max(1, int(total * len(COVER) / V / BUCKET_RANKS))}
     docs = docs.withColumn(_BLOCK, F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(n)))
-    texts = docs.select(_BLOCK, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = _spread(docs.select(_BLOCK, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")), _BLOCK, n)
 
     def sample(table: pa.Table) -> pa.Table:
         return _deal(table[_BLOCK][0].as_py(), how["buckets"], how["bits"], _twice(_Block(table, how).sample_ranks()))
@@ -241,12 +246,13 @@ def _repeats(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame,
         later = ids != _least(ids, ranks)  # a text is in one block only
         return _answer(blocks[later], ranks[later], 1)
 
-    sampled = scratch.save(texts.groupBy(_BLOCK).applyInArrow(sample, _SENT_SQL).groupBy("bucket").applyInArrow(sort_sample, _BACK_SQL), "sample", free=True)
+    sent = texts.groupBy(_BLOCK).applyInArrow(sample, _SENT_SQL)
+    sampled = scratch.save(_spread(sent, "bucket", how["buckets"]).groupBy("bucket").applyInArrow(sort_sample, _BACK_SQL), "sample", free=True)
     known = sampled
     for turn in range(PASSES):
-        sent = texts.groupBy(_BLOCK).cogroup(sampled.groupBy(_BLOCK)).applyInArrow(suffix(turn), _SENT_SQL)
-        known = known.union(scratch.save(sent.groupBy("bucket").applyInArrow(sort_suffixes, _BACK_SQL), "later", free=True))
-    return docs, known, how
+        sent = texts.groupBy(_BLOCK).cogroup(_spread(sampled, _BLOCK, n).groupBy(_BLOCK)).applyInArrow(suffix(turn), _SENT_SQL)
+        known = known.union(scratch.save(_spread(sent, "bucket", how["buckets"]).groupBy("bucket").applyInArrow(sort_suffixes, _BACK_SQL), "later", free=True))
+    return _spread(docs, _BLOCK, n), _spread(known, _BLOCK, n), how
 
 
 def _removed(left: pa.Table, right: pa.Table, how: dict):
