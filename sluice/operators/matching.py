@@ -1,122 +1,378 @@
-"""Query understanding: templates with slots, dictionary spans, and arbitration between answers."""
+"""Query understanding: templates with slots, dictionary spans, and arbitration between answers.
+
+Both matchers are automata that a task walks over a text once: no regular expression over texts, no recursion, any
+characters and any length. Dictionaries and templates are hand-made tables of the driver's; they are broadcast, and a
+worker builds its automaton once, for all its tasks.
+"""
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
-from collections.abc import Iterator
+import uuid
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.operators.joins import small
-
-#: Words of a dictionary that one alternation of the expression form holds; larger dictionaries go through pandas.
-ALTERNATION = 2000
-MAX_TEMPLATES = 10_000
+#: Rows of a result that a task holds at once.
+_ROWS = 8192
+#: Built automata that a worker keeps, by what they were built from.
+_BUILT: dict[str, object] = {}
+_KEPT = 8
+#: Characters of a dictionary's or of all templates' words, at most: an executor holds the table and its automaton.
+TABLE_CHARS = 64 << 20
 _FUNCTIONS = {"num": r"([0-9.]*+)"}
 _PART = re.compile(r"\[([^\[\]]*)\]|([^\[\]]+)|(.)", re.S)
 
 
 def register_template_function(name: str, pattern: str) -> None:
-    """A pattern with one group, for [F:name]."""
+    """For [F:name]: what the pattern matches at a place is the function's value there; where it does not, no match."""
+    re.compile(pattern)
     _FUNCTIONS[name] = pattern
 
 
-def _quote(word: str) -> str:
-    return re.sub(r"([\\.^$|?*+()\[\]{}\-])", r"\\\1", word)
+@dataclass(frozen=True)
+class Shared:
+    """A hand-made table that every worker has; its size is checked before it is sent."""
+
+    name: str
+    table: Broadcast
+
+    @classmethod
+    def send(cls, spark: SparkSession, table: tuple, words: Iterable[str]) -> Shared:
+        if (n := sum(map(len, words))) > TABLE_CHARS:
+            raise ValueError(f"a table of {n} characters; at most {TABLE_CHARS} are sent to every executor")
+        return cls(uuid.uuid4().hex, spark.sparkContext.broadcast(table))
+
+    def built(self, build: Callable):
+        """What `build` makes of the table, once for each worker."""
+        if self.name not in _BUILT:
+            while len(_BUILT) >= _KEPT:
+                _BUILT.pop(next(iter(_BUILT)))
+            _BUILT[self.name] = build(*self.table.value)
+        return _BUILT[self.name]
+
 
+def automaton(words: dict[str, object]) -> ahocorasick.Automaton | None:
+    """Finds every occurrence of every word; None without words."""
+    out = ahocorasick.Automaton()
+    for word, value in words.items():
+        out.add_word(word, (len(word), value))
+    out.make_automaton()
+    return out if words else None
 
-def compile_template(template: str, lexicon: dict[str, list[str]], ignore: list[str]) -> tuple[str, list[str]]:
-    """A regular expression with a group for each slot, and the slots' names. Literals, [D:slot] (a word of the lexicon,
-    the shortest first), [W:a-b] (a to b characters, as few as can be) and [F:function]; ignorable words may stand
-    between any two parts."""
-    gap = f"(?:{'|'.join(_quote(w) for w in sorted(ignore, key=len, reverse=True) if w)})*" if any(ignore) else ""
-    parts, slots = [], []
+
+@dataclass
+class Node:
+    """A state of the template trie. words: by the number of a literal or lexicon slot, the next state; wild and functions:
+    (parameters, next state); ends: (template's place in the table) of the templates that end here."""
+
+    words: dict[int, int] = field(default_factory=dict)
+    wild: dict[tuple[int, int], int] = field(default_factory=dict)
+    functions: dict[str, int] = field(default_factory=dict)
+    ends: list[int] = field(default_factory=list)
+    above: int = -1
+    edge: tuple = ()
+
+
+def parse_template(template: str) -> list[tuple[str, object]]:
+    """Parts of a template: ("text", literal), ("D", slot), ("W", (low, high)) or ("F", function)."""
+    parts = []
     for inner, literal, stray in _PART.findall(template):
         if literal:
-            parts.append(_quote(literal))
+            parts.append(("text", literal))
             continue
         kind, colon, name = inner.partition(":")
         if stray or not colon or kind not in ("D", "W", "F") or not name:
             raise ValueError(f"template {template!r}: {stray or inner!r} is not [D:slot], [W:a-b] or [F:function]")
-        if kind == "D":
-            words = sorted(lexicon.get(name, []), key=lambda w: (len(w), w))
-            parts.append(f"({'|'.join(map(_quote, words))})" if words else "((?!))")
-        elif kind == "W":
-            low, high = map(int, name.split("-"))
-            parts.append(f"(.{{{low},{high}}}?)")
+        if kind == "W":
+            if not (m := re.fullmatch(r"(\d+)-(\d+)", name)):
+                raise ValueError(f"template {template!r}: {inner!r} is not [W:a-b]")
+            parts.append(("W", (int(m[1]), int(m[2]))))
+        elif kind == "F" and name not in _FUNCTIONS:
+            raise ValueError(f"template {template!r}: no function {name!r} is registered")
         else:
-            parts.append(_FUNCTIONS[name])
-        slots.append(name if kind != "W" else "W")
-    return f"(?s)^{gap}" + gap.join(parts) + f"{gap}$", slots
+            parts.append((kind, name))
+    return parts
+
+
+class Templates:
+    """All templates as one trie with typed edges, walked over a query from left to right.
+
+    A place of the query is visited once, with all states that are active there; templates with a common beginning share
+    their states, and a literal or lexicon edge is looked at only where one of its words stands, so that the work follows
+    the query and what matches in it, not the number of templates. Ignorable words lead from a state to itself.
+    """
+
+    def __init__(self, templates: list[tuple[list, object]], lexicon: dict[str, list[str]], ignore: list[str], functions: dict[str, str]):
+        self.nodes, self.tables = [Node()], templates
+        self.functions = {name: re.compile(pattern) for name, pattern in functions.items()}
+        number: dict[tuple, int] = {}
+        for place, (parts, _) in enumerate(templates):
+            at = 0
+            for kind, what in parts:
+                node = self.nodes[at]
+                key = number.setdefault((kind, what), len(number)) if kind in ("text", "D") else what
+                edges = {"text": node.words, "D": node.words, "W": node.wild, "F": node.functions}[kind]
+                if key not in edges:
+                    edges[key] = len(self.nodes)
+                    self.nodes.append(Node(above=at, edge=(kind, what, key)))
+                at = edges[key]
+            self.nodes[at].ends.append(place)
+        words: dict[str, list[int]] = {}
+        for (kind, what), i in number.items():
+            for word in {what} if kind == "text" else set(lexicon.get(what, [])):
+                words.setdefault(word, []).append(i)
+        self.ignore = {w for w in ignore if w}
+        for word in self.ignore:
+            words.setdefault(word, [])
+        self.empty = words.pop("", [])  # an empty word of a lexicon stands everywhere
+        self.found = automaton({w: (tuple(i), w in self.ignore) for w, i in words.items()})
+
+    def places(self, query: str) -> dict[int, list[tuple[int, tuple[int, ...], bool]]]:
+        """By the place where they begin, the words of the query: length, edges, ignorable; the shortest first."""
+        out: dict[int, list] = {}
+        for end, (n, (edges, skip)) in self.found.iter(query) if self.found else ():
+            out.setdefault(end - n + 1, []).append((n, edges, skip))  # a word that ends earlier comes earlier
+        return out
+
+    def walk(self, query: str, places: dict) -> dict[int, array]:
+        """State -> the places at which it is active, in order, of all states that are ever active."""
+        n, active, waiting, order, filled = len(query), {}, {0: {0}}, [0], {}
+
+        def wait(at: int, state: int) -> None:
+            if at not in waiting:
+                waiting[at] = set()
+                heapq.heappush(order, at)
+            waiting[at].add(state)
+
+        while order:
+            at = heapq.heappop(order)
+            here, todo, values = waiting.pop(at), [], {}
+            todo.extend(here)
+            words = places.get(at, ())
+            while todo:
+                state = todo.pop()
+                node = self.nodes[state]
+                active.setdefault(state, array("q")).append(at)
+                for size, edges, skip in words:
+                    if skip:
+                        wait(at + size, state)
+                    for e in edges:
+                        if (to := node.words.get(e)) is not None:
+                            wait(at + size, to)
+                nexts = [node.words[e] for e in self.empty if e in node.words]
+                for name, to in node.functions.items():
+                    if name not in values:
+                        found = self.functions[name].match(query, at)
+                        values[name] = found.end() if found else None
+                    if values[name] == at:
+                        nexts.append(to)
+                    elif values[name] is not None:
+                        wait(values[name], to)
+                for (low, high), to in node.wild.items():
+                    if low == 0 and high >= 0:
+                        nexts.append(to)
+                    for x in range(max(at + max(low, 1), filled.get(to, -1) + 1), min(at + high, n) + 1):
+                        wait(x, to)
+                    filled[to] = max(filled.get(to, -1), min(at + high, n))
+                for to in nexts:
+                    if to not in here:
+                        here.add(to)
+                        todo.append(to)
+        return active
+
+    def slots(self, query: str, places: dict, active: dict[int, array], leaf: int) -> list[tuple[str, str]]:
+        """The slots of a match that ends in a state. Of several ways the first is taken: at each place rather one more
+        ignorable word (the longest first) than none, then the shortest word of a lexicon, the shortest wildcard."""
+        path = [leaf]
+        while self.nodes[path[-1]].above >= 0:
+            path.append(self.nodes[path[-1]].above)
+        path.reverse()
+
+        def steps(i: int, at: int) -> Iterator[int]:
+            """Where the part after the i-th state can end that begins at a place, in order of preference."""
+            kind, what, key = self.nodes[path[i + 1]].edge
+            if kind == "W":
+                yield from range(at + what[0], min(at + what[1], len(query)) + 1)
+            elif kind == "F":
+                if found := self.functions[what].match(query, at):
+                    yield found.end()
+            else:
+                if key in self.empty:
+                    yield at
+                yield from (at + size for size, edges, _ in places.get(at, ()) if key in edges)
+
+        good: list[set[int]] = [set() for _ in path]
+        for i in reversed(range(len(path))):
+            last = i == len(path) - 1
+            wide = not last and self.nodes[path[i + 1]].edge[0] == "W"
+            ends = sorted(good[i + 1]) if wide else []
+            for at in reversed(active[path[i]]):
+                if last:
+                    fine = at == len(query)
+                elif wide:
+                    low, high = self.nodes[path[i + 1]].edge[1]
+                    first = bisect.bisect_left(ends, at + low)
+                    fine = first < len(ends) and ends[first] <= at + high
+                else:
+                    fine = any(x in good[i + 1] for x in steps(i, at))
+                if fine or any(skip and at + size in good[i] for size, _, skip in places.get(at, ())):
+                    good[i].add(at)
+        out, at = [], 0
+        for i in range(len(path)):
+            while (more := next((at + size for size, _, skip in reversed(places.get(at, ())) if skip and at + size in good[i]), None)) is not None:
+                at = more
+            if i + 1 < len(path):
+                end = next(x for x in steps(i, at) if x in good[i + 1])
+                kind, what, _ = self.nodes[path[i + 1]].edge
+                if kind != "text":
+                    out.append((what if kind != "W" else "W", query[at:end]))
+                at = end
+        return out
+
+    def match(self, query: str | None, with_slots: bool = True) -> list[tuple[int, list]]:
+        """Places in the table of the templates that match a whole query, with their slots."""
+        if query is None:
+            return []
+        places = self.places(query)
+        active = self.walk(query, places)
+        leaves = sorted(s for s, at in active.items() if self.nodes[s].ends and at[-1] == len(query))
+        return [(place, slots) for s in leaves for slots in [self.slots(query, places, active, s) if with_slots else []] for place in self.nodes[s].ends]
+
+
+def _compiled(spark, templates: list[tuple[int, str, str]], lexicon: dict[str, list[str]], ignore: list[str]) -> Shared:
+    """The tables as the driver has them, the templates parsed."""
+    used = [(parse_template(t), (i, attr)) for i, t, attr in templates]
+    names = {what for parts, _ in used for kind, what in parts if kind == "F"}
+    words = [*(t for _, t, _ in templates), *(w for slot in lexicon.values() for w in slot), *ignore]
+    return Shared.send(spark, (used, lexicon, ignore, {name: _FUNCTIONS[name] for name in names}), words)
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def match_templates(queries: DataFrame, templates: list[tuple[int, str, str]], lexicon: dict[str, list[str]], ignore: list[str]) -> DataFrame:
-    """(query_id, query, template_id, attr, pattern, slots) of each template (id, text, attr) that matches a whole
-    query; a null query matches none. The templates are compiled here and sent along: a hand-made table, of MAX_TEMPLATES
-    at most, which every query meets."""
-    spark = queries.sparkSession
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"{len(templates)} templates; every query would meet each of them (at most {MAX_TEMPLATES})")
-    rows = [(i, attr, *compile_template(t, lexicon, ignore)) for i, t, attr in templates]
-    table = spark.createDataFrame(rows, "template_id int, attr string, pattern string, slots array<string>")
-    return queries.select("query_id", "query").join(F.broadcast(table), F.regexp_like("query", F.col("pattern")))
+    """(query_id, query, template_id, attr, slots) of each template (id, text, attr) that matches a whole query, with its
+    slots (slot, value) in order; a null query matches none. Literals, [D:slot] (a word of the lexicon), [W:a-b] (a to b
+    characters) and [F:function]; ignorable words may stand between any two parts, and at both ends. Queries stay where
+    they are; each is walked once, whatever the number of templates."""
+    table = _compiled(queries.sparkSession, templates, lexicon, ignore)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = table.built(Templates)
+
+        def rows(b: pa.RecordBatch, found: list) -> pa.RecordBatch:
+            owner = pa.array([i for i, _, _ in found], pa.int64())
+            ids = [trie.tables[place][1] for _, place, _ in found]
+            slots = pa.array([[{"slot": n, "value": v} for n, v in s] for _, _, s in found], pa.list_(pa.struct([("slot", pa.string()), ("value", pa.string())])))
+            return pa.RecordBatch.from_arrays(
+                [b["query_id"].take(owner), b["query"].take(owner), pa.array([i for i, _ in ids], pa.int32()), pa.array([a for _, a in ids], pa.string()), slots],
+                ["query_id", "query", "template_id", "attr", "slots"],
+            )
+
+        for b in batches:
+            found = []
+            for i, query in enumerate(b["query"]):
+                for place, slots in trie.match(query.as_py()):
+                    found.append((i, place, slots))
+                    if len(found) == _ROWS:
+                        yield rows(b, found)
+                        found = []
+            yield rows(b, found)
+
+    schema = f"query_id {_kind(queries, 'query_id')}, query string, template_id int, attr string, slots array<struct<slot:string,value:string>>"
+    return queries.select("query_id", F.col("query").cast("string").alias("query")).mapInArrow(run, schema)
 
 
 def extract_slots(matches: DataFrame) -> DataFrame:
     """(query_id, template_id, attr, ordinal, slot, value) of the slots of each match."""
-    rows = matches.select("query_id", "query", "template_id", "attr", "pattern", F.posexplode("slots").alias("ordinal", "slot"))
-    return rows.select("query_id", "template_id", "attr", "ordinal", "slot", F.expr("regexp_extract(query, pattern, ordinal + 1)").alias("value"))
+    rows = matches.select("query_id", "template_id", "attr", F.posexplode("slots").alias("ordinal", "_s"))
+    return rows.select("query_id", "template_id", "attr", "ordinal", "_s.slot", "_s.value")
 
 
 def match_domains(queries: DataFrame, dictionaries: dict[str, tuple[list, dict, list]]) -> DataFrame:
     """Queries (query_id, query, domains) against the templates of each domain that they name; unknown domains are
-    skipped. One row a query and domain with its matched attributes; the score is 1."""
-    parts = None
-    for name, (templates, lexicon, ignore) in dictionaries.items():
-        mine = queries.where(F.array_contains("domains", name))
-        part = match_templates(mine, templates, lexicon, ignore).select("query_id", F.lit(name).alias("domain"), "attr")
-        parts = part if parts is None else parts.union(part)
-    return parts.groupBy("query_id", "domain").agg(F.array_sort(F.collect_set("attr")).alias("intents")).withColumn("score", F.lit(1.0))
+    skipped. One row a query and domain with its matched attributes; the score is 1. Queries are read once."""
+    spark = queries.sparkSession
+    tables = {name: _compiled(spark, *dictionary) for name, dictionary in dictionaries.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries = {name: table.built(Templates) for name, table in tables.items()}
+        for b in batches:
+            found = []
+            for i, (query, domains) in enumerate(zip(b["query"].to_pylist(), b["domains"].to_pylist(), strict=True)):
+                for name in dict.fromkeys(d for d in domains or () if d in tries):
+                    intents = sorted({tries[name].tables[place][1][1] for place, _ in tries[name].match(query, False)})
+                    if intents:
+                        found.append((i, name, intents))
+            owner = pa.array([i for i, _, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b["query_id"].take(owner), pa.array([d for _, d, _ in found], pa.string()), pa.array([x for _, _, x in found], pa.list_(pa.string()))], ["query_id", "domain", "intents"]
+            )
+
+    rows = queries.select("query_id", F.col("query").cast("string").alias("query"), "domains").mapInArrow(run, f"query_id {_kind(queries, 'query_id')}, domain string, intents array<string>")
+    together = rows.groupBy("query_id", "domain").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("intents")))).alias("intents"))  # rows may share a query_id
+    return together.withColumn("score", F.lit(1.0))
+
+
+class Spans:
+    """A dictionary as an automaton; spans() parts a text from the left by the longest word at each place."""
+
+    def __init__(self, dictionary: dict[str, int], unknown: int):
+        self.unknown = unknown
+        self.found = automaton({w: a for w, a in dictionary.items() if w})
+
+    def spans(self, text: str) -> Iterator[tuple[str, int]]:
+        longest: dict[int, tuple[int, int]] = {}
+        for end, (n, attr) in self.found.iter(text) if self.found else ():
+            start = end - n + 1
+            if n > longest.get(start, (0, 0))[0]:
+                longest[start] = (n, attr)
+        at = 0
+        for start in sorted(longest):
+            if start >= at:
+                n, attr = longest[start]
+                if start > at:
+                    yield text[at:start], self.unknown
+                yield text[start : start + n], attr
+                at = start + n
+        if at < len(text):
+            yield text[at:], self.unknown
 
 
 def tag_spans(df: DataFrame, key: str, column: str, dictionary: dict[str, int], unknown: int = 0) -> DataFrame:
-    """(key, ordinal, section, attr): from the left the longest dictionary word at each place, gaps as unknown sections."""
-    words = sorted((w for w in dictionary if w), key=lambda w: (-len(w), w))
-    text = F.coalesce(F.col(column), F.lit(""))
-    if not words:
-        return df.select(key, F.lit(0).alias("ordinal"), text.alias("section"), F.lit(unknown).alias("attr")).where("section <> ''")
-    if len(words) <= ALTERNATION:
-        any_word = "|".join(map(_quote, words))
-        found = F.regexp_extract_all(text, F.lit(rf"(?s)(?:{any_word})|(?:(?!{any_word}).)+"), 0)
-        rows = df.select(key, F.posexplode(found).alias("ordinal", "section"))
-        table = small(df.sparkSession.createDataFrame(list(dictionary.items()), "section string, attr int"))
-        return rows.join(table, "section", "left").select(key, "ordinal", "section", F.coalesce("attr", F.lit(unknown)).alias("attr"))
-    lengths = sorted({len(w) for w in words}, reverse=True)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, ordinal, section, attr): from the left the longest dictionary word at each place, gaps as unknown sections.
+    A null or empty text has none; empty words of a dictionary are no words."""
+    table = Shared.send(df.sparkSession, (dict(dictionary), unknown), dictionary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = table.built(Spans)
+
+        def rows(b: pa.RecordBatch, found: list) -> pa.RecordBatch:
+            owner, ordinal, section, attr = zip(*found) if found else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([b[0].take(pa.array(owner, pa.int64())), pa.array(ordinal, pa.int32()), pa.array(section, pa.string()), pa.array(attr, pa.int32())], [key, "ordinal", "section", "attr"])
+
         for b in batches:
-            out = []
-            for k, t in zip(b[key], b[column].fillna("")):
-                n, at, gap = 0, 0, 0
-                while at < len(t):
-                    size = next((x for x in lengths if t[at : at + x] in dictionary), 0)
-                    if size:
-                        if gap < at:
-                            out.append((k, n, t[gap:at], unknown))
-                            n += 1
-                        out.append((k, n, t[at : at + size], dictionary[t[at : at + size]]))
-                        n += 1
-                        gap = at + size
-                    at += size or 1
-                if gap < len(t):
-                    out.append((k, n, t[gap:], unknown))
-            yield pd.DataFrame(out, columns=[key, "ordinal", "section", "attr"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, column).mapInPandas(run, f"{key} {kind}, ordinal int, section string, attr int")
+            found = []
+            for i, text in enumerate(b[1]):
+                for n, (section, attr) in enumerate(spans.spans(text.as_py() or "")):
+                    found.append((i, n, section, attr))
+                    if len(found) == _ROWS:
+                        yield rows(b, found)
+                        found = []
+            yield rows(b, found)
+
+    return df.select(key, F.col(column).cast("string").alias(column)).mapInArrow(run, f"{key} {_kind(df, key)}, ordinal int, section string, attr int")
 
 
 def arbitrate(results: DataFrame, lower: float, higher: float) -> DataFrame:

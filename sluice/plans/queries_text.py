@@ -199,7 +199,7 @@ register("q4_tag_spans", "SELECT doc_id, section, attr::INTEGER AS attr FROM (SE
     lambda s, d: M.tag_spans(table(s, d, "documents").select("doc_id", F.concat(F.lit("edshx"), F.when(F.col("lang") == "en", "en").otherwise("")).alias("t")), "doc_id", "t", {"ed": 3, "edsh": 2, "en": 1}).select("doc_id", "section", "attr"))
 SQL["q4_tag_spans"] = "SELECT doc_id, 'edsh' AS section, 2::INTEGER AS attr FROM documents UNION ALL SELECT doc_id, 'x', 0 FROM documents UNION ALL SELECT doc_id, 'en', 1 FROM documents WHERE lang = 'en'"
 SPANS = {"the": 3, "der": 2, "tion": 1, "an": 4, "ander": 5}
-register("q4_tag_text_spans", f"""WITH p AS (SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(1), chr(2)), '({'|'.join(sorted(SPANS, key=lambda w: (-len(w), w)))})', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS x FROM documents),
+register("q4_tag_text_spans", rf"""WITH p AS (SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(1), chr(2)), '({'|'.join(sorted(SPANS, key=lambda w: (-len(w), w)))})', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS x FROM documents),
 u AS (SELECT doc_id, unnest(x) AS section, unnest(range(len(x))) AS i FROM p)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS ordinal, section, CASE WHEN i % 2 = 1 THEN CASE section {' '.join(f"WHEN '{w}' THEN {a}" for w, a in SPANS.items())} END ELSE 0 END::INTEGER AS attr FROM u WHERE section <> ''""")(
     lambda s, d: M.tag_spans(table(s, d, "documents").select("doc_id", F.translate("text", "\x01", "\x02").alias("text")), "doc_id", "text", SPANS))

@@ -1,8 +1,5 @@
-import re
-
 import __spark_entry__
 from sluice.operators import cleaning as C
-from sluice.operators import matching as M
 from sluice.operators import web as W
 from sluice.plans import catalog
 
@@ -18,28 +15,6 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_template_matching(spark):
-    def matches(templates, lexicon, ignore, query):
-        q = spark.createDataFrame([(1, query)], "query_id int, query string")
-        return M.match_templates(q, [(i, t, "a") for i, t in enumerate(templates)], lexicon, ignore)
-
-    templates = ["price of [D:fruit] today", "cost of [D:fruit]", "[D:fruit] today", "um[D:fruit] today", "price of [D:fruit]"]
-    found = matches(templates, {"fruit": ["pear", "plum"]}, ["um", "well ", "price of "], "well price of plum today")
-    assert sorted(r.template_id for r in found.collect()) == [0, 2]
-    slots = M.extract_slots(matches(["room[F:num]floor[D:side]"], {"side": ["east", "west"]}, ["um"], "room12.5umfloorwest"))
-    assert {(r.slot, r.value) for r in slots.collect()} == {("num", "12.5"), ("side", "west")}
-    words = matches(["to[W:1-3]by[D:means]"], {"means": ["bus", "tram"]}, [], "to日本ébybus")
-    assert {(r.slot, r.value) for r in M.extract_slots(words).collect()} == {("W", "日本é"), ("means", "bus")}
-    assert matches(["to[W:1-3]by[D:means]"], {"means": ["bus"]}, [], "tofourbybus").count() == 0
-    for bad in ("[open", "[]after", "[D/side]after"):
-        try:
-            M.compile_template(bad, {}, [])
-        except ValueError as e:
-            assert re.search("template", str(e))
-        else:
-            raise AssertionError(bad)
-
-
 def test_url_cases(spark):
     cases = {
         "http://A.b/x//y": "http://a.b/x/y", "http://a.b/x/./y/": "http://a.b/x/y/", "http://a.b/x/../y": "http://a.b/y", "http://a.b/%41%20%2F": "http://a.b/A%20%2F",

@@ -1,4 +1,4 @@
-"""Search on small tables against plain Python, and the two ways of tagging spans against each other."""
+"""Search on small tables against plain Python, and what spans make up."""
 
 import math
 
@@ -80,23 +80,21 @@ def test_top_keywords_and_words(spark):
 
 
 @pytest.mark.parametrize("words", [{"ab": 1, "abc": 2, "b": 3, "c.d": 4, "é": 5, "🙂x": 6}, {"aa": 1, "a": 2}, {"(": 1, "\n": 2}])
-def test_both_ways_of_tagging_agree(spark, monkeypatch, words):
+def test_spans_make_up_the_text(spark, words):
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice(list("abcd.é🙂x(\n "), int(n))) for n in rng.integers(0, 30, 80)] + [None, "", "abcabcab", "no"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    short = sorted(map(tuple, M.tag_spans(df, "id", "t", words).collect()))
-    monkeypatch.setattr(M, "ALTERNATION", 0)
-    assert sorted(map(tuple, M.tag_spans(df, "id", "t", words).collect())) == short
     joined = {}
-    for i, n, section, attr in short:
+    for i, n, section, attr in sorted(map(tuple, M.tag_spans(df, "id", "t", words).collect())):
         assert attr == words.get(section, 0)
         joined[i] = joined.get(i, "") + section
     assert all(joined.get(i, "") == (t or "") for i, t in enumerate(texts))
 
 
-def test_templates_have_a_bound(spark):
+def test_tables_have_a_bound(spark, monkeypatch):
     queries = spark.createDataFrame([(1, None), (2, "xx")], "query_id int, query string")
     assert M.match_templates(queries, [(1, "x[W:0-3]", "a")], {}, []).select("query_id").collect()[0][0] == 2
-    with pytest.raises(ValueError, match="templates"):
-        M.match_templates(queries, [(i, "x", "a") for i in range(M.MAX_TEMPLATES + 1)], {}, [])
+    monkeypatch.setattr(M, "TABLE_CHARS", 9)
+    with pytest.raises(ValueError, match="characters"):
+        M.match_templates(queries, [(i, "x", "a") for i in range(10)], {}, [])
     assert T.has_word(spark.createDataFrame([(1, "a1"), (2, "b")], "k int, term string"), "k", "[0-9]").where(F.col("has_word")).count() == 1
