@@ -32,17 +32,21 @@ def clean_rows(df: DataFrame, site: str, site_column: str = "site", code: str =
 
 
 def flatten_content(df: DataFrame, column: str, key: str, depth: int = 4) -> DataFrame:
-    """JSON objects as (key, path, value) leaves; arrays and scalars are leaves. Deeper objects stay as their text."""
-    rows = df.select(key, F.from_json(column, "map<string,string>").alias("_m"), F.lit("/").alias("path"))
-    leaves = None
+    """JSON objects as (key, path, value) leaves, by Spark's VARIANT, which tells a string from an object. A string leaf is
+    its characters, whatever they look like; numbers and booleans are text (numbers in their shortest form), a JSON null
+    is null, an array is its JSON text, and so is an object below `depth`. An empty object has no leaves. A text that
+    is null, no JSON, no object, or has an object with a key twice gives no rows."""
+    spark = df.sparkSession
+    is_object = lambda c: F.schema_of_variant(c).startswith("OBJECT")
+    rows = df.select(key, F.lit("/").alias("_path"), F.try_parse_json(F.col(column).cast("string")).alias("_value"))
     for level in range(depth):
-        level_rows = rows.select(key, F.explode(F.map_entries("_m")).alias("_e"), "path")
-        level_rows = level_rows.select(key, F.concat("path", F.col("_e.key"), F.lit("/")).alias("path"), F.col("_e.value").alias("value"))
-        nested = F.col("value").startswith("{") if level < depth - 1 else F.lit(False)
-        part = level_rows.where(~F.coalesce(nested, F.lit(False)))
-        leaves = part if leaves is None else leaves.union(part)
-        rows = level_rows.where(nested).select(key, F.from_json("value", "map<string,string>").alias("_m"), "path")
-    return leaves
+        nested = F.col("_object") if level else F.lit(True)
+        opened = rows.lateralJoin(spark.tvf.variant_explode_outer(F.when(nested, F.col("_value")).outer()))
+        found = opened.where(~nested | F.col("key").isNotNull()) if level else opened.where("key IS NOT NULL")  # elements of an array have no key
+        path = F.when(nested, F.concat("_path", "key", F.lit("/"))).otherwise(F.col("_path"))
+        rows = found.select(rows[key], path.alias("_path"), F.when(nested, F.col("value")).otherwise(F.col("_value")).alias("_value"))
+        rows = rows.withColumn("_object", F.coalesce(is_object("_value"), F.lit(False)))
+    return rows.select(key, F.col("_path").alias("path"), F.expr("try_variant_get(_value, '$', 'string')").alias("value"))
 
 
 def melt(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -35,6 +35,9 @@ register("p1_clean_rows", "SELECT doc_id FROM documents WHERE n_chars % 3 = 0 AN
     lambda s, d: C.clean_rows(table(s, d, "documents").withColumn("exception_code", F.col("n_chars") % 3), "src1", "source").select("doc_id"))
 register("p2_flatten_content", """SELECT event_id, '/k/' AS path, props->>'$.k' AS value FROM events UNION ALL SELECT event_id, '/u/id/', user_id::VARCHAR FROM events UNION ALL SELECT event_id, '/u/d/e/', event_type FROM events""")(
     lambda s, d: C.flatten_content(table(s, d, "events").withColumn("props", F.expr("""concat(substring(props, 1, length(props) - 1), ', "u": {"id": ', user_id, ', "d": {"e": "', event_type, '"}}}')""")), "props", "event_id"))
+register("p2_flatten_text_leaves", """SELECT event_id, '/c/' AS path, '{' || event_type AS value FROM events UNION ALL SELECT event_id, '/d/', NULL FROM events UNION ALL SELECT event_id, '/j/', props FROM events
+UNION ALL SELECT event_id, '/l/', '[' || user_id || ',{"z":"{"}]' FROM events UNION ALL SELECT event_id, '/o/p/k/', props->>'$.k' FROM events UNION ALL SELECT event_id, '/o/p/s/t/', '{"u":"' || event_type || '"}' FROM events""")(
+    lambda s, d: C.flatten_content(table(s, d, "events").withColumn("content", F.expr(r"""concat('{"c": "{', event_type, '", "d": null, "e": {}, "j": "', replace(props, '"', '\\"'), '", "l": [', user_id, ', {"z": "{"}], "o": {"p": ', substring(props, 1, length(props) - 1), ', "s": {"t": {"u": "', event_type, '"}}}}}')""")), "content", "event_id"))
 register("p3_map_schema", _MAPPED)(mapped)
 register("p4_check_required", f"""SELECT id, max(CASE WHEN value = '' AND path = '/size/' THEN 2 WHEN value = '' THEN 1 ELSE 0 END)::INTEGER AS code, coalesce(string_agg(CASE WHEN value = '' THEN path END, ','), '') AS missing FROM ({_MAPPED}) GROUP BY id""")(
     lambda s, d: C.check_required(mapped(s, d), ["/size/"]).withColumn("missing", F.array_join("missing", ",")))
