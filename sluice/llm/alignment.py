@@ -6,23 +6,22 @@ bitmap holds the documents that link it; planes beside it hold the bits of its m
 Bitmaps of one pair and block of 65,536 documents are OR-merged, their bits counted: documents of a pair, and links.
 The postings then carry each pair's score back to their documents, block by block.
 
-A text is parted at white space where neither vocabulary can reach over; a worker remembers the alignment of such words,
-so that it is worked out once for each and not once for each occurrence. Texts are read and encoded once.
+A text is parted at white space where neither vocabulary can reach over. Of the words so made, a task aligns each once
+for some megabytes of text, all of them together. Texts are read once.
 
 Inputs and edge cases: a null or empty text has no tokens, nor has one that the tokens of A or of B do not spell out
 (U+2581 in a text, which B takes for a space): zeros and an empty digest; equal texts, and rows that share a doc_id, are
-documents of their own; strings of special tokens are plain text; a long word is aligned as a whole and not remembered;
-an empty table gives no rows; only doc_id and text are read. A group is taken whole: its links are counted
-by the ids in it, so that a group of many equal tokens is small work.
+documents of their own; strings of special tokens are plain text; an empty table gives no rows; only doc_id and text are
+read. The links of a large group are counted by the ids in it, so that a group of many equal tokens is small work.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +37,8 @@ from sluice.sources.scratch import Scratch, partitions
 
 #: Bits of an id of B in the number of a pair.
 _ID_BITS = 20
-#: Words whose alignment a worker remembers, the longest of them, and bytes of text whose postings it holds at once.
-_MEMORY, _WORD, _FLUSH = 1 << 17, 64, 16 << 20
+#: Bytes of text whose words and postings a task holds at once; words of one call; links of a group taken one by one.
+_FLUSH, _CALL, _LARGE = 8 << 20, 4096, 1 << 16
 _SPACE = "▁"
 _CUT = re.compile(rf"(?<=[^\s{_SPACE}]) (?!\Z)")  # B makes nothing of an empty text, so that a last space stays with its word
 
@@ -58,53 +57,31 @@ def byte_letters() -> dict[str, int]:
 
 
 @dataclass(frozen=True)
-class Word:
-    """The alignment of a text: counts, its groups as text, pairs and how often each is linked. whole: spelled by both."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: bytes
+class Words:
+    """Alignments of words, one after another: counts, groups as text, and by `starts` each word's distinct pairs and how
+    often it links them. whole: spelled by both vocabularies."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    whole: np.ndarray
+    groups: list[str]
+    starts: np.ndarray
     pairs: np.ndarray
     times: np.ndarray
-    whole: bool
-
-
-def align_tokens(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes], text: bytes) -> Word:
-    """Groups and links of two token sequences with their bytes."""
-    if b"".join(bytes_a) != text or b"".join(bytes_b) != text:
-        return Word(0, 0, 0, 0, b"", np.empty(0, np.int64), np.empty(0, np.int64), False)
-    links: Counter = Counter()
-    groups, total, i, j, n_links = [], 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        first_a, first_b, end_a, end_b = i, j, total, total
-        while True:
-            if end_a <= end_b and i < len(a):
-                end_a += len(bytes_a[i])
-                i += 1
-            else:
-                end_b += len(bytes_b[j])
-                j += 1
-            if end_a == end_b and i > first_a and j > first_b:
-                break
-        total = end_a
-        own_a, own_b = a[first_a:i], b[first_b:j]
-        n_links += len(own_a) * len(own_b)
-        if len(own_a) == len(own_b) == 1:
-            links[own_a[0] << _ID_BITS | own_b[0]] += 1
-        else:
-            of_b = Counter(own_b)
-            for x, n in Counter(own_a).items():
-                for y, m in of_b.items():
-                    links[x << _ID_BITS | y] += n * m
-        groups.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
-    pairs = np.fromiter(links, np.int64, len(links))
-    return Word(len(a), len(b), len(groups), n_links, ";".join(groups).encode(), pairs, np.fromiter(links.values(), np.int64, len(links)), True)
+
+
+def _add(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their times."""
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(times, first) if len(first) else times
 
 
 class Aligner:
-    """Alignments of words, remembered."""
+    """Two vocabularies, and what their tokens spell."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
@@ -125,31 +102,86 @@ class Aligner:
         across = [p for p in map(self.b.id_to_piece, range(size_b)) if re.search(f"[^{_SPACE}]{_SPACE}", p)]
         if across:
             raise ValueError(f"{path_b} has pieces that reach over a space: {across[:3]}")
-        self.known: dict[str, Word] = {}
-
-    def words(self, texts: set[str]) -> dict[str, Word]:
-        """Alignments of a space and each text."""
-        if len(self.known) > _MEMORY:
-            self.known = {}
-        new = [t for t in texts if t not in self.known]
-        out = {t: self.known[t] for t in texts if t in self.known}
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            ids_b = self.b.encode(part, num_threads=1)
-            for t, a, b in zip(part, self.a.encode_batch([" " + t for t in part], add_special_tokens=False), ids_b, strict=True):
-                a = a.ids
-                out[t] = word = align_tokens(a, b, [self.bytes_a[x] for x in a], [self.bytes_b[x] for x in b], (" " + t).encode())
-                if len(t) <= _WORD:
-                    self.known[t] = word
-        return out
+        self.length_a, self.length_b = (np.array([len(x) for x in spelled], np.int64) for spelled in (self.bytes_a, self.bytes_b))
+        self.text_a = np.array([[f"{i}{end}" for i in range(size_a)] for end in ",|"], object)
+        self.text_b = np.array([[f"{i}{end}" for i in range(size_b)] for end in ",;\n"], object)
+
+    def _tokens(self, words: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """Ids of A and of B of a space and each word, and whether both spell it; words that they do not spell have none."""
+        a = [x.ids for x in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)]
+        b = self.b.encode(words, num_threads=1)
+        spell = lambda ids, spelled: b"".join([spelled[x] for i in ids for x in i])
+        whole = np.ones(len(words), bool)
+        text = (" " + " ".join(words)).encode()
+        if spell(a, self.bytes_a) != text or spell(b, self.bytes_b) != text:
+            for i, w in enumerate(words):
+                text = (" " + w).encode()
+                if spell(a[i : i + 1], self.bytes_a) != text or spell(b[i : i + 1], self.bytes_b) != text:
+                    a[i], b[i], whole[i] = [], [], False
+        return a, b, whole
+
+    def _some(self, words: list[str]) -> Words:
+        a, b, whole = self._tokens(words)
+        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
+        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((a, n_a), (b, n_b)))
+        ends_a, ends_b = np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])
+        cuts = np.intersect1d(ends_a, ends_b)  # words end here too, as both spell them
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+        word_a = np.repeat(np.arange(len(words)), n_a)
+        last_a, last_b = np.cumsum(in_a) - 1, np.cumsum(in_b) - 1
+        word_of = word_a[last_a]
+        n_links = np.zeros(len(words), np.int64)
+        np.add.at(n_links, word_of, in_a * in_b)
+        # the groups as text: each group's ids of A, then those of B
+        end_a, end_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
+        end_a[last_a], end_b[last_b] = 1, 1
+        end_b[np.cumsum(n_b)[n_b > 0] - 1] = 2
+        merged = np.empty(len(flat_a) + len(flat_b), object)
+        merged[np.arange(len(flat_a)) + (np.cumsum(in_b) - in_b)[group_a]] = self.text_a[end_a, flat_a]
+        merged[np.arange(len(flat_b)) + np.cumsum(in_a)[group_b]] = self.text_b[end_b, flat_b]
+        lines = iter("".join(merged.tolist()).split("\n"))
+        groups = [next(lines) if n else "" for n in n_b.tolist()]
+        # links: every token of A with all of B in its group; of large groups, ids with their counts
+        large = in_a * in_b > _LARGE
+        own = np.flatnonzero(~large[group_a])
+        many = in_b[group_a[own]]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat((last_b - in_b + 1)[group_a[own]], many)
+        left = np.repeat(own, many)
+        keys = [word_a[left] << 2 * _ID_BITS | flat_a[left] << _ID_BITS | flat_b[at]]
+        times = [np.ones(len(left), np.int64)]
+        for g in np.flatnonzero(large).tolist():
+            x, n = np.unique(flat_a[last_a[g] - in_a[g] + 1 : last_a[g] + 1], return_counts=True)
+            y, m = np.unique(flat_b[last_b[g] - in_b[g] + 1 : last_b[g] + 1], return_counts=True)
+            keys.append((word_of[g] << 2 * _ID_BITS | x[:, None] << _ID_BITS | y[None, :]).ravel())
+            times.append(np.outer(n, m).ravel())
+        keys, times = _add(np.concatenate(keys), np.concatenate(times))
+        starts = np.searchsorted(keys >> 2 * _ID_BITS, np.arange(len(words)))
+        return Words(n_a, n_b, np.bincount(word_of, minlength=len(words)), n_links, whole, groups, starts, keys & ((1 << 2 * _ID_BITS) - 1), times)
+
+    def words(self, words: list[str]) -> Words:
+        """Alignments of a space and each word. No word may be empty."""
+        parts = [self._some(words[at : at + _CALL]) for at in range(0, len(words), _CALL)]
+        joined = lambda name: np.concatenate([getattr(p, name) for p in parts] or [np.empty(0, np.int64)])
+        before = np.cumsum([0, *(len(p.pairs) for p in parts)])
+        starts = np.concatenate([*(p.starts + n for p, n in zip(parts, before)), before[-1:]])
+        return Words(*map(joined, ("n_a", "n_b", "n_groups", "n_links", "whole")), [g for p in parts for g in p.groups], starts, joined("pairs"), joined("times"))
 
 
 @functools.lru_cache(1)
 def aligner(path_a: str, path_b: str) -> Aligner:
-    """What a Python worker remembers, from one task to the next."""
+    """What a Python worker loads once, for all its tasks."""
     return Aligner(path_a, path_b)
 
 
+class Numbers(dict):
+    """Words, numbered as they come."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 _DIGEST = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 _SCHEMA = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, groups string, pair bigint, block bigint, docs binary, planes array<binary>"
 _TYPES = [pa.int64()] * 6 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.binary(), pa.list_(pa.binary())]
@@ -183,14 +215,6 @@ def _postings(keys: np.ndarray, times: np.ndarray, block: int) -> pa.RecordBatch
     return _rows(n, pair=pa.array(pairs), block=pa.array(np.full(n, block)), docs=pack(group, number, n), planes=bit_planes(group, number, times, n))
 
 
-def _add(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their times."""
-    order = np.argsort(keys, kind="stable")
-    keys, times = keys[order], times[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(times, first) if len(first) else times
-
-
 def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False) -> DataFrame:
     """Two kinds of rows: of each document (row, doc_id, counts, digest, and its groups as text on request; `pair` is
     null), and of each pair and block (pair, block, docs, planes). A block's rows of a pair may be several, which no
@@ -198,53 +222,46 @@ def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how = aligner(path_a, path_b)
-        held: list[tuple[int, str | None, int]] = []
-        size = 0
+        numbers, ids, rows, places, size = Numbers(), [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            parted = [_CUT.split(t) if t else [] for _, t, _ in held]
-            known = how.words({w for words in parted for w in words})
-            names = list(known)
-            index = {w: i for i, w in enumerate(names)}
-            words = [known[w] for w in names]
-            whole = np.array([w.whole for w in words], bool)
-            counts = {c: np.array([getattr(w, c) for w in words], np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
-            places = [np.fromiter(map(index.__getitem__, p), np.int64, len(p)) for p in parted]
-            places = [p if len(p) and whole[p].all() else p[:0] for p in places]
-            of_doc = np.repeat(np.arange(len(held)), [len(p) for p in places])
-            flat = np.concatenate(places)
-            out = {c: np.bincount(of_doc, None, len(held)) * 0 for c in counts}
-            for c, values in counts.items():
-                np.add.at(out[c], of_doc, values[flat])
-            text = [b";".join([words[i].groups for i in p.tolist()]) for p in places]
+            words = how.words(list(numbers))
+            whole = [p if len(p) and words.whole[p].all() else p[:0] for p in places]
+            of_doc, flat = np.repeat(np.arange(len(rows)), [len(p) for p in whole]), np.concatenate(whole)
+            counts = {c: np.zeros(len(rows), np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
+            for c, total in counts.items():
+                np.add.at(total, of_doc, getattr(words, c)[flat])
+            text = [";".join(map(words.groups.__getitem__, p.tolist())) for p in whole]
             yield _rows(
-                len(held), row=[r for r, _, _ in held], doc_id=[i for _, _, i in held], **{c: pa.array(v) for c, v in out.items()},
-                groups_sha256=[hashlib.sha256(t).hexdigest() if t else "" for t in text], **({"groups": [t.decode() for t in text]} if with_groups else {}),
+                len(rows), row=rows, doc_id=ids, **{c: pa.array(v) for c, v in counts.items()},
+                groups_sha256=[hashlib.sha256(t.encode()).hexdigest() if t else "" for t in text], **({"groups": text} if with_groups else {}),
             )
-            if not len(flat):
+            del text
+            both, times = np.unique(of_doc * len(numbers) + flat, return_counts=True)  # words of a document, before they become pairs
+            if not len(both):
                 return
-            both, times = np.unique(of_doc * len(words) + flat, return_counts=True)  # words of a document, before they become pairs
-            doc, word = both // len(words), both % len(words)
-            sizes = np.array([len(w.pairs) for w in words], np.int64)
-            starts = np.cumsum(sizes) - sizes
-            pairs, linked = np.concatenate([w.pairs for w in words]), np.concatenate([w.times for w in words])
-            n = sizes[word]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[word], n)
-            row = np.array([r for r, _, _ in held], np.int64)[np.repeat(doc, n)]
-            times = linked[at] * np.repeat(times, n)
+            doc, word = both // len(numbers), both % len(numbers)
+            n = np.diff(words.starts)[word]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(words.starts[word], n)
+            row = np.array(rows, np.int64)[np.repeat(doc, n)]
+            times = words.times[at] * np.repeat(times, n)
             for block in np.unique(row // SPAN).tolist():
                 here = row // SPAN == block
-                yield _postings(*_add(pairs[at[here]] << 16 | row[here] % SPAN, times[here]), block)
+                yield _postings(*_add(words.pairs[at[here]] << 16 | row[here] % SPAN, times[here]), block)
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                held += zip(part["row"].to_pylist(), part["text"].to_pylist(), part["doc_id"].to_pylist(), strict=True)
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                ids += part["doc_id"].to_pylist()
+                rows += part["row"].to_pylist()
+                for t in part["text"]:
+                    words = _CUT.split(t) if (t := t.as_py()) else []
+                    places.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
                 size += pc.sum(pc.binary_length(part["text"])).as_py() or 0
                 if size >= _FLUSH:
                     yield from flush()
-                    held, size = [], 0
-        if held:
+                    numbers, ids, rows, places, size = Numbers(), [], [], [], 0
+        if rows:
             yield from flush()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
