@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from sluice.operators.joins import small
 from sluice.operators.matching import tag_spans
-from sluice.sources.scratch import Scratch
+from sluice.operators.topk import best_documents, billionths
 
 NAME, KEYWORD, KEYWORD_OMIT, OMIT, UNKNOWN = 1, 2, 3, 10, 0
 
@@ -239,16 +239,18 @@ def search(
     query_terms: DataFrame, postings: DataFrame, key: str, page: int = 0, size: int = 10, scoring: Scoring = Scoring(),
     values: DataFrame | None = None, boosts: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Terms (query_id, pos, term, attr, idf, query_bytes) of many queries to a page of ranked documents each. Matches are
-    counted and scored by one aggregate; the scores are stored, as ranks and totals both read them. With boosts, scores
-    are adjusted by the documents' `values`, one row a document; a document without any has zeros."""
-    hits = _needed(weigh_query(query_terms, scoring)).join(postings, "term")
-    found = _scored(hits, key, scoring, F.sum("_counts") == F.max("_need"))
-    if boosts:
-        found = adjust_scores(found.join(values.select(key, *boosts), key, "left").na.fill(0, list(boosts)), boosts).select("query_id", key, "weight")
-    else:
-        found = found.withColumnRenamed("score", "weight")
-    return rank_results(Scratch(postings.sparkSession, "search").save(found, "scores"), key, page, size)
+    """Terms (query_id, pos, term, attr, idf, query_bytes) of many queries to a page of ranked documents each, with the
+    number of all that match. Documents are scored block by block, and only those that can still reach a page; matches
+    are never written down. With boosts, scores are adjusted by the documents' `values`, one row a document; a document
+    without any has zeros."""
+    main, kw, title = scoring.fields
+    kinds = {attr: i + 1 for i, attr in enumerate(scoring.document)}
+    share = lambda place: billionths(F.col("weight") * place)
+    entry = F.struct("term", share(main).alias("main"), share(kw).alias("keyword"), share(title).alias("title"), _pick("attr", kinds, 0).alias("kind"), F.col("_counts").alias("counts"))
+    queries = _needed(weigh_query(query_terms, scoring)).groupBy("query_id").agg(F.max("_need").cast("int").alias("need"), F.collect_list(entry).alias("terms"))  # most_terms at most
+    place = F.when(F.col("w_main") > 0, 3).when(F.col("w_kw") > 0, 2).when(F.col("w_title") > 0, 1).otherwise(0).cast("tinyint")
+    weight = [billionths(F.greatest("w_main", "w_title") * a + F.col("w_kw") * b).alias(f"d{i}") for i, (a, b) in enumerate([scoring.other, *scoring.document.values()])]
+    return best_documents(queries, postings.where("term IS NOT NULL").select("term", key, place.alias("place"), *weight), key, page, size, scoring.scale, values, boosts)
 
 
 def lookup_idf(terms: DataFrame, idf: DataFrame) -> DataFrame:
