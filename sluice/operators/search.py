@@ -13,6 +13,8 @@ from sluice.operators.matching import tag_spans
 from sluice.operators.topk import best_documents, billionths
 
 NAME, KEYWORD, KEYWORD_OMIT, OMIT, UNKNOWN = 1, 2, 3, 10, 0
+#: Terms whose idf every task may hold.
+FREQUENT = 50_000
 
 
 @dataclass(frozen=True)
@@ -206,8 +208,9 @@ def explain_scores(hits: DataFrame, key: str) -> DataFrame:
     return hits.groupBy("query_id", key).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("why"))
 
 
-def build_index(docs: DataFrame, key: str, title: str, keyword: str) -> DataFrame:
-    """Postings (term, key, w_main, w_title, w_kw): the first line as main title, the text as title, the keyword whole.
+def document_terms(docs: DataFrame, key: str, title: str, keyword: str) -> DataFrame:
+    """(term, key, main, title, kw, m, t): each term of a document once, where it stands (first line, text, keyword) and its
+    share of the line's and the text's bytes. Stored, it serves postings and idf alike.
 
     The first line's terms are the first of the text's, so that a text is parted once; its terms and its keyword meet in
     one aggregate by term and document."""
@@ -219,11 +222,31 @@ def build_index(docs: DataFrame, key: str, title: str, keyword: str) -> DataFram
     ).select(key, "_bytes", "_line", "_first", F.posexplode("_terms").alias("_pos", "term"))
     word = F.when(F.col("_pos") > 0, F.col("_pos"))
     share = lambda size: F.max(F.try_divide(F.octet_length("term"), F.col(size)))  # noqa: E731; a line or text may be empty
-    found = rows.groupBy("term", key).agg(
-        (F.min(word) <= F.max("_first")).alias("main"), F.min(word).isNotNull().alias("title"), (F.min("_pos") == 0).alias("kw"), share("_line").alias("m"), share("_bytes").alias("t"),
+    return rows.groupBy("term", key).agg(
+        F.coalesce(F.min(word) <= F.max("_first"), F.lit(False)).alias("main"), F.min(word).isNotNull().alias("title"), (F.min("_pos") == 0).alias("kw"),
+        share("_line").alias("m"), share("_bytes").alias("t"),
     )
-    weight = lambda on, w: F.when(F.coalesce(on, F.lit(False)), w).otherwise(0.0)
-    return found.select("term", key, weight(F.col("main"), _steps(F.col("m"))).alias("w_main"), weight(F.col("title"), _steps(F.col("t"))).alias("w_title"), weight(F.col("kw"), F.lit(1.0)).alias("w_kw"))
+
+
+def weigh_postings(found: DataFrame, key: str) -> DataFrame:
+    """Postings (term, key, w_main, w_title, w_kw) of document_terms()."""
+    weight = lambda on, w: F.when(F.col(on), w).otherwise(0.0)
+    return found.select("term", key, weight("main", _steps(F.col("m"))).alias("w_main"), weight("title", _steps(F.col("t"))).alias("w_title"), weight("kw", F.lit(1.0)).alias("w_kw"))
+
+
+def build_index(docs: DataFrame, key: str, title: str, keyword: str) -> DataFrame:
+    """Postings (term, key, w_main, w_title, w_kw): the first line as main title, the text as title, the keyword whole."""
+    return weigh_postings(document_terms(docs, key, title, keyword), key)
+
+
+def join_idf(rows: DataFrame, idf: DataFrame) -> DataFrame:
+    """Rows (term, ...) with their df and idf; terms without one are left out. Both tables are stored ones. Rows of a
+    frequent term stay where they are: of terms that make up more than 1 / FREQUENT of all (term, document) pairs there are
+    fewer than FREQUENT, which every task holds; the others' rows meet by the term."""
+    total = idf.agg(F.sum("df")).first()[0] or 0
+    often = F.col("df") * FREQUENT > total
+    marked = rows.join(F.broadcast(idf.where(often)), "term", "left")
+    return marked.where("df IS NOT NULL").unionByName(marked.where("df IS NULL").drop("df", "idf").join(idf.where(~often), "term"))
 
 
 def tag_query(queries: DataFrame, key: str, column: str, dictionary: dict[str, int], unknown: int = 0) -> DataFrame:
@@ -255,3 +278,15 @@ def search(
 
 def lookup_idf(terms: DataFrame, idf: DataFrame) -> DataFrame:
     return terms.join(small(idf.select("term", "idf")), "term", "left").na.fill(0.0, ["idf"])
+
+
+def search_texts(
+    queries: DataFrame, key: str, column: str, dictionary: dict[str, int], postings: DataFrame, idf: DataFrame, document: str, page: int = 0, size: int = 10,
+    scoring: Scoring = Scoring(), values: DataFrame | None = None, boosts: dict[str, float] | None = None,
+) -> DataFrame:
+    """From raw queries (key, text; a key is one query) to pages of documents: texts are tagged by the dictionary, their
+    terms weighed by the corpus' idf (0 where it lacks one) and searched. A null or empty query finds nothing."""
+    queries = queries.select(F.col(key).alias("query_id"), F.col(column).alias("_text"))
+    terms = tag_query(queries, "query_id", "_text", dictionary, UNKNOWN)
+    terms = terms.join(queries.select("query_id", F.octet_length("_text").alias("query_bytes")), "query_id")
+    return search(lookup_idf(terms, idf), postings, document, page, size, scoring, values, boosts).withColumnRenamed("query_id", key)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sluice.operators import matching as M
 from sluice.operators import search as T
 from sluice.plans.registry import Registry, table
+from sluice.sources.scratch import Scratch
 
 register = Registry()
 QUERIES, SQL = register.queries, register.sql
@@ -29,8 +30,16 @@ register("t2_corpus_idf", f"WITH {_TOK}, {_IDF} SELECT * FROM idf")(idf)
 _WEIGHED = f"""WITH {_TOK}, {_IDF}, b AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents),
 w AS (SELECT tok.doc_id, tok.term, max((octet_length(encode(tok.term))::DOUBLE / n + CASE WHEN idf > 0 THEN log10(idf) ELSE 0 END) * 0.9) AS w FROM tok JOIN idf ON tok.term = idf.term JOIN b ON tok.doc_id = b.doc_id GROUP BY ALL)
 SELECT doc_id, term, floor(least(greatest(w, 0.0), 1.0) * 255) / 255 AS w FROM w"""
-register("t3_weigh_terms", _WEIGHED)(
-    lambda s, d: T.weigh_terms(T.distinct_terms(table(s, d, "documents"), "doc_id", "text").join(idf(s, d), "term"), "doc_id", 0.9))
+
+
+@register("t3_weigh_terms", _WEIGHED)
+def t3(s, d):
+    scratch, docs = Scratch(s, "weigh"), table(s, d, "documents")
+    found = scratch.save(T.distinct_terms(docs, "doc_id", "text"), "terms")  # parted once, for the idf and for the weights
+    known = scratch.save(T.corpus_idf(found, "doc_id", docs.count(), distinct=True), "idf")
+    return T.weigh_terms(T.join_idf(found, known), "doc_id", 0.9)
+
+
 _PTOK = r"SELECT p_partkey, t AS term, floor(least(max(octet_length(encode(t))::DOUBLE / octet_length(encode(p_name)) * 0.9), 1.0) * 255) / 255 AS w FROM (SELECT p_partkey, p_name, unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+')) AS t FROM part) GROUP BY ALL"
 register("t4_index_fields", f"SELECT p_partkey, 'whole_p_brand_' || lower(p_brand) AS term, 1.0::DOUBLE AS w FROM part UNION ALL SELECT * FROM ({_PTOK.replace('GROUP BY ALL', 'GROUP BY p_partkey, t')}) UNION ALL SELECT p_partkey, 'field_p_name_' || term, w FROM ({_PTOK.replace('GROUP BY ALL', 'GROUP BY p_partkey, t')})")(
     lambda s, d: T.index_fields(table(s, d, "part"), "p_partkey", ["p_brand"], ["p_name"]))
@@ -42,17 +51,6 @@ register("a14_select_words", f"WITH {_TOK} SELECT DISTINCT term FROM tok WHERE r
 register("a14_has_word", f"WITH {_TOK} SELECT doc_id, bool_or(regexp_matches(term, '^[0-9]+$')) AS has_word FROM tok GROUP BY doc_id")(lambda s, d: T.has_word(tokens(s, d), "doc_id", "^[0-9]+$"))
 
 
-def halves(s, d):
-    p = tokens(s, d).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return p.where("doc_id % 2 = 0"), p.where("doc_id % 3 = 0").withColumn("n", F.col("n") + 100)
-
-
-_HALVES = f"WITH {_TOK}, p AS (SELECT term, doc_id, count(*)::BIGINT AS n FROM tok GROUP BY ALL)"
-register("u3_merge_postings", f"""{_HALVES}, m AS (SELECT term, doc_id, CASE WHEN doc_id % 2 = 0 THEN n ELSE n + 100 END AS n FROM p WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
-SELECT term, doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS rn FROM m) WHERE rn <= 5""")(lambda s, d: T.merge_postings(list(halves(s, d)), "doc_id", 5))
-register("u4_merge_indexes", f"{_HALVES} SELECT term, doc_id, CASE WHEN doc_id % 2 = 0 THEN n ELSE n + 100 END AS n FROM p WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")(lambda s, d: T.merge_indexes(*halves(s, d), "doc_id"))
-
-
 def overlapping(s, d):
     """Two lists that share every third document and together hold all."""
     p = tokens(s, d).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
@@ -60,36 +58,34 @@ def overlapping(s, d):
 
 
 _OVERLAPPING = f"WITH {_TOK}, p AS (SELECT term, doc_id, count(*)::BIGINT AS n FROM tok GROUP BY ALL), m AS (SELECT term, doc_id, CASE WHEN doc_id % 3 <> 2 THEN n ELSE n + 100 END AS n FROM p)"
-register("u3_merge_all_postings", f"{_OVERLAPPING} SELECT term, doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS rn FROM m) WHERE rn <= 5")(
-    lambda s, d: T.merge_postings(list(overlapping(s, d)), "doc_id", 5))
-register("u4_merge_all_indexes", f"{_OVERLAPPING} SELECT term, doc_id, n FROM m")(lambda s, d: T.merge_indexes(*overlapping(s, d), "doc_id"))
+for name in ("u3_merge_postings", "u3_merge_all_postings"):
+    register(name, f"{_OVERLAPPING} SELECT term, doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS rn FROM m) WHERE rn <= 5")(
+        lambda s, d: T.merge_postings(list(overlapping(s, d)), "doc_id", 5))
+for name in ("u4_merge_indexes", "u4_merge_all_indexes"):
+    register(name, f"{_OVERLAPPING} SELECT term, doc_id, n FROM m")(lambda s, d: T.merge_indexes(*overlapping(s, d), "doc_id"))
 
 DICTIONARY = {"the": T.OMIT, "and": T.KEYWORD_OMIT, "edsh": T.KEYWORD, "thon": T.NAME, "der": T.KEYWORD, "que": T.NAME}
 _DICT = "dict(word, attr) AS (VALUES " + ", ".join(f"('{w}', {a})" for w, a in DICTIONARY.items()) + ")"
 
 
-def query_terms(s, d):
-    """Queries cut from the documents: the second to fourth terms of every document whose id is divisible by 20."""
-    t = tokens(s, d).where("doc_id % 20 = 0 AND pos BETWEEN 1 AND 3")
-    t = t.select(F.col("doc_id").alias("query_id"), "pos", "term")
-    size = t.groupBy("query_id").agg((F.sum(F.octet_length("term")) + 2).alias("query_bytes"))
-    return known(s, d, t, size)
+def index(s, d):
+    """Postings and idf of the documents, from one stored table of their terms."""
+    docs = table(s, d, "documents")
+    found = Scratch(s, "index").save(T.document_terms(docs.select("doc_id", "text", "lang"), "doc_id", "text", "lang"), "terms")
+    return T.weigh_postings(found, "doc_id"), T.corpus_idf(found.where("title"), "doc_id", docs.count(), distinct=True)
 
 
-def whole_query_terms(s, d):
+def query_terms(s, d, idf):
     """The whole text of every document whose id is divisible by 20 as a query; Scoring.most_terms is the only limit."""
     docs = table(s, d, "documents").where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
-    return known(s, d, T.tokenise_table(docs, "query_id", "text"), docs.select("query_id", F.octet_length("text").alias("query_bytes")))
-
-
-def known(s, d, t, size):
+    size = docs.select("query_id", F.octet_length("text").alias("query_bytes"))
     words = s.createDataFrame(list(DICTIONARY.items()), "term string, attr int")
-    return t.join(size, "query_id").join(F.broadcast(words), "term", "left").na.fill(T.UNKNOWN, ["attr"]).join(idf(s, d).select("term", "idf"), "term")
+    tagged = T.tokenise_table(docs, "query_id", "text").join(size, "query_id").join(F.broadcast(words), "term", "left").na.fill(T.UNKNOWN, ["attr"])
+    scratch = Scratch(s, "queries")
+    return T.join_idf(scratch.save(tagged, "terms"), scratch.save(idf, "idf")).drop("df")
 
 
-_QT = f"""{_DICT}, q0 AS (SELECT doc_id AS query_id, pos, term FROM tok WHERE doc_id % 20 = 0 AND pos BETWEEN 1 AND 3),
-qt AS (SELECT q0.*, sum(octet_length(encode(q0.term))) OVER (PARTITION BY query_id) + 2 AS query_bytes, coalesce(attr, 0) AS attr, idf FROM q0 LEFT JOIN dict ON q0.term = word JOIN idf ON idf.term = q0.term),
-qr AS (SELECT *, round((octet_length(encode(term))::DOUBLE / query_bytes + CASE WHEN idf > 1 THEN log10(idf) ELSE 0 END) * CASE attr WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 1.1::DOUBLE WHEN 3 THEN 1.0::DOUBLE WHEN 10 THEN 0.1::DOUBLE ELSE 0.3::DOUBLE END, 9)::DECIMAL(18,9) AS raw FROM qt),
+_WEIGH = """qr AS (SELECT *, round((octet_length(encode(term))::DOUBLE / query_bytes + CASE WHEN idf > 1 THEN log10(idf) ELSE 0 END) * CASE attr WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 1.1::DOUBLE WHEN 3 THEN 1.0::DOUBLE WHEN 10 THEN 0.1::DOUBLE ELSE 0.3::DOUBLE END, 9)::DECIMAL(18,9) AS raw FROM qt),
 qw AS MATERIALIZED (SELECT query_id, pos, term, attr, raw::DOUBLE / (sum(raw) OVER (PARTITION BY query_id))::DOUBLE AS weight, attr IN (1, 2) AS mandatory FROM qr)"""
 _POST = r"""mt AS (SELECT doc_id, split_part(text, chr(10), 1) AS m, text, lang FROM documents),
 pm AS (SELECT doc_id, t AS term, floor(least(max(octet_length(encode(t))::DOUBLE / octet_length(encode(m))), 1.0) * 255) / 255 AS w FROM (SELECT doc_id, m, unnest(regexp_extract_all(lower(m), '[\p{L}\p{N}]+')) AS t FROM mt) GROUP BY doc_id, t),
@@ -103,10 +99,8 @@ _SCORE = """sums AS (SELECT query_id, doc_id, sum(round(weight * CASE WHEN w_mai
 scored AS (SELECT query_id, doc_id, round(least(q, 1.0) * least(d, 1.0) * 10000, 3) AS score FROM sums)"""
 #: Queries of whole texts: positions count from 0, and Scoring.most_terms = 31.
 _WQT = f"""{_DICT}, q0 AS (SELECT tok.doc_id AS query_id, pos, term, octet_length(encode(text)) AS query_bytes FROM tok JOIN documents ON tok.doc_id = documents.doc_id WHERE tok.doc_id % 20 = 0 AND pos < 31),
-qt AS (SELECT q0.*, coalesce(attr, 0) AS attr, idf FROM q0 LEFT JOIN dict ON q0.term = word JOIN idf ON idf.term = q0.term),
-{_QT[_QT.index("qr AS"):]}"""
+qt AS (SELECT q0.*, coalesce(attr, 0) AS attr, idf FROM q0 LEFT JOIN dict ON q0.term = word JOIN idf ON idf.term = q0.term), {_WEIGH}"""
 _WHOLE = f"WITH {_TOK}, {_IDF}, {_WQT}, {_POST}, {_FOUND}, {_SCORE}"
-_ALL = f"WITH {_TOK}, {_IDF}, {_QT}, {_POST}, {_FOUND}, {_SCORE}"
 
 
 def postings(s, d):
@@ -114,52 +108,67 @@ def postings(s, d):
 
 
 def weighed(s, d):
-    return T.weigh_query(query_terms(s, d))
+    """Postings, and the queries' weighed terms."""
+    found, idf = index(s, d)
+    return T.weigh_query(query_terms(s, d, idf)), found
+
 
+def retrieved(s, d):
+    return T.retrieve(*weighed(s, d), "doc_id")
 
-def whole_weighed(s, d):
-    return T.weigh_query(whole_query_terms(s, d))
 
+def searched(s, d, **how):
+    found, idf = index(s, d)
+    return T.search(query_terms(s, d, idf), found, "doc_id", **how)
 
-def scored(s, d):
-    return T.score(T.retrieve(weighed(s, d), postings(s, d), "doc_id"), "doc_id")
 
+def both(name: str, sql: str):
+    """Registers a query under its name and under the name that tells that its queries are whole texts."""
+    head, _, tail = name.partition("_")
+    whole = {"t6": "weigh_whole_query", "u5": "intersect_whole_queries", "t7": "retrieve_whole_queries", "t8": "score_whole_queries", "t10": "search_whole_queries"}[head]
 
-register("t5_tag_query", r"""WITH q AS (SELECT conv_id, turn, string_split_regex(role || ' assistant', ' ') AS p, role FROM conversations)
-SELECT conv_id, turn, 0::INTEGER AS ordinal, role AS section, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END::INTEGER AS attr FROM q UNION ALL SELECT conv_id, turn, 1, ' ', 0 FROM q UNION ALL SELECT conv_id, turn, 2, 'assistant', 2 FROM q""")(
-    lambda s, d: M.tag_spans(table(s, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), F.concat("role", F.lit(" assistant")).alias("t")), "k", "t", {"user": 1, "assistant": 2, "system": 3}).select("k.conv_id", "k.turn", "ordinal", "section", "attr"))
-register("t6_weigh_query", f"WITH {_TOK}, {_IDF}, {_QT} SELECT query_id, pos, term, round(weight, 6) AS weight, mandatory FROM qw")(
-    lambda s, d: weighed(s, d).select("query_id", "pos", "term", F.round("weight", 6).alias("weight"), "mandatory"))
-register("u5_intersect_terms", f"{_ALL} SELECT query_id, doc_id FROM found")(lambda s, d: T.intersect_terms(weighed(s, d), postings(s, d), "doc_id"))
-register("t7_retrieve", f"{_ALL} SELECT query_id, doc_id, term, pos, w_main, w_title, w_kw FROM hits")(
-    lambda s, d: T.retrieve(weighed(s, d), postings(s, d), "doc_id").select("query_id", "doc_id", "term", "pos", "w_main", "w_title", "w_kw"))
-register("t8_score", f"{_ALL} SELECT query_id, doc_id, score FROM scored")(scored)
+    def keep(f):
+        return register(name, sql)(register(f"{head}_{whole}", sql)(f))
+
+    return keep
+
+
+SPEAKERS = {"user": 1, "assistant": 2, "system": 3, "the": 4}
+_PARTED = r"""p AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(role || ' ' || text, '(user|assistant|system|the)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM conversations),
+s AS (SELECT conv_id, turn, unnest(p) AS section, unnest(range(len(p))) AS ordinal FROM p),
+t AS (SELECT *, CASE section WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 WHEN 'system' THEN 3 WHEN 'the' THEN 4 ELSE 0 END::INTEGER AS attr FROM s)"""
+
+
+def said(s, d):
+    return table(s, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), F.expr("conv_id * 1000 + turn").alias("query_id"), F.concat_ws(" ", "role", "text").alias("t"))
+
+
+register("t5_tag_query", f"WITH {_PARTED} SELECT conv_id, turn, ordinal::INTEGER AS ordinal, section, attr FROM t")(
+    lambda s, d: M.tag_spans(said(s, d), "k", "t", SPEAKERS).select("k.conv_id", "k.turn", "ordinal", "section", "attr"))
+both("t6_weigh_query", f"WITH {_TOK}, {_IDF}, {_WQT} SELECT query_id, pos, term, round(weight, 6) AS weight, mandatory FROM qw")(
+    lambda s, d: weighed(s, d)[0].select("query_id", "pos", "term", F.round("weight", 6).alias("weight"), "mandatory"))
+both("u5_intersect_terms", f"{_WHOLE} SELECT query_id, doc_id FROM found")(lambda s, d: T.intersect_terms(*weighed(s, d), "doc_id"))
+both("t7_retrieve", f"{_WHOLE} SELECT query_id, doc_id, term, pos, w_main, w_title, w_kw FROM hits")(
+    lambda s, d: retrieved(s, d).select("query_id", "doc_id", "term", "pos", "w_main", "w_title", "w_kw"))
+both("t8_score", f"{_WHOLE} SELECT query_id, doc_id, score FROM scored")(lambda s, d: T.score(retrieved(s, d), "doc_id"))
 register("t9_adjust_scores", "SELECT doc_id, (n_chars::BIGINT + trunc(n_chars * (doc_id % 10) * 0.5::DOUBLE * 0.01::DOUBLE)::BIGINT)::BIGINT AS weight FROM documents")(
     lambda s, d: T.adjust_scores(table(s, d, "documents").selectExpr("doc_id", "cast(n_chars AS double) AS score", "doc_id % 10 AS v"), {"v": 0.5}).select("doc_id", "weight"))
 _RANK = "r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM scored)"
-register("t10_search", f"{_ALL}, {_RANK} SELECT query_id, doc_id, score, rank::INTEGER AS rank, total::BIGINT AS total FROM r WHERE rank <= 10")(
-    lambda s, d: T.search(query_terms(s, d), postings(s, d), "doc_id").select("query_id", "doc_id", F.col("weight").alias("score"), "rank", "total"))
-register("t5_tag_query_terms", r"""WITH p AS (SELECT conv_id * 1000 + turn AS query_id, list_filter(string_split(regexp_replace(role || ' ' || text, '(user|assistant|system|the)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM conversations),
-s AS (SELECT query_id, unnest(p) AS section, unnest(range(len(p))) AS ordinal FROM p),
-t AS (SELECT query_id, ordinal, CASE section WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 WHEN 'system' THEN 3 WHEN 'the' THEN 4 ELSE 0 END::INTEGER AS attr, regexp_extract_all(lower(section), '[\p{L}\p{N}]+') AS t FROM s),
-w AS (SELECT query_id, ordinal, attr, unnest(t) AS term, unnest(range(len(t))) AS k FROM t)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY ordinal, k) - 1)::INTEGER AS pos, term, attr FROM w""")(
-    lambda s, d: T.tag_query(table(s, d, "conversations").select(F.expr("conv_id * 1000 + turn").alias("query_id"), F.concat_ws(" ", "role", "text").alias("t")), "query_id", "t", {"user": 1, "assistant": 2, "system": 3, "the": 4}))
-register("t10_search_boosted", f"""{_ALL}, b AS (SELECT query_id, scored.doc_id, (trunc(score)::BIGINT + trunc(score * (n_chars % 10) * 0.5::DOUBLE * 0.01::DOUBLE)::BIGINT)::BIGINT AS weight FROM scored JOIN documents USING (doc_id)),
+both("t10_search", f"{_WHOLE}, {_RANK} SELECT query_id, doc_id, score, rank::INTEGER AS rank, total::BIGINT AS total FROM r WHERE rank <= 10")(
+    lambda s, d: searched(s, d).select("query_id", "doc_id", F.col("weight").alias("score"), "rank", "total"))
+_TERMS = f"""{_PARTED}, w AS (SELECT conv_id * 1000 + turn AS query_id, ordinal, attr, unnest(x) AS term, unnest(range(len(x))) AS k FROM (SELECT *, regexp_extract_all(lower(section), '[\\p{{L}}\\p{{N}}]+') AS x FROM t)),
+tagged AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY ordinal, k) - 1)::INTEGER AS pos, term, attr FROM w)"""
+register("t5_tag_query_terms", f"WITH {_TERMS} SELECT * FROM tagged")(lambda s, d: T.tag_query(said(s, d), "query_id", "t", SPEAKERS))
+register("t10_search_texts", f"""WITH {_TOK}, {_IDF}, {_TERMS},
+qt AS (SELECT tagged.*, octet_length(encode(role || ' ' || text)) AS query_bytes, coalesce(idf, 0) AS idf FROM tagged JOIN conversations ON conv_id * 1000 + turn = query_id LEFT JOIN idf ON idf.term = tagged.term WHERE pos < 31), {_WEIGH}, {_POST}, {_FOUND}, {_SCORE}, {_RANK}
+SELECT query_id, doc_id, score, rank::INTEGER AS rank, total::BIGINT AS total FROM r WHERE rank <= 10""")(
+    lambda s, d: T.search_texts(said(s, d), "query_id", "t", SPEAKERS, *index(s, d), "doc_id").select("query_id", "doc_id", F.col("weight").alias("score"), "rank", "total"))
+register("t10_search_boosted", f"""{_WHOLE}, b AS (SELECT query_id, scored.doc_id, (trunc(score)::BIGINT + trunc(score * (n_chars % 10) * 0.5::DOUBLE * 0.01::DOUBLE)::BIGINT)::BIGINT AS weight FROM scored JOIN documents USING (doc_id)),
 r AS (SELECT query_id, doc_id, weight, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM b)
 SELECT query_id, doc_id, weight, rank::INTEGER AS rank, total::BIGINT AS total FROM r WHERE rank <= 10""")(
-    lambda s, d: T.search(query_terms(s, d), postings(s, d), "doc_id", values=table(s, d, "documents").selectExpr("doc_id", "n_chars % 10 AS v"), boosts={"v": 0.5}).select("query_id", "doc_id", "weight", "rank", "total"))
+    lambda s, d: searched(s, d, values=table(s, d, "documents").selectExpr("doc_id", "n_chars % 10 AS v"), boosts={"v": 0.5}).select("query_id", "doc_id", "weight", "rank", "total"))
 register("t11_explain_scores", f"""{_WHOLE}, lines AS (SELECT query_id, doc_id, printf('%s: query %.4f, main %.4f, title %.4f, keyword %.4f', term, weight, w_main, w_title, w_kw) AS x FROM hits)
-SELECT query_id, doc_id, string_agg(x, chr(10) ORDER BY x) AS why FROM lines GROUP BY query_id, doc_id""")(lambda s, d: T.explain_scores(T.retrieve(whole_weighed(s, d), postings(s, d), "doc_id"), "doc_id"))
-register("t6_weigh_whole_query", f"WITH {_TOK}, {_IDF}, {_WQT} SELECT query_id, pos, term, round(weight, 6) AS weight, mandatory FROM qw")(
-    lambda s, d: whole_weighed(s, d).select("query_id", "pos", "term", F.round("weight", 6).alias("weight"), "mandatory"))
-register("u5_intersect_whole_queries", f"{_WHOLE} SELECT query_id, doc_id FROM found")(lambda s, d: T.intersect_terms(whole_weighed(s, d), postings(s, d), "doc_id"))
-register("t7_retrieve_whole_queries", f"{_WHOLE} SELECT query_id, doc_id, term, pos, w_main, w_title, w_kw FROM hits")(
-    lambda s, d: T.retrieve(whole_weighed(s, d), postings(s, d), "doc_id").select("query_id", "doc_id", "term", "pos", "w_main", "w_title", "w_kw"))
-register("t8_score_whole_queries", f"{_WHOLE} SELECT query_id, doc_id, score FROM scored")(
-    lambda s, d: T.score(T.retrieve(whole_weighed(s, d), postings(s, d), "doc_id"), "doc_id"))
-register("t10_search_whole_queries", f"{_WHOLE}, {_RANK} SELECT query_id, doc_id, score, rank::INTEGER AS rank, total::BIGINT AS total FROM r WHERE rank <= 10")(
-    lambda s, d: T.search(whole_query_terms(s, d), postings(s, d), "doc_id").select("query_id", "doc_id", F.col("weight").alias("score"), "rank", "total"))
+SELECT query_id, doc_id, string_agg(x, chr(10) ORDER BY x) AS why FROM lines GROUP BY query_id, doc_id""")(lambda s, d: T.explain_scores(retrieved(s, d), "doc_id"))
 register("o6_rank_results", "SELECT query_id, doc_id, rank::INTEGER AS rank, total::BIGINT AS total FROM (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, count(*) OVER (PARTITION BY source) AS total FROM documents) WHERE rank BETWEEN 11 AND 20")(
     lambda s, d: T.rank_results(table(s, d, "documents").select(F.col("source").alias("query_id"), "doc_id", "n_chars"), "doc_id", 1, 10, "n_chars").select("query_id", "doc_id", "rank", "total"))
 register("o7_best_answer", "SELECT query_id, doc_id, n_chars FROM (SELECT source AS query_id, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE n_chars >= 2000) WHERE rank = 1")(
@@ -180,6 +189,29 @@ def mixed(s, d):
 register("q1_match_some_templates", "SELECT conv_id * 1000 + turn AS query_id, CASE conv_id % 6 WHEN 0 THEN 1 ELSE 2 END::INTEGER AS template_id FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 6 IN (0, 2)")(
     lambda s, d: M.match_templates(mixed(s, d), SOME, {"role": ["user", "assistant"]}, ["um"]).select("query_id", "template_id"))
 
+#: Templates over whole texts, of any length: [W:...] is longer than any of them.
+LONG = f"[W:1-{1 << 30}]"
+TEXT_TEMPLATES = [(1, f"{LONG}[D:end].", "end"), (2, f"[D:start]{LONG}[D:end]{LONG}", "framed"), (3, f"{LONG}[F:num]% {LONG}", "share"), (4, f"The {LONG}", "article")]
+TEXT_LEXICON = {"start": ["the", "The", "de", "De"], "end": ["the", "en", "is", "than", "a"]}
+_TEXT_PATTERNS = {1: r"^ *.+? *(a|en|is|the|than) *\. *$", 2: r"^ *(De|The|de|the) *.+? *(a|en|is|the|than) *.+? *$", 3: r"^ *.+? *([0-9.]*) *% .+? *$", 4: r"^ *The +.+? *$"}
+_TEXT_MATCHES = " UNION ALL ".join(f"SELECT doc_id, {i}::INTEGER AS template_id FROM documents WHERE regexp_matches(text, '(?s){p}')" for i, p in _TEXT_PATTERNS.items())
+
+
+def text_matches(s, d, templates):
+    return M.match_templates(table(s, d, "documents").selectExpr("doc_id AS query_id", "text AS query"), templates, TEXT_LEXICON, [" "])
+
+
+register("q1_match_text_templates", _TEXT_MATCHES)(lambda s, d: text_matches(s, d, TEXT_TEMPLATES).select(F.col("query_id").alias("doc_id"), "template_id"))
+register("j13_match_text_theta", f"SELECT doc_id, CASE template_id WHEN 1 THEN 'end' WHEN 2 THEN 'framed' WHEN 3 THEN 'share' ELSE 'article' END AS attr FROM ({_TEXT_MATCHES})")(
+    lambda s, d: text_matches(s, d, TEXT_TEMPLATES).select(F.col("query_id").alias("doc_id"), "attr"))
+_TEXT_SLOTS = {1: r"^ *(.+?) *(a|en|is|the|than) *\. *$", 2: r"^ *(De|The|de|the) *(.+?) *(a|en|is|the|than) *(.+?) *$"}
+register("q2_extract_text_slots", " UNION ALL ".join(
+    f"SELECT doc_id, {i}::INTEGER AS template_id, {n}::INTEGER AS ordinal, md5(regexp_extract(text, '(?s){p}', {n + 1})) AS value FROM documents WHERE regexp_matches(text, '(?s){p}')"
+    for i, p in _TEXT_SLOTS.items() for n in range(2 * i)))(
+    lambda s, d: M.extract_slots(text_matches(s, d, TEXT_TEMPLATES[:2])).select(F.col("query_id").alias("doc_id"), "template_id", "ordinal", F.md5("value").alias("value")))
+register("q3_match_text_domains", f"SELECT doc_id, lang AS domain, string_agg(CASE template_id WHEN 1 THEN 'end' ELSE 'framed' END, ',' ORDER BY template_id) AS intents FROM ({_TEXT_MATCHES}) JOIN documents USING (doc_id) WHERE template_id < 3 AND lang IN ('en', 'de') GROUP BY ALL")(
+    lambda s, d: M.match_domains(table(s, d, "documents").selectExpr("doc_id AS query_id", "text AS query", "array(lang, 'zz') AS domains"), {x: (TEXT_TEMPLATES[:2], TEXT_LEXICON, [" "]) for x in ("en", "de")}).select(F.col("query_id").alias("doc_id"), "domain", F.array_join("intents", ",").alias("intents")))
+
 TEMPLATES = [(1, "please [D:role][W:1-4]now", "ask"), (2, "please [D:role][F:num]now", "count")]
 LEXICON = {"role": ["user", "assistant"]}
 
