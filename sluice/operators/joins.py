@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,30 @@ def colocated_join(parent: DataFrame, child: DataFrame, parent_key: str, child_k
     return parent.join(child, parent[parent_key] == child[child_key])
 
 
+def write_family(root: DataFrame, child: DataFrame, grandchild: DataFrame, keys: tuple[str, str, str, str], buckets: int, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables laid out once by their root's key, in equal buckets, so that joins along the family move no rows.
+    keys: the root's key, the child's reference to it, the child's own key, the grandchild's reference to that. The
+    grandchild gets the root's key as a column `family`. Names in the catalog are dropped; the layout is the files'."""
+    root_key, to_root, own, to_own = keys
+    third = grandchild.join(child.select(F.col(own).alias(to_own), F.col(to_root).alias("family")), to_own)
+    out = []
+    for i, (df, key) in enumerate(((root, root_key), (child, to_root), (third, "family"))):
+        name = f"family_{uuid.uuid4().hex}"
+        out.append(write_bucketed(df, name, key, buckets, f"{path}/{i}"))
+        out[-1].schema  # resolved with its buckets; the name is not needed any more
+        df.sparkSession.sql(f"DROP TABLE {name}")
+    return tuple(out)
+
+
+def family_join(root: DataFrame, child: DataFrame, grandchild: DataFrame, keys: tuple[str, str, str, str]) -> DataFrame:
+    """Rows of all three tables of write_family() together: no exchange. The second join is on the root's key and the
+    child's; equal buckets of the first of them are enough, which this session setting allows."""
+    root_key, to_root, own, to_own = keys
+    root.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    both = root.join(child, root[root_key] == child[to_root])
+    return both.join(grandchild, (both[to_root] == grandchild["family"]) & (both[own] == grandchild[to_own])).drop("family")
+
+
 def inherit_shard(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, shard: str = "shard") -> DataFrame:
     """Each child row with its parent's shard; null where there is no parent."""
     return child.join(parent.select(F.col(parent_key).alias(child_key), shard), child_key, "left")

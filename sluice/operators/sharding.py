@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.functions.shard_rules import Rule
+from sluice.functions.shard_rules import Rule, shard_rule
+from sluice.sources import segments
 
 
 def assign_shards(df: DataFrame, column: str, rule: Rule, name: str = "shard", strict: bool = False) -> DataFrame:
@@ -66,6 +68,92 @@ def apply_migration(df: DataFrame, column: str, new: Rule, path: str) -> DataFra
     return scan_shards(df.sparkSession, path)
 
 
+def check_migration(old: tuple, new: tuple) -> None:
+    """Guards before a migration: layouts (column, name of the rule, its settings...) have the same column and the same
+    kind of rule, and differ; a table without a rule is not sharded."""
+    if not old or not new or not old[1] or not new[1]:
+        raise ValueError("a table without a shard rule has nothing to migrate")
+    if old[0].lower() != new[0].lower():
+        raise ValueError(f"the shard columns differ: {old[0]} and {new[0]}")
+    if old[1] != new[1]:
+        raise ValueError(f"the rules differ: {old[1]} and {new[1]}")
+    if tuple(old[2:]) == tuple(new[2:]):
+        raise ValueError("both layouts are the same; no row needs to move")
+
+
+def moving_keys(df: DataFrame, column: str, key: str, old: Rule, new: Rule) -> DataFrame:
+    """(key, source, target) of each row that a change of the rule moves."""
+    both = df.select(key, old(F.col(column)).alias("source"), new(F.col(column)).alias("target"))
+    return both.where("NOT source <=> target")
+
+
+def _strict(column: str, rule: Rule) -> Column:
+    return F.coalesce(rule(F.col(column)), F.raise_error(F.concat(F.lit(f"no shard for {column} "), F.coalesce(F.col(column).cast("string"), F.lit("null")))).cast("int"))
+
+
+def _write_part(rows: DataFrame, path: str) -> list[dict]:
+    """Rows with their shard, a folder for each; the manifest's entries of them."""
+    spark, name = rows.sparkSession, f"files/{uuid.uuid4().hex}"
+    rows.hint("rebalance", "shard").write.partitionBy("shard").parquet(f"{path}/{name}")
+    shards = [r.shard for r in spark.read.parquet(f"{path}/{name}").select("shard").distinct().collect()]  # as many as shards
+    return [{"shard": s, "path": f"{name}/shard={s}", "mixed": False} for s in sorted(shards)]
+
+
+def write_layout(df: DataFrame, path: str, layout: tuple) -> int:
+    """A sharded table under a manifest, which names the folders of each shard and the layout (column, rule, settings)."""
+    column, name, *settings = layout
+    parts = _write_part(df.withColumn("shard", _strict(column, shard_rule(name, *settings))), path)
+    return segments.commit(df.sparkSession, path, -1, [{"layout": list(layout)}, *parts])
+
+
+def _read_parts(spark, path: str, parts: list[dict], column: str, rule: Rule) -> DataFrame | None:
+    """Rows of folders; of a mixed one, which holds rows that have moved on, those that belong to its shard."""
+    out = None
+    for mixed in (False, True):
+        for shard in sorted({p["shard"] for p in parts if p["mixed"] == mixed}):
+            rows = spark.read.parquet(*[f"{path}/{p['path']}" for p in parts if p["shard"] == shard and p["mixed"] == mixed]).withColumn("shard", F.lit(shard))
+            rows = rows.where(rule(F.col(column)) == F.lit(shard)) if mixed else rows
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def scan_layout(spark, path: str, shards: list[int] | None = None, version: int | None = None) -> DataFrame | None:
+    """A version (the newest by default) of a sharded table, or some of its shards; only their folders are read."""
+    head, *parts = segments.live(spark, path, version)[1]
+    column, name, *settings = head["layout"]
+    return _read_parts(spark, path, [p for p in parts if shards is None or p["shard"] in shards], column, shard_rule(name, *settings))
+
+
+def migrate(spark, path: str, layout: tuple) -> dict:
+    """Changes the layout by writing the moving rows, and no others, to their new shards. The manifest then names the new
+    folders beside the old ones; those that lost rows are mixed until clear_moved(). Readers see the old version or the
+    new one. Returns the version, the number of rows moved and the shards that lost some."""
+    version, (head, *parts) = segments.live(spark, path)
+    check_migration(tuple(head["layout"]), tuple(layout))
+    if any(p["mixed"] for p in parts):
+        raise ValueError("rows that moved before are not cleared yet")
+    column, name, *settings = layout
+    rule = shard_rule(name, *settings)
+    rows = _read_parts(spark, path, parts, column, rule).withColumn("_target", _strict(column, rule))
+    moving = rows.where("shard <> _target")
+    plan = moving.groupBy("shard", "_target").agg(F.count("*").alias("n")).collect()  # a row for each pair of shards
+    lost = sorted({r.shard for r in plan})
+    added = _write_part(moving.drop("shard").withColumnRenamed("_target", "shard"), path) if lost else []
+    version = segments.commit(spark, path, version, [{"layout": list(layout)}, *({**p, "mixed": p["shard"] in lost} for p in parts), *added])
+    return {"version": version, "moved": sum(r.n for r in plan), "lost": lost}
+
+
+def clear_moved(spark, path: str) -> int:
+    """Rewrites the shards that still hold rows which moved on, without those; other folders are not touched."""
+    version, (head, *parts) = segments.live(spark, path)
+    column, name, *settings = head["layout"]
+    mixed = [p for p in parts if p["mixed"]]
+    if not mixed:
+        return version
+    kept = _write_part(_read_parts(spark, path, mixed, column, shard_rule(name, *settings)), path)
+    return segments.commit(spark, path, version, [head, *(p for p in parts if not p["mixed"]), *kept])
+
+
 def validate_migration(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Rows of both, and keys that only one has."""
     lost = before.select(key).exceptAll(after.select(key))

@@ -151,25 +151,44 @@ def politeness_schedule(frontier: DataFrame, key: str, order: str, wait: int, st
     return out.withColumn("fetch_at", (F.lit(start) + (F.col("_rn") - 1) * wait).cast("bigint")).drop("_rn")
 
 
-def expand_frontier(seeds: DataFrame, links: DataFrame, depth: int, reset_on_new_site: bool = False) -> DataFrame:
+def expand_frontier(seeds: DataFrame, links: DataFrame, depth: int, reset_on_new_site: bool = False, buckets: int = 64, reads: list | None = None) -> DataFrame:
     """(url, depth) of all that seeds reach over links (source, target) in `depth` steps, at their least depth. With
-    reset_on_new_site a link to another host starts over, for as long as a better budget turns up. A step writes what it
-    found and nothing else; a URL's least depth is taken over all steps."""
-    scratch = Scratch(seeds.sparkSession, "frontier")
-    fresh = scratch.save(seeds.select("url", F.lit(0).alias("depth")).distinct(), "fresh")
-    steps = [fresh]
-    while not fresh.isEmpty():
-        had = seeds.sparkSession.read.schema(fresh.schema).parquet(*[scratch.paths[id(x)][0] for x in steps]).groupBy("url").agg(F.min("depth").alias("had"))
-        step = fresh.where(F.col("depth") < depth).join(links, F.col("url") == F.col("source"))
+    reset_on_new_site a link to another host starts over, for as long as a better budget turns up.
+
+    A step follows the links of the rows that the step before it found, and nothing else. What it finds is held against
+    the visited URLs of the same hash buckets only: those are folders, of which a step opens the ones that its own rows
+    fall into, so that late steps of few rows read little. reads: a list that gets the buckets that each step opened."""
+    spark = seeds.sparkSession
+    scratch = Scratch(spark, "frontier")
+    seen, fields = f"{scratch.root}/seen", "url string, depth int, step int, bucket int"
+    place = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def keep(rows: DataFrame, step: int) -> list[int]:
+        """Stores a step's rows by bucket; the buckets, at most `buckets`."""
+        rows.select("url", "depth", place).write.partitionBy("bucket").parquet(f"{seen}/step={step}")
+        return sorted(r.bucket for r in fresh(step, None).select("bucket").distinct().collect())
+
+    def fresh(step: int, within: list[int] | None) -> DataFrame:
+        rows = spark.read.schema(fields).parquet(seen).where(F.col("step") == step)
+        return rows if within is None else rows.where(F.col("bucket").isin(within))
+
+    touched, step = keep(seeds.select("url", F.lit(0).alias("depth")).distinct(), 0), 0
+    while touched:
+        found = fresh(step, touched).where(F.col("depth") < depth).join(links, F.col("url") == F.col("source"))
         new_depth = F.col("depth") + 1
         if reset_on_new_site:
             host = lambda c: F.regexp_extract(c, r"^https?://([^/?#:]+)", 1)
             new_depth = F.when(host("source") != host("target"), 0).otherwise(new_depth)
-        step = step.select(F.col("target").alias("url"), new_depth.alias("depth")).groupBy("url").agg(F.min("depth").alias("depth"))
-        better = step.join(had, "url", "left").where("had IS NULL OR depth < had").select("url", "depth")
-        fresh = scratch.save(better, "fresh")
-        steps.append(fresh)
-    return seeds.sparkSession.read.schema(fresh.schema).parquet(*[scratch.paths[id(x)][0] for x in steps]).groupBy("url").agg(F.min("depth").alias("depth"))
+        found = found.select(F.col("target").alias("url"), new_depth.alias("depth")).groupBy("url").agg(F.min("depth").alias("depth"))
+        found = scratch.save(found.withColumn("bucket", place), "found")
+        opened = sorted(r.bucket for r in found.select("bucket").distinct().collect())
+        had = spark.read.schema(fields).parquet(seen).where(F.col("bucket").isin(opened)).groupBy("url").agg(F.min("depth").alias("had"))
+        step += 1
+        touched = keep(found.join(had, "url", "left").where("had IS NULL OR depth < had"), step)
+        scratch.drop(found)
+        if reads is not None:
+            reads.append(len(opened))
+    return spark.read.schema(fields).parquet(seen).groupBy("url").agg(F.min("depth").alias("depth"))
 
 
 def unlinked(seeds: DataFrame, links: DataFrame) -> DataFrame:

@@ -144,9 +144,18 @@ register("a17_migration_plan", "SELECT (o_custkey % 7)::INTEGER AS source, (o_cu
     lambda s, d: S.migration_plan(table(s, d, "orders"), "o_custkey", H.mod(7), H.mod(9)))
 
 
+register("a17_moving_keys", "SELECT o_orderkey, (o_custkey % 7)::INTEGER AS source, (o_custkey % 9)::INTEGER AS target FROM orders WHERE o_custkey % 7 <> o_custkey % 9")(
+    lambda s, d: S.moving_keys(table(s, d, "orders"), "o_custkey", "o_orderkey", H.mod(7), H.mod(9)))
+
+
 def _migrated(spark, d):
-    before = S.scan_shards(spark, _written(spark, d, H.mod(8)))
-    return before, S.apply_migration(before, "o_orderkey", H.mod(12), f"{Scratch(spark, 'migrated').root}/orders")
+    """The table before and after it went from 8 shards to 12; only the rows that move are written, then their old shards cleared."""
+    path = f"{Scratch(spark, 'migrated').root}/orders"
+    S.write_layout(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), path, ("o_orderkey", "mod", 8))
+    before = S.scan_layout(spark, path)
+    S.migrate(spark, path, ("o_orderkey", "mod", 12))
+    S.clear_moved(spark, path)
+    return before, S.scan_layout(spark, path)
 
 
 register("a18_apply_migration", "SELECT o_orderkey, o_totalprice, (o_orderkey % 12)::INTEGER AS shard FROM orders")(

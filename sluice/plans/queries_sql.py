@@ -62,11 +62,32 @@ SELECT r_name, n_name, count(*)::BIGINT AS n FROM lineitem JOIN supplier ON l_su
 def j5(s, d):
     """Both tables in equal buckets of the order's key, under names of this run; the join and its aggregate move no rows."""
     root = Scratch(s, "colocated").root
-    bucketed = lambda t, key, *more: J.write_bucketed(table(s, d, t).select(key, *more), f"sluice_{t}_{uuid.uuid4().hex}", key, partitions(s), f"{root}/{t}")
+
+    def bucketed(t, key, *more):
+        name = f"sluice_{t}_{uuid.uuid4().hex}"
+        out = J.write_bucketed(table(s, d, t).select(key, *more), name, key, partitions(s), f"{root}/{t}")
+        s.sql(f"DROP TABLE {name}")  # the plan has the files and their buckets
+        return out
+
     out = J.colocated_join(bucketed("orders", "o_orderkey"), bucketed("lineitem", "l_orderkey", "l_quantity"), "o_orderkey", "l_orderkey")
     return out.groupBy("o_orderkey").agg(F.count("*").alias("lines"), F.max("l_quantity").alias("most"))
 
 
+FAMILY = ("c_custkey", "o_custkey", "o_orderkey", "l_orderkey")
+
+
+def family(s, d):
+    tables = table(s, d, "customer").select("c_custkey", "c_nationkey"), table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return J.write_family(*tables, FAMILY, partitions(s), Scratch(s, "family").root)
+
+
+@register("j5_family_join", """SELECT c_custkey, count(DISTINCT o_orderkey)::BIGINT AS orders, count(*)::BIGINT AS lines, sum(l_quantity::DECIMAL(24,2))::DOUBLE AS quantity FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
+def j5_family(s, d):
+    """Customers, their orders and the orders' lines, laid out by the customer; joins and aggregate move no rows."""
+    rows = J.family_join(*family(s, d), FAMILY)
+    return rows.groupBy("c_custkey").agg(F.countDistinct("o_orderkey").alias("orders"), F.count("*").alias("lines"), R.exact_sum("l_quantity").alias("quantity"))
+
+
 register("j6_inherit_shard", "SELECT l_orderkey, l_linenumber, (o_custkey % 16)::INTEGER AS shard FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")(
     lambda s, d: J.inherit_shard(table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 16).cast("int").alias("shard")), "l_orderkey", "o_orderkey"))
 register("j7_lookup", """

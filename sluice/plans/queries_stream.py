@@ -8,21 +8,37 @@ from sluice.operators import search as T
 from sluice.plans import queries_clean as C
 from sluice.plans import queries_logs as L
 from sluice.plans.registry import Registry, table
-from sluice.sources.scratch import Scratch
+from sluice.sources import segments as V
+from sluice.sources.scratch import Scratch, partitions
 from sluice.streaming import streams as R
 
 register = Registry()
 QUERIES, SQL = register.queries, register.sql
 
 
-def replay(s, df, order: str, files: int = 3):
-    """The rows as a stream of files, dealt out by range of an order."""
-    scratch = Scratch(s, "stream")
-    root = scratch.root
-    dealt = scratch.save(df.repartitionByRange(files, order).withColumn("_part", F.spark_partition_id()), "dealt")
-    for i in range(files):  # one after another: a stream takes files in order of their time
-        dealt.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return R.read_stream(s, f"{root}/in"), root
+def replay(s, df, order: str, batches: int = 3):
+    """The rows as a stream of files, dealt out by range of an order; a batch is as many files as there are partitions,
+    each written and read by a task of its own. Files bear the time of their batch, by which a stream takes them."""
+    scratch, width = Scratch(s, "stream"), partitions(s)
+    root, jvm = scratch.root, s.sparkContext._jvm
+    dealt = df.repartitionByRange(batches * width, order).withColumn("_batch", (F.spark_partition_id() / width).cast("int"))
+    dealt.write.partitionBy("_batch").parquet(f"{root}/dealt")
+    at = jvm.org.apache.hadoop.fs.Path(f"{root}/in")
+    fs = at.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    for i in range(batches):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{root}/dealt/_batch={i}")
+        found = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".parquet")] if fs.exists(folder) else []
+        for k in range(width):
+            to = jvm.org.apache.hadoop.fs.Path(f"{root}/in/{i:03d}-{k:05d}.parquet")
+            if k < len(found):
+                fs.rename(found[k], to)
+            else:  # few rows: an empty file keeps the batches apart
+                empty = jvm.org.apache.hadoop.fs.Path(f"{root}/empty-{i}-{k}")
+                df.limit(0).coalesce(1).write.parquet(str(empty))
+                fs.rename(next(f.getPath() for f in fs.listStatus(empty) if f.getPath().getName().endswith(".parquet")), to)
+            fs.setTimes(to, 1_700_000_000_000 + 1000 * i, -1)
+    return R.read_stream(s, f"{root}/in", width), root
 
 
 def log(s, d):
@@ -45,6 +61,23 @@ def r2(s, d):
     return R.compact_index(s, f"{root}/delta", tokens.withColumn("n", F.lit(-1).cast("bigint")), "doc_id")
 
 
+@register("r2_versioned_index", SQL["r1_stream_index"])
+def r2_versions(s, d):
+    """Five batches; segments are merged by twos, and what is read is the newest version."""
+    docs, root = replay(s, table(s, d, "documents").select("doc_id", "text"), "doc_id", 5)
+    build = lambda b: T.tokenise_table(b, "doc_id", "text").groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    R.stream_versioned_index(docs, build, f"{root}/index", "doc_id", f"{root}/checkpoint", 2).awaitTermination()
+    return V.read_index(s, f"{root}/index", "doc_id")
+
+
+@register("r3_stream_hottest", f"""{L._WITH} SELECT "user", statement, n, least_ms, most_ms, mean_ms, last_ts, total_ms, true AS exact FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY n DESC, last_ts DESC, total_ms DESC, statement) AS rank FROM (
+SELECT "user", statement, count(*)::BIGINT AS n, min(CASE WHEN exec_ms > 0 THEN exec_ms END) AS least_ms, max(exec_ms) AS most_ms, (sum(exec_ms) // count(*))::BIGINT AS mean_ms, max(end_ts) AS last_ts, sum(exec_ms)::BIGINT AS total_ms FROM fp GROUP BY 1, 2)) WHERE rank <= 1024""")
+def r3_hottest(s, d):
+    rows, root = replay(s, L.log(s, d), "end_ts")
+    R.stream_hottest_statements(rows, f"{root}/hottest", f"{root}/checkpoint").awaitTermination()
+    return R.hottest_statements(s, f"{root}/hottest")
+
+
 @register("r3_stream_statement_stats", """SELECT date_trunc('hour', ts) AS start, user_id AS "user", count(*)::BIGINT AS n, max(trunc(value)::BIGINT) AS most_ms, sum(trunc(value)::BIGINT)::BIGINT AS total_ms FROM events
 GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def r3(s, d):
@@ -95,10 +128,13 @@ c AS (SELECT id, path, CASE WHEN path = '/kind/' AND regexp_matches(value, '^[a-
 SELECT id, path, trim(regexp_replace(CASE WHEN path = '/kind/' AND v IN ('economy', 'small') THEN 'cheap' ELSE v END, '\\s+', ' ', 'g')) AS value,
 greatest(item_code, value_code, (path = '/kind/' AND v NOT IN ('economy', 'small'))::INTEGER, (v = '')::INTEGER)::INTEGER AS code FROM c JOIN i USING (id)""")
 def r5_items(s, d):
-    rows, root = replay(s, C.melted(s, d).withColumn("template_id", (F.col("id") % 2 + 1).cast("int")), "id")
+    """An item's rows come in three batches, by their paths; each is cleaned once all its rows are there."""
+    rows = C.melted(s, d).withColumn("template_id", (F.col("id") % 2 + 1).cast("int"))
+    rows = rows.withColumn("total", F.lit(4)).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    stream, root = replay(s, rows, "path")
     synonyms = s.createDataFrame([("/kind/", ["economy", "small"], "cheap")], "path string, synonyms array<string>, target string")
-    clean = lambda batch, number: R.clean_items(batch, C.mapping(s), ["/size/"], {"/kind/": [("is_english", "lower")]}, synonyms)
-    R.store_batches(rows, clean, f"{root}/clean", f"{root}/checkpoint").awaitTermination()
+    clean = lambda items: R.clean_items(items, C.mapping(s), ["/size/"], {"/kind/": [("is_english", "lower")]}, synonyms)
+    R.stream_clean_items(stream, clean, f"{root}/clean", f"{root}/checkpoint").awaitTermination()
     return s.read.parquet(f"{root}/clean").drop("batch")
 
 

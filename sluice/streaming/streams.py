@@ -5,16 +5,23 @@ Each takes a streaming (or, for the stateless ones, any) DataFrame; run() replay
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from sluice.operators.cleaning import audit_missing, check_required, clean_values, map_schema, normalise_whitespace, replace_synonyms
-from sluice.operators.joins import unseen
 from sluice.operators.logs import READS, WRITES, fingerprint
 from sluice.operators.search import merge_postings
+from sluice.sources.segments import add_segment, compact, newest_postings
 
 
 def read_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -51,6 +58,19 @@ def compact_index(spark: SparkSession, path: str, base: DataFrame | None, key: s
     return delta if base is None else merge_postings([delta, base], key)
 
 
+def stream_versioned_index(docs: DataFrame, build, path: str, key: str, checkpoint: str, fanout: int = 4, available_now: bool = True):
+    """Every batch's postings as a segment of a versioned index, merged tier by tier as they pile up; readers open
+    versions (segments.read_index)."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        add_segment(build(batch), path, f"batch-{number}")
+        while compact(batch.sparkSession, path, lambda rows: newest_postings(rows, key), fanout) is not None:
+            pass
+
+    writer = docs.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
+
+
 def stream_statement_stats(log: DataFrame, ts: str = "end_ts", window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
     rows = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     out = rows.groupBy(F.window(ts, window).alias("w"), "user").agg(F.count("*").alias("n"), F.max("exec_ms").alias("most_ms"), F.sum("exec_ms").alias("total_ms"))
@@ -83,16 +103,81 @@ def stream_statement_frequency(log: DataFrame, ts: str = "end_ts", watermark: st
     return out.withColumn("start", F.col("w.start")).drop("w")
 
 
-def stream_unseen_ever(urls: DataFrame, url: str, path: str, checkpoint: str, available_now: bool = True):
-    """Each URL once, whenever it was seen before: the URLs that earlier batches stored under `path` are joined out.
-    Of a URL's rows in one batch any one stays; null is no URL."""
-    spark, schema = urls.sparkSession, StructType([*urls.schema.fields, StructField("batch", IntegerType())])
+def _statement_counts(log: DataFrame) -> DataFrame:
+    return log.groupBy("user", fingerprint(F.col("sql")).alias("statement")).agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("exec_ms") > 0, F.col("exec_ms"))).alias("least_ms"), F.max("exec_ms").alias("most_ms"),
+        F.sum("exec_ms").alias("total_ms"), F.max("end_ts").alias("last_ts"), F.lit(0).cast("bigint").alias("missed"), F.lit(0).cast("bigint").alias("floor"),
+    )
 
-    def new(batch: DataFrame, number: int) -> DataFrame:
-        rows = batch.where(F.col(url).isNotNull()).dropDuplicates([url])
-        return unseen(rows, spark.read.schema(schema).parquet(path).where(F.col("batch") < number), url) if number else rows
 
-    return store_batches(urls, new, path, checkpoint, available_now)
+def merge_hottest(had: DataFrame | None, fresh: DataFrame, keep: int) -> DataFrame:
+    """Two summaries as one of `keep` statements a user. floor bounds how often any statement ran that the summary lacks;
+    a statement that comes anew may have run `missed` times before; where that is 0, its numbers are exact."""
+    if had is not None:
+        floors = had.groupBy(F.col("user").alias("_user")).agg(F.max("floor").alias("_floor"))
+        fresh = fresh.join(floors, F.col("user").eqNullSafe(F.col("_user")), "left").withColumn("_floor", F.coalesce("_floor", F.lit(0))).drop("_user")
+        both = had.withColumn("_old", F.lit(True)).withColumn("_floor", F.col("floor")).unionByName(fresh.withColumn("_old", F.lit(False)))
+        fresh = both.groupBy("user", "statement").agg(
+            F.sum("n").alias("n"), F.min("least_ms").alias("least_ms"), F.max("most_ms").alias("most_ms"), F.sum("total_ms").alias("total_ms"), F.max("last_ts").alias("last_ts"),
+            F.coalesce(F.max(F.when(F.col("_old"), F.col("missed"))), F.max("_floor")).alias("missed"), F.max("_floor").alias("floor"),
+        )
+    most = F.col("n") + F.col("missed")
+    hottest = Window.partitionBy("user").orderBy(F.desc(most), F.desc("last_ts"), F.desc("total_ms"), "statement")
+    ranked = fresh.withColumn("_rank", F.row_number().over(hottest)).where(F.col("_rank") <= keep + 1)  # cut in each task before rows move
+    floor = F.max(F.greatest("floor", F.when(F.col("_rank") > keep, most).otherwise(0))).over(Window.partitionBy("user"))
+    return ranked.withColumn("floor", floor).where(F.col("_rank") <= keep).drop("_rank")
+
+
+def stream_hottest_statements(log: DataFrame, path: str, checkpoint: str, keep: int = 4096, available_now: bool = True):
+    """The hottest statements of each user, of all batches so far: a summary of `keep` statements a user, merged with what
+    each batch counts. Its size does not grow with the stream; a batch reads the summary before it and nothing older."""
+    spark = log.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> DataFrame:
+        had = spark.read.parquet(f"{path}/batch={number - 1}") if number else None
+        return merge_hottest(had, _statement_counts(batch), keep)
+
+    return store_batches(log, merge, path, checkpoint, available_now)
+
+
+def hottest_statements(spark: SparkSession, path: str, most: int = 1024) -> DataFrame:
+    """Of the newest summary: user, statement, n, least_ms, most_ms, mean_ms, last_ts, total_ms, exact."""
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    rows = spark.read.parquet(f"{path}/batch={last}")
+    order = Window.partitionBy("user").orderBy(F.desc("n"), F.desc("last_ts"), F.desc("total_ms"), "statement")
+    rows = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+    return rows.select("user", "statement", "n", "least_ms", "most_ms", F.expr("total_ms div n").alias("mean_ms"), "last_ts", "total_ms", (F.col("missed") == 0).alias("exact"))
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, on the executors' disks: a batch looks up its own keys."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def first_rows(df: DataFrame, column: str) -> DataFrame:
+    """Of each value one row in each batch of a task, so that few of a hot value's rows move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = pc.dictionary_encode(b[column]).indices.to_numpy(zero_copy_only=False)
+            yield b.take(pa.array(np.sort(np.unique(codes, return_index=True)[1])))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def stream_unseen_ever(urls: DataFrame, url: str, path: str, checkpoint: str, available_now: bool = True):
+    """Each URL once, whenever it was seen before. The URLs so far are keyed state, of which a batch reads and writes what
+    it brings; nothing earlier is read again. Of a URL's rows in one batch any one stays; null is no URL."""
+    rows = first_rows(urls.where(F.col(url).isNotNull()), url).dropDuplicates([url])
+    with keyed_state(urls.sparkSession):
+        return store_batches(rows, lambda batch, number: batch, path, checkpoint, available_now)
 
 
 def stream_unseen(urls: DataFrame, url: str, ts: str, horizon: str) -> DataFrame:
@@ -105,10 +190,50 @@ def stream_clean(rows: DataFrame, rules: dict, columns: list[str]) -> DataFrame:
     return audit_missing(clean_values(rows, rules).withColumnRenamed("code", "value_code"), columns)
 
 
+def gather_items(rows: DataFrame, idle: str = "10 minutes") -> DataFrame:
+    """(id, template_id, path, value, complete): an item's rows (id, template_id, path, value, total, ts) over all batches,
+    together as soon as there are `total` of them; or, by a timer, once event time is `idle` past the last of them, and
+    then with complete false. Without a total it waits for the timer. A row that comes
+    later begins the item anew, or, `idle` behind all rows' time, is dropped. An item's rows are held in one task."""
+
+    def gather(key, batches, state: GroupState):
+        held, last = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        total, done = 0, state.hasTimedOut
+        for b in batches:
+            if b.empty:
+                continue  # a group whose time is up comes without rows
+            plain = b[["template_id", "path", "value"]].astype(object).where(b[["template_id", "path", "value"]].notna(), None)
+            held += [[t if t is None else int(t), p, v] for t, p, v in plain.itertuples(index=False)]
+            most, at = b["total"].max(), b["ts"].max()
+            total, last = 0 if pd.isna(most) else int(most), last if pd.isna(at) else max(last, int(at.timestamp() * 1000))
+        if total and len(held) >= total:
+            done = True
+        if not done:
+            state.update((json.dumps(held), last))
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))  # the watermark is `idle` behind
+            return
+        whole = not state.hasTimedOut
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], t, p, v, whole) for t, p, v in held], columns=["id", "template_id", "path", "value", "complete"])
+
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", idle)
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.groupBy("id").applyInPandasWithState(
+        gather, f"id {kind}, template_id int, path string, value string, complete boolean", "held string, last bigint", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def stream_clean_items(rows: DataFrame, clean, path: str, checkpoint: str, idle: str = "10 minutes", available_now: bool = True):
+    """clean(items) of items gathered over batches, stored batch by batch."""
+    with keyed_state(rows.sparkSession):
+        return store_batches(gather_items(rows, idle), lambda batch, number: clean(batch), path, checkpoint, available_now)
+
+
 def clean_items(rows: DataFrame, mapping: DataFrame, required: list[str], rules: dict, synonyms: DataFrame) -> DataFrame:
     """(id, path, value, code) of items given as (id, template_id, path, value): paths mapped, required ones looked for,
     values cleaned, synonyms and white space made one, missing ones audited. The code is the worst of all steps', that
-    of the item's required paths included. For a stream's batches an item's rows have to arrive together."""
+    of the item's required paths included. Of a stream, items come whole out of gather_items()."""
     mapped = map_schema(rows, mapping).select("id", "path", "value")
     asked = check_required(mapped, required).select("id", F.col("code").alias("item_code"))
     out = clean_values(mapped, rules).select("id", "path", F.col("cleaned").alias("value"), F.col("code").alias("value_code"))
