@@ -26,10 +26,10 @@ def _decoded(pieces: Column) -> Column:
 
 
 def _kept(parts: Column) -> Column:
-    """The parts of a path between slashes, /./, // and /../ resolved; _DROPPED is among them if it climbs above its root."""
+    """The parts of a path between slashes, /./, // and /../ resolved; _DROPPED alone if it ever climbs above its root."""
     start = F.array().cast("array<string>")
-    up = lambda a: F.when(F.size(a) == 0, F.array(F.lit(_DROPPED), F.lit(_DROPPED))).otherwise(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))))
-    return F.aggregate(parts, start, lambda a, p: F.when(p.isin("", "."), a).when(p == "..", up(a)).otherwise(F.concat(a, F.array(p))))
+    up = lambda a: F.when(F.size(a) == 0, F.array(F.lit(_DROPPED))).otherwise(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))))
+    return F.aggregate(parts, start, lambda a, p: F.when(p.isin("", ".") | F.array_contains(a, _DROPPED), a).when(p == "..", up(a)).otherwise(F.concat(a, F.array(p))))
 
 
 def canonical_urls(df: DataFrame, column: str, name: str = "canonical") -> DataFrame:
@@ -136,8 +136,10 @@ def page_key(column: str) -> Column:
 
 
 def dedupe_pages(df: DataFrame, column: str, order: str) -> DataFrame:
-    rows = df.withColumn("page_key", page_key(column))
-    return rows.join(rows.groupBy("page_key").agg(F.min(order).alias(order)), ["page_key", order], "left_semi")
+    """The first row of each page key. `order` identifies a row, so that a page's key is worked out once, and no row moves
+    with its text but those that stay."""
+    first = df.select(page_key(column).alias("page_key"), order).groupBy("page_key").agg(F.min(order).alias(order))
+    return df.join(first, order, "inner").select(*df.columns, "page_key")
 
 
 def cap_per_group(df: DataFrame, key: str, n: int, order: str, name: str = "deferred") -> DataFrame:
@@ -210,3 +212,35 @@ def classify_fetches(headers: DataFrame) -> DataFrame:
     out = F.when(F.col("status").between(300, 399), "redirect").when(F.col("status").between(400, 499), "err40X").when(F.col("status") >= 500, "err50X")
     out = out.when(~F.lower("content_type").startswith("text/html"), "badType").when(F.col("length") > MAX_PAGE, "tooBig").when(F.col("duplicate"), "duplicate").otherwise("success")
     return headers.withColumn("outcome", out)
+
+
+def crawl_report(pages: DataFrame, rules: DataFrame, domains: list[str] | None, banned: list[str], privileged: list[str]) -> DataFrame:
+    """Of each site of a crawl (page_id, url, html): pages, canonical URLs, pages that differ, bytes and how sizes spread
+    (bucket:pages, of 4 KB, the last open); what each fetch came to (success, tooBig, duplicate: a page seen under a
+    smaller id); pages that robots forbid and privileged ones; links, those that pass the filters, and the URLs of the
+    site that one step from the pages finds and that are no pages yet."""
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "report")
+    rows = canonical_urls(url_site(pages, "url"), "url").withColumn("key", page_key("html")).withColumn("length", F.octet_length("html"))
+    rows = scratch.save(rows.select("page_id", "url", "site", "canonical", "key", "length"), "pages")
+    first = rows.groupBy("key").agg(F.min("page_id").alias("page_id")).withColumn("_first", F.lit(True))
+    allowed = apply_robots(rows.select("page_id", "url"), rules, "url").select("page_id", F.lit(True).alias("_allowed"))
+    one = rows.join(first, ["key", "page_id"], "left").join(allowed, "page_id", "left")  # by key and id: a page that many repeat is spread
+    fetched = one.withColumns({"duplicate": F.col("_first").isNull(), "status": F.lit(200), "content_type": F.lit("text/html")})
+    fetched = prioritise(classify_fetches(fetched).withColumn("waiting", F.lit(False)), privileged)
+    targets = scratch.save(resolve_links(extract_links(pages)).select("page_id", "base", "target"), "links")
+    links = targets.groupBy("page_id").agg(F.count("*").alias("links"))
+    kept = valid_urls(filter_links(targets, "target", domains, banned), "target").groupBy("page_id").agg(F.count("*").alias("kept"))
+    came = lambda what: F.count_if(F.col("outcome") == what).alias(what)
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_links" if c == "kept" else c)
+    out = fetched.join(links, "page_id", "left").join(kept, "page_id", "left").groupBy("site").agg(
+        F.count("*").alias("pages"), F.countDistinct("canonical").alias("urls"), F.countDistinct("key").alias("distinct_pages"), F.sum("length").alias("bytes"),
+        came("success"), came("tooBig"), came("duplicate"), F.count_if(F.col("_allowed").isNull()).alias("forbidden"), F.count_if(F.col("priority") == 0).alias("privileged"), zero("links"), zero("kept"),
+    )
+    bucket = F.least(F.floor(F.col("length") / F.lit(4096)), F.lit(24)).cast("int")
+    spread = rows.groupBy("site", bucket.alias("bucket")).agg(F.count("*").alias("n")).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("sizes"))  # 25 at most
+    spread = spread.withColumn("sizes", F.array_join(F.transform("sizes", lambda x: F.concat(x["bucket"], F.lit(":"), x["n"])), ","))
+    seeds = rows.where("canonical IS NOT NULL").select(F.col("canonical").alias("url"))
+    hops = canonical_urls(targets.select("base", "target"), "base").select(F.col("canonical").alias("source"), "target").distinct()
+    fresh = url_site(expand_frontier(seeds, hops, 1).where("depth = 1"), "url").groupBy("site").agg(F.count("*").alias("fresh"))
+    return out.join(spread, "site", "left").join(fresh, "site", "left").na.fill(0, ["fresh"])

@@ -130,5 +130,5 @@ SELECT o_orderkey, o_totalprice, rn::INTEGER AS rn FROM (SELECT *, row_number()
     lambda s, d: R.page_by_row_number(table(s, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 21, 40))
 register("u1_union_shards", "SELECT o_orderkey, o_custkey FROM orders")(
     lambda s, d: R.union_shards([table(s, d, "orders").where(F.col("o_orderkey") % 4 == i).select("o_orderkey", "o_custkey") for i in range(4)]))
-register("u2_union_queries", "SELECT n_regionkey AS k FROM nation UNION SELECT n_nationkey AS k FROM nation")(
-    lambda s, d: R.union_queries(table(s, d, "nation").select(F.col("n_regionkey").alias("k")), table(s, d, "nation").select(F.col("n_nationkey").alias("k"))))
+register("u2_union_queries", "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey AS k FROM customer")(
+    lambda s, d: R.union_queries(table(s, d, "orders").select(F.col("o_custkey").alias("k")), table(s, d, "customer").select(F.col("c_custkey").alias("k"))))
\ No newline at end of file

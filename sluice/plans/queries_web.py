@@ -11,14 +11,21 @@ register = Registry()
 QUERIES, SQL = register.queries, register.sql
 
 _CANON = r"CASE WHEN regexp_matches(url, '^(https?)://([^/?#:]+)(?::(\d+))?([^?#]*)(\?[^#]*)?') THEN regexp_extract(url, '^(https?)', 1) || '://' || lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) || regexp_replace(regexp_replace(CASE WHEN regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) END, '//+', '/', 'g'), '/\./', '/', 'g') || regexp_extract(url, '(\?[^#]*)', 1) END"
-_PLAIN = r"NOT regexp_matches(url, '%|\.\.|:[0-9]')"
 _SITE = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
 _HREFS = r"""SELECT page_id, url, unnest(regexp_extract_all(h, '(?i)<(?:(?:a|link)\b[^>]*?\shref|frame\b[^>]*?\ssrc)\s*=\s*["'']?([^"''\s>]+)', 1)) AS href, unnest(range(len(regexp_extract_all(h, '(?i)<(?:(?:a|link)\b[^>]*?\shref|frame\b[^>]*?\ssrc)\s*=\s*["'']?([^"''\s>]+)', 1)))) AS ordinal
 FROM (SELECT page_id, url, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages)"""
 _LINKS = f"SELECT page_id, ordinal::INTEGER AS ordinal, replace(href, chr(92), '/') AS href FROM ({_HREFS}) WHERE NOT regexp_matches(href, '[?=*]')"
 
-# The SQL of l1 and u6 knows no escapes, /../ and ports and leaves such pages out; the queries take all pages.
-register("l1_canonical_urls", f"SELECT page_id, {_CANON} AS canonical FROM pages WHERE {_PLAIN}")(
+_URL = r"(?i)^(https?)://([^/?#:]+)(?::(\d+))?([^?#]*)(\?[^#]*)?"
+#: Canonical URLs step by step, with escapes, ports and parents.
+_STEPS = rf"""u AS (SELECT page_id, lower(regexp_extract(url, '{_URL}', 1)) AS scheme, lower(regexp_extract(url, '{_URL}', 2)) AS host, regexp_extract(url, '{_URL}', 3) AS port, regexp_extract(url, '{_URL}', 4) AS path, regexp_extract(url, '{_URL}', 5) AS query FROM pages WHERE regexp_matches(url, '{_URL}')),
+parts AS (SELECT *, string_split(CASE WHEN path = '' THEN '/' ELSE path END, '/')[2:] AS p FROM u),
+kept AS (SELECT *, list_reduce(list_prepend('', p), lambda a, x: CASE WHEN a = '!' OR x IN ('', '.') THEN a WHEN x = '..' THEN CASE WHEN a = '' THEN '!' ELSE regexp_replace(a, '/[^/]*$', '') END ELSE a || '/' || x END) AS k FROM parts),
+folded AS (SELECT *, string_split(CASE WHEN k = '' THEN '/' WHEN p[-1] IN ('', '.', '..') THEN k || '/' ELSE k END, '%') AS f FROM kept WHERE k <> '!'),
+decoded AS (SELECT *, f[1] || coalesce(array_to_string(list_transform(f[2:], lambda x: CASE WHEN try_cast('0x' || x[1:2] AS INTEGER) IN (32, 37, 47) OR try_cast('0x' || x[1:2] AS INTEGER) < 32 OR try_cast('0x' || x[1:2] AS INTEGER) > 126 THEN '%' || x ELSE chr(try_cast('0x' || x[1:2] AS INTEGER)) || x[3:] END), ''), '') AS d
+  FROM folded WHERE len(list_filter(f[2:], lambda x: NOT regexp_matches(x, '^[0-9A-Fa-f]{{2}}'))) = 0),
+canonical AS (SELECT pages.page_id, scheme || '://' || host || CASE WHEN port <> '' AND port <> CASE scheme WHEN 'http' THEN '80' ELSE '443' END THEN ':' || port ELSE '' END || d || query AS canonical FROM pages LEFT JOIN decoded ON decoded.page_id = pages.page_id)"""
+register("l1_canonical_urls", f"WITH {_STEPS} SELECT page_id, canonical FROM canonical")(
     lambda s, d: W.canonical_urls(table(s, d, "pages"), "url").select("page_id", "canonical"))
 register("l2_extract_links", _LINKS)(lambda s, d: W.extract_links(table(s, d, "pages")).select("page_id", "ordinal", "href"))
 _ORIGIN = "lower(regexp_extract(url, '^(https?://[^/?#:]+)', 1))"
@@ -60,7 +67,7 @@ register("l10_classify_fetches", """SELECT page_id, CASE WHEN status BETWEEN 300
 FROM (SELECT page_id, 200 + (page_id % 5) * 100 AS status, CASE WHEN page_id % 11 = 0 THEN 'image/png' ELSE 'text/html' END AS kind, length(html) * 10 AS n, page_id % 13 = 0 AS dup FROM pages)""")(
     lambda s, d: W.classify_fetches(table(s, d, "pages").selectExpr("page_id", "200 + (page_id % 5) * 100 AS status", "CASE WHEN page_id % 11 = 0 THEN 'image/png' ELSE 'text/html' END AS content_type", "length(html) * 10 AS length", "page_id % 13 = 0 AS duplicate")).select("page_id", "outcome"))
 register("l11_url_site", f"SELECT page_id, {_SITE} AS site FROM pages")(lambda s, d: W.url_site(table(s, d, "pages"), "url").select("page_id", "site"))
-register("u6_dedupe_urls", f"SELECT min(page_id) AS page_id, c AS canonical FROM (SELECT page_id, {_CANON} AS c FROM pages WHERE {_PLAIN}) GROUP BY c")(
+register("u6_dedupe_urls", f"WITH {_STEPS} SELECT min(page_id) AS page_id, canonical FROM canonical WHERE canonical IS NOT NULL GROUP BY canonical")(
     lambda s, d: W.dedupe_urls(W.canonical_urls(table(s, d, "pages"), "url").select("page_id", "canonical"), "canonical", "page_id"))
 register("u7_dedupe_pages", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(regexp_replace(text, '[^B-y]', '', 'g'))")(
     lambda s, d: W.dedupe_pages(table(s, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id"))
@@ -74,7 +81,13 @@ def page_links(s, d):
     return W.resolve_links(W.extract_links(table(s, d, "pages"))).select(F.col("base").alias("source"), F.col("target"))
 
 
-@register("l8_expand_page_links")
+_HOST_OF = "regexp_extract({}, '^https?://([^/?#:]+)', 1)"
+
+
+@register("l8_expand_page_links", f"""WITH RECURSIVE {_STEPS}, t AS (SELECT DISTINCT canonical AS s, target AS t FROM ({_TARGETS}) JOIN canonical USING (page_id)),
+r AS (SELECT canonical AS url, 0 AS depth FROM canonical WHERE canonical IS NOT NULL AND canonical NOT IN (SELECT t FROM t WHERE s <> t)
+UNION SELECT t, CASE WHEN {_HOST_OF.format('s')} <> {_HOST_OF.format('t')} THEN 0 ELSE depth + 1 END FROM r JOIN t ON s = url WHERE depth < 5)
+SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY url""")
 def l8_pages(s, d):
     """What the pages reach over their own links, from the pages that no other page links to, five steps deep."""
     links = W.canonical_urls(page_links(s, d), "source").select(F.col("canonical").alias("source"), "target").distinct()
@@ -82,12 +95,15 @@ def l8_pages(s, d):
     return W.expand_frontier(W.unlinked(seeds, links), links, 5, reset_on_new_site=True)
 
 
-@register("b4_crawl_corpus_report", f"""WITH k AS (SELECT page_id, count(*) AS links FROM ({_TARGETS}) GROUP BY page_id)
-SELECT {_SITE} AS site, count(*)::BIGINT AS pages, count(DISTINCT {_CANON})::BIGINT AS urls, count(DISTINCT sha256(regexp_replace(html, '[^B-y]', '', 'g')))::BIGINT AS distinct_pages, coalesce(sum(links), 0)::BIGINT AS links, sum(octet_length(encode(html)))::BIGINT AS bytes
-FROM pages LEFT JOIN k ON pages.page_id = k.page_id GROUP BY 1""")
-def b4(s, d):
-    """Pages, canonical URLs, links and distinct pages of each site."""
-    pages = W.canonical_urls(W.url_site(table(s, d, "pages"), "url"), "url").withColumn("key", W.page_key("html"))
-    links = W.resolve_links(W.extract_links(table(s, d, "pages"))).groupBy("page_id").agg(F.count("*").alias("links"))
-    out = pages.join(links, "page_id", "left").groupBy("site")
-    return out.agg(F.count("*").alias("pages"), F.countDistinct("canonical").alias("urls"), F.countDistinct("key").alias("distinct_pages"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.sum(F.octet_length("html")).alias("bytes"))
+_TARGET_SITE, _TARGET_PATH = "regexp_extract(target, '^https?://([^/?#:]+)', 1)", "lower(target)"
+_KEPT = f"({_TARGET_SITE} LIKE '%.com' OR {_TARGET_SITE} LIKE '%.net') AND (regexp_matches({_TARGET_PATH}, '(\\.html?|/)$') OR NOT regexp_matches({_TARGET_PATH}, '(5|\\.gif)$')) AND length({_TARGET_SITE}) < 40 AND length(regexp_replace(target, '^https?://', '')) + 18 < 512"
+register("b4_crawl_corpus_report", f"""WITH p AS (SELECT page_id, {_SITE} AS site, {_CANON} AS canonical, sha256(regexp_replace(html, '[^B-y]', '', 'g')) AS key, octet_length(encode(html)) AS n,
+  starts_with(regexp_replace(url, '^https?://[^/?#]+', ''), {_RULE}) AS forbidden, regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '(7|\\.pdf)$') AS first FROM pages),
+t AS (SELECT * FROM ({_TARGETS})), k AS (SELECT page_id, count(*) AS links, count(*) FILTER ({_KEPT}) AS kept FROM t GROUP BY page_id),
+o AS (SELECT p.*, links, kept, CASE WHEN n > 100000 THEN 'tooBig' WHEN page_id > min(page_id) OVER (PARTITION BY key) THEN 'duplicate' ELSE 'success' END AS outcome FROM p LEFT JOIN k USING (page_id)),
+z AS (SELECT site, string_agg(b || ':' || c, ',' ORDER BY b) AS sizes FROM (SELECT site, least(n // 4096, 24)::INTEGER AS b, count(*) AS c FROM p GROUP BY 1, 2) GROUP BY site),
+f AS (SELECT {_TARGET_SITE} AS site, count(DISTINCT target)::BIGINT AS fresh FROM t WHERE target NOT IN (SELECT canonical FROM p WHERE canonical IS NOT NULL) GROUP BY 1)
+SELECT o.site, count(*)::BIGINT AS pages, count(DISTINCT canonical)::BIGINT AS urls, count(DISTINCT key)::BIGINT AS distinct_pages, sum(n)::BIGINT AS bytes, count(*) FILTER (outcome = 'success')::BIGINT AS success, count(*) FILTER (outcome = 'tooBig')::BIGINT AS tooBig,
+count(*) FILTER (outcome = 'duplicate')::BIGINT AS duplicate, count(*) FILTER (forbidden)::BIGINT AS forbidden, count(*) FILTER (first)::BIGINT AS privileged, coalesce(sum(links), 0)::BIGINT AS links, coalesce(sum(kept), 0)::BIGINT AS kept_links, any_value(sizes) AS sizes, coalesce(any_value(fresh), 0)::BIGINT AS fresh
+FROM o LEFT JOIN z ON z.site = o.site LEFT JOIN f ON f.site = o.site GROUP BY o.site""")(
+    lambda s, d: W.crawl_report(table(s, d, "pages"), W.robots_rules(robots(s, d), "sluice"), [".com", ".net"], ["5", ".gif"], ["7", ".pdf"]))
