@@ -71,7 +71,7 @@ _DICT = "dict(word, attr) AS (VALUES " + ", ".join(f"('{w}', {a})" for w, a in D
 def index(s, d):
     """Postings and idf of the documents, from one stored table of their terms."""
     docs = table(s, d, "documents")
-    found = Scratch(s, "index").save(T.document_terms(docs.select("doc_id", "text", "lang"), "doc_id", "text", "lang"), "terms")
+    found = Scratch(s, "index").save(T.document_terms(docs.select("doc_id", "text", "lang"), "doc_id", "text", "lang"), "terms", free=True)
     return T.weigh_postings(found, "doc_id"), T.corpus_idf(found.where("title"), "doc_id", docs.count(), distinct=True)
 
 
