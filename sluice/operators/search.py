@@ -212,20 +212,22 @@ def document_terms(docs: DataFrame, key: str, title: str, keyword: str) -> DataF
     """(term, key, main, title, kw, m, t): each term of a document once, where it stands (first line, text, keyword) and its
     share of the line's and the text's bytes. Stored, it serves postings and idf alike.
 
-    The first line's terms are the first of the text's, so that a text is parted once; its terms and its keyword meet in
-    one aggregate by term and document."""
+    The first line's terms are the first of the text's, so that a text is parted once, and a row's terms are told apart
+    before they leave it: nothing is shuffled but the keys, to see that each is there once. Where keys repeat, their
+    rows' terms meet in an aggregate, and the largest share counts."""
     line = F.split_part(title, F.lit("\n"), F.lit(1))
-    none = F.array().cast("array<string>")
+    once = lambda text: F.coalesce(F.array_distinct(terms(text)), F.array().cast("array<string>"))
     rows = docs.select(
-        key, F.octet_length(title).alias("_bytes"), F.octet_length(line).alias("_line"), F.size(F.coalesce(terms(line), none)).alias("_first"),
-        F.concat(F.array(F.lower(F.col(keyword))), F.coalesce(terms(F.col(title)), none)).alias("_terms"),
-    ).select(key, "_bytes", "_line", "_first", F.posexplode("_terms").alias("_pos", "term"))
-    word = F.when(F.col("_pos") > 0, F.col("_pos"))
-    share = lambda size: F.max(F.try_divide(F.octet_length("term"), F.col(size)))  # noqa: E731; a line or text may be empty
-    return rows.groupBy("term", key).agg(
-        F.coalesce(F.min(word) <= F.max("_first"), F.lit(False)).alias("main"), F.min(word).isNotNull().alias("title"), (F.min("_pos") == 0).alias("kw"),
-        share("_line").alias("m"), share("_bytes").alias("t"),
+        key, F.octet_length(title).alias("_bytes"), F.octet_length(line).alias("_line"), F.size(once(line)).alias("_first"), F.lower(F.col(keyword)).alias("_kw"), once(F.col(title)).alias("_terms"),
     )
+    listed = F.when(F.array_contains("_terms", F.col("_kw")), F.col("_terms")).otherwise(F.array_append("_terms", F.col("_kw")))
+    rows = rows.select(key, "_bytes", "_line", "_first", "_kw", F.size("_terms").alias("_n"), F.posexplode(listed).alias("_pos", "term"))
+    share = lambda place, size: F.when(F.col(place), F.try_divide(F.octet_length("term"), F.col(size)))
+    rows = rows.select("term", key, (F.col("_pos") < F.col("_first")).alias("main"), (F.col("_pos") < F.col("_n")).alias("title"), F.col("term").eqNullSafe(F.col("_kw")).alias("kw"), "_line", "_bytes")
+    rows = rows.select("term", key, "main", "title", "kw", share("main", "_line").alias("m"), share("title", "_bytes").alias("t"))
+    if docs.groupBy(key).count().where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("term", key).agg(*[F.bool_or(c).alias(c) for c in ("main", "title", "kw")], F.max("m").alias("m"), F.max("t").alias("t"))
 
 
 def weigh_postings(found: DataFrame, key: str) -> DataFrame:
