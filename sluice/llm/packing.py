@@ -5,8 +5,12 @@ is due when its share of what was served so far falls behind most. A token's tur
 T tokens is due at (j + 1/2) / T of the whole - so every window finds, on its own, where each queue stands at its
 start; the deficit carried over (under one token a queue) is part of that, across windows and across partitions.
 
-With more than MAX_QUEUES sources, or with target weights, no window holds counts of all queues: the tokens' turns are
-sorted by range instead, a row a token, and a turn's place in the order gives its window. The order is the same.
+With target weights, a token of a source of weight v is due at (j + 1/2) / v, and a source that is used up leaves its
+share to the others; where the queues stand at a window's start follows from totals and weights alone, as before.
+Weights are doubles, taken as the whole multiples of a power of two that they are, so that turns are compared exactly.
+
+With more than MAX_QUEUES sources, no window holds counts of all queues: the tokens' turns are sorted by range instead,
+a row a token, and a turn's place in the order gives its window. The order is the same.
 
 Inputs and edge cases: a null or empty text has only its end token; null sources share a queue; any number of sources
 has a queue each; a document of any length is cut at window ends; equal rows are packed one by one;
@@ -16,10 +20,12 @@ an empty table gives no rows. Only the last window can be short.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +174,70 @@ def served(start: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return given
 
 
+class Paces:
+    """Queues with target weights: when a token is due, and how many tokens each has given by then."""
+
+    def __init__(self, totals: np.ndarray, weights: list[float]):
+        ratios = [w.as_integer_ratio() for w in weights]
+        unit = max(b for _, b in ratios)  # powers of two
+        self.totals, self.weights = totals, weights
+        self.whole = [a * (unit // b) for a, b in ratios]
+        self.unit = unit
+        ends = totals / np.array(weights)
+        order = np.argsort(ends, kind="stable")
+        self.ends = ends[order]
+        self.gone = np.concatenate([[0], np.cumsum(totals[order])])  # tokens of the queues that end first
+        self.left = np.concatenate([np.cumsum(np.array(weights)[order][::-1])[::-1], [0.0]])  # weights of the others
+        self.reached = self.gone[:-1] + self.ends * self.left[:-1]  # tokens served when a queue ends, about
+
+    def about(self, q: int, place: int) -> int:
+        """About how many tokens are served before a queue's token."""
+        due = (place + 0.5) / self.weights[q]
+        i = min(int(np.searchsorted(self.ends, due)), len(self.ends) - 1)
+        return int(self.gone[i] + due * self.left[i])
+
+    def served(self, start: np.ndarray) -> np.ndarray:
+        """served(), by weights. The virtual time at which `start` tokens are due is near enough as a double: counts are
+        exact for that double, and then tokens are added or taken back in the exact order of turns."""
+        out = []
+        for n in start.tolist():
+            i = min(int(np.searchsorted(self.reached, n)), len(self.ends) - 1)
+            top, bottom = max((n - int(self.gone[i])) / float(self.left[i]), 0.0).as_integer_ratio()
+            bottom *= self.unit
+            row = [min(int(t), (2 * v * top + bottom) // (2 * bottom)) for v, t in zip(self.whole, self.totals)]
+            missing = n - sum(row)
+            step = 1 if missing > 0 else -1
+            turns = [t for q in range(len(row)) if (t := self._turn(q, row[q], step))]
+            heapq.heapify(turns)
+            for _ in range(abs(missing)):
+                q = turns[0][1] * step
+                row[q] += step
+                if again := self._turn(q, row[q], step):
+                    heapq.heapreplace(turns, again)
+                else:
+                    heapq.heappop(turns)
+            out.append(row)
+        return np.array(out, np.int64)
+
+    def _turn(self, q: int, given: int, step: int) -> tuple | None:
+        """What sorts a queue's next token, due at (2j + 1) / 2v, or with step -1 its last; the first of the latter is due last."""
+        if step > 0:
+            return (Fraction(2 * given + 1, self.whole[q]), q) if given < self.totals[q] else None
+        return (-Fraction(2 * given - 1, self.whole[q]), -q) if given else None
+
+
+def _checked_weights(weights: DataFrame, names: list[str]) -> list[float]:
+    """The weight of each queue; at most MAX_QUEUES rows come to the driver."""
+    queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    given = weights.select(queue.alias("queue"), F.col("weight").cast("double").alias("weight")).where(F.col("queue").isin(names))
+    found = {r.queue: r for r in given.groupBy("queue").agg(F.count("*").alias("n"), F.max("weight").alias("weight")).collect()}
+    if bad := [n for n in names if n not in found or not 0 < (found[n].weight or 0) < float("inf")]:
+        raise ValueError(f"sources without a weight above 0: {[n[1:] if n else None for n in bad[:3]]}")
+    if any(r.n > 1 for r in found.values()):
+        raise ValueError("a source has more than one weight")
+    return [found[n].weight for n in names]
+
+
 def _pack_sorted(rows: DataFrame, window: int, with_ids: bool, weights: DataFrame | None, scratch: Scratch) -> DataFrame:
     """pack() for any number of sources. The j-th token of a source of weight v (its number of tokens, where none is
     given) is due at (j + 1/2) / v; due times are doubles, and equal ones go by the source."""
@@ -217,11 +287,12 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
     rows = encode(docs, path).withColumn("row", F.monotonically_increasing_id())
     rows = scratch.save(rows, "ids")
     sources = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    if weights is not None or sources.count() > MAX_QUEUES:
+    if sources.count() > MAX_QUEUES:
         return _pack_sorted(rows, window, with_ids, weights, scratch)
     rows = rows.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     sums = sorted((r.queue, r.tokens) for r in rows.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect())  # MAX_QUEUES rows at most
     names, totals = [q for q, _ in sums], np.array([t for _, t in sums], np.int64)
+    paces = Paces(totals, _checked_weights(weights, names)) if weights is not None and names else None
     before = dict(zip(names, np.concatenate([[0], np.cumsum(totals)[:-1]]).tolist() if names else [], strict=True))
     placed = running_totals(rows.select("queue", "doc_id", "row", "tokens"), ["queue", "doc_id", "row"], ["tokens"], scratch)
     number = {q: i for i, q in enumerate(names)}
@@ -235,7 +306,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
                 if len(known) > 50_000:
                     known.clear()
                 more = np.arange(w, w + 64)
-                known.update(zip(more.tolist(), served(np.minimum(more * window, total), totals), strict=True))
+                starts = np.minimum(more * window, total)
+                known.update(zip(more.tolist(), paces.served(starts) if paces else served(starts, totals), strict=True))
             return known[w]
 
         for b in batches:
@@ -245,7 +317,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
                 q, ids = number[name], np.frombuffer(ids.as_buffer(), "<u2").astype("<u4")
                 place = ahead - before[name]  # of its first token in its queue
                 end = place + tokens
-                w = max(0, int((2 * place + 1) * total // (2 * int(totals[q]) * window)) - 1)
+                near = paces.about(q, place) if paces else int((2 * place + 1) * total // (2 * int(totals[q])))
+                w = max(0, near // window - 1)
                 while at(w + 1)[q] <= place:
                     w += 1
                 while at(w)[q] > place:
@@ -274,8 +347,9 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
 
     schema = _SCHEMA + ", ids binary" * with_ids
     # Documents of all queues that fall due together go to one task, so that each window is worked out about once.
-    shares = spark.createDataFrame([(q, before[q], int(t)) for q, t in sums], "queue string, ahead bigint, total bigint")
-    due = placed.join(F.broadcast(shares), "queue").select("row", "before_tokens", ((F.col("before_tokens") - F.col("ahead")) / F.col("total")).alias("due"))
+    pace = paces.weights if paces else [float(t) for t in totals]
+    shares = spark.createDataFrame([(q, before[q], v) for q, v in zip(names, pace)], "queue string, ahead bigint, pace double")
+    due = placed.join(F.broadcast(shares), "queue").select("row", "before_tokens", ((F.col("before_tokens") - F.col("ahead")) / F.col("pace")).alias("due"))
     joined = rows.select("row", "doc_id", "source", "queue", "tokens", "ids").join(due, "row")
     return joined.repartitionByRange(partitions(spark), "due").drop("row", "due").mapInArrow(run, schema)
 

@@ -1,6 +1,7 @@
 """Packing with many sources, and with target weights."""
 
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -15,12 +16,12 @@ def corpus(spark, sources):
 
 
 def brute(docs, window, weights=None):
-    """Pieces (doc_id, start, length, sequence_id, offset) by a sort of all tokens by due time."""
+    """Pieces (doc_id, start, length, sequence_id, offset) by a sort of all tokens by due time, in fractions."""
     queues = defaultdict(list)
     for r in sorted(packing.encode(docs, packing.vocabulary_path()).select("doc_id", "source", "tokens").collect()):
         queues["" if r.source is None else "=" + r.source] += [(r.doc_id, k) for k in range(r.tokens)]
     names = sorted(queues)
-    turns = sorted(((j + 0.5) / (weights[n] if weights else len(queues[n])), q, j) for q, n in enumerate(names) for j in range(len(queues[n])))
+    turns = sorted((Fraction(2 * j + 1) / Fraction(weights[n] if weights else len(queues[n])), q, j) for q, n in enumerate(names) for j in range(len(queues[n])))
     out = set()
     for w in range(-(-len(turns) // window)):
         at = 0
@@ -63,3 +64,34 @@ def test_target_weights(spark):
     assert abs(first["a"] - 3 * first["b"]) <= 4 and abs(first["b"] - 2 * first["c"]) <= 3
     with pytest.raises(ValueError, match="weight"):
         packing.pack(docs, weights=weights.limit(1))
+    with pytest.raises(ValueError, match="more than one"):
+        packing.pack(docs, weights=weights.union(weights))
+    assert packing.pack(docs.limit(0), weights=weights).count() == 0
+
+
+def test_weights_sort_no_tokens(spark, monkeypatch):
+    def unwanted(*a):
+        raise AssertionError("a row a token")
+
+    monkeypatch.setattr(packing, "_pack_sorted", unwanted)
+    rng = np.random.default_rng(3)
+    docs = corpus(spark, [None if i % 9 == 0 else f"s{int(rng.integers(0, 12))}" for i in range(150)])
+    names = ["", *(f"=s{i}" for i in range(12))]
+    values = [0.1, 1 / 3, 1e-3, 2.0, 2.0, 7.25, 1e4, 0.3, 0.1, 5.0, 1.0, 1.0, 0.7]
+    weights = spark.createDataFrame([(n[1:] if n else None, v) for n, v in zip(names, values)], "source string, weight double")
+    got = packing.pack(docs, window=32, weights=weights).collect()
+    assert {(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in got} == brute(docs, 32, dict(zip(names, values)))
+
+
+@pytest.mark.parametrize("scale", [1, 10**9, 3 * 10**13])
+def test_turns_by_weight_are_exact_at_any_size(scale):
+    """Counts at a window's start are those of the exact order: no token left is due before one that was given."""
+    totals, weights = np.array([7, 5, 11, 1]) * scale, [0.1, 0.3, 2.0, 0.1]
+    total = int(totals.sum())
+    paces = packing.Paces(totals, weights)
+    starts = [0, 1, total // 7, total // 2, total // 2 + 1, total - 3, total]
+    for n, row in zip(starts, paces.served(np.array(starts)).tolist()):
+        assert sum(row) == n and all(0 <= g <= t for g, t in zip(row, totals))
+        turn = lambda q, j: (Fraction(2 * j + 1) / Fraction(weights[q]), q)
+        last = max((turn(q, g - 1) for q, g in enumerate(row) if g), default=(0, 0))
+        assert all(turn(q, g) > last for q, g in enumerate(row) if g < totals[q])
