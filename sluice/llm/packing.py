@@ -10,7 +10,8 @@ share to the others; where the queues stand at a window's start follows from tot
 Weights are doubles, taken as the whole multiples of a power of two that they are, so that turns are compared exactly.
 
 With more than MAX_QUEUES sources, no window holds counts of all queues: the tokens' turns are sorted by range instead,
-a row a token, and a turn's place in the order gives its window. The order is the same.
+a row a token, and a turn's place in the order gives its window. The order is the same but for due times that differ
+and round to one double.
 
 Inputs and edge cases: a null or empty text has only its end token; null sources share a queue; any number of sources
 has a queue each; a document of any length is cut at window ends; equal rows are packed one by one;
