@@ -98,3 +98,17 @@ def test_tables_have_a_bound(spark, monkeypatch):
     with pytest.raises(ValueError, match="characters"):
         M.match_templates(queries, [(i, "x", "a") for i in range(10)], {}, [])
     assert T.has_word(spark.createDataFrame([(1, "a1"), (2, "b")], "k int, term string"), "k", "[0-9]").where(F.col("has_word")).count() == 1
+
+
+def test_index_of_repeated_keys(spark):
+    """Rows that share a key are one document: of each term the largest weights count, whichever row has them."""
+    rows = [(1, "red\nblue sky", "Red"), (1, "a long line with blue\nred", None), (2, "red", "red"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, brand string")
+    one = T.build_index(docs.where("doc_id <> 1").unionByName(docs.where("brand = 'Red'")), "doc_id", "text", "brand")
+    two = T.build_index(docs.where("doc_id = 1 AND brand IS NULL"), "doc_id", "text", "brand")
+    expected = {}
+    for r in one.collect() + two.collect():
+        old = expected.get((r.term, r.doc_id), [0.0] * 3)
+        expected[r.term, r.doc_id] = [max(x) for x in zip(old, (r.w_main, r.w_title, r.w_kw))]
+    got = T.build_index(docs, "doc_id", "text", "brand").collect()
+    assert {(r.term, r.doc_id): [r.w_main, r.w_title, r.w_kw] for r in got} == expected and len(got) == len(expected)
