@@ -25,12 +25,12 @@ import heapq
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,8 +44,11 @@ END = 2
 MAX_QUEUES = 256
 _PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
 _SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
-#: Distinct words whose ids a worker remembers, also for the tasks to come (about 50 MB).
-_MEMORY = 1 << 17
+#: Distinct pieces of words whose ids a worker remembers, also for the tasks to come (about 50 MB); those of the batch
+#: at hand are held even if they are more.
+_MEMORY = 1 << 18
+#: Bytes of texts that are encoded together, or one larger text.
+_TOGETHER = 1 << 24
 
 
 def vocabulary_path() -> str:
@@ -54,55 +57,70 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class PieceIds(dict):
-    """Ids of the vocabulary's own pieces (letters of a word, a digit, a run of signs), remembered."""
+class WordIds:
+    """Ids of texts. The vocabulary's rules never look beyond white space, so that the ids of a text are those of its
+    words, one after another, and each distinct word of a batch of texts is encoded once.
 
-    def __init__(self, tokenize):
-        super().__init__()
-        self.tokenize = tokenize
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _MEMORY:
-            self.clear()
-        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        ids = self[piece] = array("H", [t.id for t in self.tokenize(spelled)]).tobytes()
-        return ids
-
-
-class WordIds(dict):
-    """Ids of white-space separated words, remembered. The vocabulary's rules never look beyond white space, so that
-    the ids of a text are those of its words, one after another.
-
-    A word of printable Latin characters is put in lower case and parted here, as the vocabulary's file says, and its
-    pieces go to the vocabulary's model; any other word takes the whole way through the tokenizer.
+    Words of printable Latin characters are put in lower case and parted here, as the vocabulary's file says, and each
+    of their distinct pieces (letters of a word, a digit, a run of signs) goes to the vocabulary's model; any other word
+    takes the whole way through the tokenizer. Pieces are remembered for the batches to come.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.size, self.pieces = tokenizer.encode, tokenizer.get_vocab_size(), PieceIds(tokenizer.model.tokenize)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _MEMORY:
-            self.clear()
-        low = word.lower()
-        if _PLAIN.fullmatch(word) and "<|" not in word:
-            if low.isalpha():
-                ids = self.pieces[low]
-            else:
-                ids = b"".join(map(self.pieces.__getitem__, (_ASCII_PIECE if low.isascii() else _PIECE).findall(low)))
-        else:
-            ids = array("H", self.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
+        self.encode, self.size, self.tokenize = tokenizer.encode, tokenizer.get_vocab_size(), tokenizer.model.tokenize
+        self.pieces: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian 16-bit ids of a text and the end token."""
+        return self.of_texts(pa.array([text], pa.string()))[0].as_py()
+
+    def of_texts(self, texts: pa.Array) -> pa.Array:
+        """ids() of each text."""
         # Only white space that all Unicode tables agree on parts words here; the tokenizer itself sees to the rest.
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join([*map(self.__getitem__, words), _END])
+        ids = _joined(pc.ascii_split_whitespace(texts), self._of_words)
+        return pc.binary_join_element_wise(ids, _END, b"")
+
+    def _of_words(self, distinct: pa.Array) -> pa.Array:
+        text, others = _lines(distinct), []
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            words = text.split("\n")
+            others = [i for i, w in enumerate(words) if not _PLAIN.fullmatch(w) or "<|" in w]
+            whole = [array("H", self.encode(words[i], add_special_tokens=False).ids).tobytes() for i in others]
+            for i in others:
+                words[i] = ""
+            text = "\n".join(words)
+        parted = pc.split_pattern(pa.array([_NO_LETTERS.sub(r" \g<0> ", text.lower())], pa.string()), "\n").flatten()
+        ids = _joined(pc.ascii_split_whitespace(parted), self._of_pieces)
+        if others:
+            mask = np.zeros(len(distinct), bool)
+            mask[others] = True
+            ids = pc.replace_with_mask(ids, pa.array(mask), pa.array(whole, pa.binary()))
+        return ids
+
+    def _of_pieces(self, distinct: pa.Array) -> pa.Array:
+        pieces = _lines(distinct).split("\n")
+        new = [p for p in pieces if p not in self.pieces]
+        spelled = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in new]
+        found = dict(zip(new, [array("H", [t.id for t in self.tokenize(p)]).tobytes() if p else b"" for p in spelled], strict=True))
+        if len(self.pieces) + len(new) > _MEMORY:
+            self.pieces = {p: ids for p in pieces if (ids := self.pieces.get(p)) is not None}
+        self.pieces |= found
+        return pa.array(map(self.pieces.__getitem__, pieces), pa.binary(), size=len(pieces))
+
+
+def _lines(words: pa.Array) -> str:
+    """Words without line ends, one a line."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
+
+
+def _joined(lists: pa.ListArray, ids_of: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """The ids of each list of strings, from those of the distinct strings."""
+    coded = lists.flatten().dictionary_encode()
+    ids = ids_of(coded.dictionary) if len(coded) else pa.array([], pa.binary())
+    return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, ids.take(coded.indices)), b"")
 
 
 @functools.lru_cache(1)
@@ -112,11 +130,12 @@ def word_ids(path: str) -> WordIds:
 
 
 _END = np.array([END], "<u2").tobytes()
-#: The vocabulary file's pattern of pieces, and the letters by which byte-level vocabularies spell bytes:
-#: printable bytes as themselves, the others by the letters from U+0100 on.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u0240]*")
+#: The vocabulary file's pattern of pieces, but for runs of letters, as it is for plain words in lower
+#: case; and the letters by which byte-level vocabularies spell bytes: printable bytes as themselves, the others by the
+#: letters from U+0100 on.
+_LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u02af\u2c65\u2c66", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_NO_LETTERS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_PLAIN = re.compile("[\n!-~\u00a1-\u00ac\u00ae-\u0240]*")
 _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_OTHERS)}
 
@@ -129,12 +148,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         if words.size > 1 << 16:
             raise ValueError(f"{path} has {words.size} ids; 16 bits hold 65,536")
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids = [words.ids(t or "") for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["source"], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "tokens", "ids"]
-                )
+            texts = pc.fill_null(b["text"], "")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+            at = 0
+            while at < b.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TOGETHER, "right")))
+                part, ids = b.slice(at, upto - at), words.of_texts(texts.slice(at, upto - at))
+                tokens = pc.divide(pc.binary_length(ids), 2).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["source"], tokens, ids], ["doc_id", "source", "tokens", "ids"])
+                at = upto
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
     return docs.mapInArrow(run, "doc_id bigint, source string, tokens bigint, ids binary")
