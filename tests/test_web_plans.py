@@ -13,3 +13,15 @@ def test_links_are_resolved_once(spark):
     found = W.resolve_links(links)
     assert [(r.i, r.target) for r in found.orderBy("i").collect()] == [(1, "http://a.b/z"), (3, "https://c.d/A")]
     assert repeated(found) <= 12
+
+
+def test_a_step_writes_a_file_a_bucket(spark):
+    links = spark.createDataFrame([(f"s{i}", f"t{i}") for i in range(400)], "source string, target string")
+    seeds = spark.createDataFrame([(f"s{i}",) for i in range(400)], "url string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = W.expand_frontier(seeds, links, 1, buckets=8)
+        assert {(r.url, r.depth) for r in out.collect()} == {(f"{x}{i}", d) for x, d in (("s", 0), ("t", 1)) for i in range(400)}
+        assert len(out.inputFiles()) <= 16  # of two steps
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
