@@ -25,3 +25,10 @@ def test_a_step_writes_a_file_a_bucket(spark):
         assert len(out.inputFiles()) <= 16  # of two steps
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_filter_of_canonical_urls_repeats_little(spark):
+    urls = spark.createDataFrame([("http://A.b/x//y/../%41?q#f",), ("ftp://a.b/",), (None,)], "url string")
+    found = W.canonical_urls(urls, "url").where("canonical IS NOT NULL").select("canonical")
+    assert [r.canonical for r in found.collect()] == ["http://a.b/x/A?q"]
+    assert repeated(found) <= 12
