@@ -156,6 +156,7 @@ register("r7_session_state", "SELECT user_id AS \"user\", event_type AS tab, 'k'
 @register("r7_stream_session_state", SQL["r7_session_state"])
 def r7_stream(s, d):
     rows, root = replay(s, updates(s, d), "ts")
-    R.store_batches(R.stream_session_state(rows), lambda batch, number: batch, f"{root}/state", f"{root}/checkpoint", mode="update").awaitTermination()
+    with R.keyed_state(s):
+        R.store_batches(R.stream_session_state(rows), lambda batch, number: batch, f"{root}/state", f"{root}/checkpoint", mode="update").awaitTermination()
     latest = s.read.parquet(f"{root}/state").groupBy("user", "tab", "key").agg(F.max_by("value", "batch").alias("value"))
     return latest.withColumn("value", F.col("value").cast("double"))

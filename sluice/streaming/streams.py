@@ -256,15 +256,6 @@ def session_state(updates: DataFrame) -> DataFrame:
 
 
 def stream_session_state(updates: DataFrame) -> DataFrame:
-    """The same on a stream: a row whenever a key's latest value changes."""
-
-    def keep(keys, batches, state: GroupState):
-        best = state.get if state.exists else None
-        for b in batches:
-            for ts, value in zip(b["ts"], b["value"]):
-                now = (int(pd.Timestamp(ts).value // 1000), value)
-                best = now if best is None or now > best else best
-        state.update(best)
-        yield pd.DataFrame([(*keys, best[1])], columns=["user", "tab", "key", "value"])
-
-    return updates.groupBy("user", "tab", "key").applyInPandasWithState(keep, "user long, tab string, key string, value string", "ts long, value string", "update", GroupStateTimeout.NoTimeout)
+    """The same on a stream, in update mode: a row for each key of a batch, with its latest value so far. The state is an
+    aggregate's, one row a key; under keyed_state() it lies on the executors' disks."""
+    return session_state(updates)
