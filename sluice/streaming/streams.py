@@ -35,11 +35,15 @@ def run(df: DataFrame, out: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{out}/rows")
 
 
-def store_batches(rows: DataFrame, build, path: str, checkpoint: str, available_now: bool = True, mode: str = "append"):
-    """build(batch, number) of every batch, under a folder of its number, so that a batch that runs twice counts once."""
+def store_batches(rows: DataFrame, build, path: str, checkpoint: str, available_now: bool = True, mode: str = "append", again: bool = False):
+    """build(batch, number) of every batch, under a folder of its number, so that a batch that runs twice counts once.
+    again: it reads the batch more than once; else the stream's own work would run as often."""
 
     def store(batch: DataFrame, number: int) -> None:
+        batch = batch.persist() if again else batch
         build(batch, number).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if again:
+            batch.unpersist()
 
     writer = rows.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
@@ -190,44 +194,53 @@ def stream_clean(rows: DataFrame, rules: dict, columns: list[str]) -> DataFrame:
     return audit_missing(clean_values(rows, rules).withColumnRenamed("code", "value_code"), columns)
 
 
-def gather_items(rows: DataFrame, idle: str = "10 minutes") -> DataFrame:
+def gather_items(rows: DataFrame, idle: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """(id, template_id, path, value, complete): an item's rows (id, template_id, path, value, total, ts) over all batches,
     together as soon as there are `total` of them; or, by a timer, once event time is `idle` past the last of them, and
     then with complete false. Without a total it waits for the timer. A row that comes
-    later begins the item anew, or, `idle` behind all rows' time, is dropped. An item's rows are held in one task."""
+    later begins the item anew, or, `idle` behind all rows' time, is dropped.
+
+    Items are dealt into hash buckets, of which a batch reads and writes those that it brings rows for: a Python call
+    serves a bucket's items, not one. What a bucket holds is in one task's memory."""
 
     def gather(key, batches, state: GroupState):
-        held, last = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        total, done = 0, state.hasTimedOut
-        for b in batches:
-            if b.empty:
-                continue  # a group whose time is up comes without rows
-            plain = b[["template_id", "path", "value"]].astype(object).where(b[["template_id", "path", "value"]].notna(), None)
-            held += [[t if t is None else int(t), p, v] for t, p, v in plain.itertuples(index=False)]
-            most, at = b["total"].max(), b["ts"].max()
-            total, last = 0 if pd.isna(most) else int(most), last if pd.isna(at) else max(last, int(at.timestamp() * 1000))
-        if total and len(held) >= total:
-            done = True
-        if not done:
-            state.update((json.dumps(held), last))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))  # the watermark is `idle` behind
-            return
-        whole = not state.hasTimedOut
-        if state.exists:
+        now = state.getCurrentWatermarkMs()
+        items = {i: (rows, last, due) for i, rows, last, due in json.loads(state.get[0])} if state.exists else {}
+        fresh: dict[str | None, tuple[list, int, int]] = {}
+        for b in batches:  # one without rows, where a bucket's time is up
+            columns = b[["_id", "template_id", "path", "value", "total", "_at"]].astype(object).where(b[["_id", "template_id", "path", "value", "total", "_at"]].notna(), None)
+            for i, t, p, v, total, at in columns.itertuples(index=False, name=None):
+                if i not in fresh:
+                    fresh[i] = [*items.pop(i, ([], 0, 0))[:2], 0]
+                item = fresh[i]
+                item[0].append([t if t is None else int(t), p, v])
+                item[1], item[2] = max(item[1], int(at or 0)), max(item[2], int(total or 0))
+        done = [(i, *r, True) for i, (held, _, total) in fresh.items() if total and len(held) >= total for r in held]
+        done += [(i, *r, False) for i, (held, _, due) in items.items() if due < now for r in held]
+        left = [(i, held, last, due) for i, (held, last, due) in items.items() if due >= now]
+        left += [(i, held, last, max(last, now + 1)) for i, (held, last, total) in fresh.items() if not (total and len(held) >= total)]
+        if left:
+            state.update((json.dumps(left),))
+            state.setTimeoutTimestamp(max(min(due for *_, due in left), now + 1))  # the watermark is `idle` behind
+        elif state.exists:
             state.remove()
-        yield pd.DataFrame([(key[0], t, p, v, whole) for t, p, v in held], columns=["id", "template_id", "path", "value", "complete"])
+        if done:
+            yield pd.DataFrame(done, columns=["_id", "template_id", "path", "value", "complete"])
 
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", idle)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.groupBy("id").applyInPandasWithState(
-        gather, f"id {kind}, template_id int, path string, value string, complete boolean", "held string, last bigint", "append", GroupStateTimeout.EventTimeTimeout
+    text, back = (F.hex("id"), F.unhex("_id")) if kind == "binary" else (F.col("id").cast("string"), F.col("_id").cast(kind))  # whole numbers stay whole beside null
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", idle)
+    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("_bucket"), text.alias("_id"), "template_id", "path", "value", "total", "ts", F.unix_millis("ts").alias("_at"))
+    out = rows.groupBy("_bucket").applyInPandasWithState(
+        gather, "_id string, template_id int, path string, value string, complete boolean", "held string", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return out.select(back.alias("id"), "template_id", "path", "value", "complete")
 
 
 def stream_clean_items(rows: DataFrame, clean, path: str, checkpoint: str, idle: str = "10 minutes", available_now: bool = True):
     """clean(items) of items gathered over batches, stored batch by batch."""
     with keyed_state(rows.sparkSession):
-        return store_batches(gather_items(rows, idle), lambda batch, number: clean(batch), path, checkpoint, available_now)
+        return store_batches(gather_items(rows, idle), lambda batch, number: clean(batch), path, checkpoint, available_now, again=True)
 
 
 def clean_items(rows: DataFrame, mapping: DataFrame, required: list[str], rules: dict, synonyms: DataFrame) -> DataFrame:

@@ -31,3 +31,19 @@ def test_session_state_is_an_aggregate(spark):
         streams.store_batches(state, lambda batch, number: batch, f"{root}/state", f"{root}/checkpoint", mode="update").awaitTermination()
     got = spark.read.parquet(f"{root}/state").groupBy("user", "tab", "key").agg(F.max_by("value", "batch").alias("value")).collect()
     assert {(r.user, r.tab, r.key): r.value for r in got} == {(1, "t", "k"): "c", (2, "t", "k"): "a"}
+
+
+def test_items_of_a_bucket_keep_apart(spark):
+    """Large numbers, null ids and times of their own in one bucket; a call of the function serves many items."""
+    big = (1 << 53) + 1
+    rows = [(big + i, 1, "/a/", f"v{i}", 2, 0, 0) for i in range(40)] + [(None, 1, "/n/", "n", 2, 0, 0), (7, 1, "/late/", None, 3, 0, 0)]
+    rows += [(big + i, 1, "/b/", f"w{i}", 2, 60, 1) for i in range(20)] + [(None, None, "/n/", "m", 2, 60, 1), (8, 1, "/x/", "x", 1, 9000, 2), (9, 1, "/y/", "y", 2, 9000, 3)]
+    df = spark.createDataFrame(rows, "id bigint, template_id int, path string, value string, total int, at int, n int").withColumn("ts", F.timestamp_seconds(F.col("at") + 10))
+    stream, root = replay(spark, df, "n", 4)
+    items = streams.gather_items(stream.drop("n", "at"), "30 minutes", buckets=1)
+    assert items.schema["id"].dataType.simpleString() == "bigint"
+    with streams.keyed_state(spark):
+        got = streams.run(items, root).collect()
+    want = [(big + i, 1, f"/{p}/", f"{v}{i}", True) for i in range(20) for p, v in (("a", "v"), ("b", "w"))] + [(big + i, 1, "/a/", f"v{i}", False) for i in range(20, 40)]
+    want += [(None, 1, "/n/", "n", True), (None, None, "/n/", "m", True), (7, 1, "/late/", None, False), (8, 1, "/x/", "x", True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
