@@ -40,3 +40,13 @@ def test_pages_over_passes(case, spark):
     scored = T.rank_results(T.score(T.retrieve(*case, "id"), "id"), "id", 0, 3, "score")
     got = T.search(terms, case[1], "id", size=3)
     assert rows(got, "query_id", "id", F.col("weight"), "rank", "total") == rows(scored, "query_id", "id", F.col("score"), "rank", "total")
+
+
+def test_queries_without_a_chance_are_left_out(case):
+    """99 lacks a mandatory term; what the others find stays as it is."""
+    known = case[1].select("term").distinct()
+    sent = {r.query_id: {t.term for t in r.terms} for r in T._blocked(case[0], case[1], "id", T.Scoring(), known=known)[0].collect()}
+    assert 99 not in sent and 98 in sent and all("none" not in x for x in sent.values())
+    terms = case[0].select("query_id", "pos", "term", "attr", "idf", "query_bytes")
+    found = [rows(T.search(terms, case[1], "id", size=3, known=k), "query_id", "id", "weight", "rank", "total") for k in (None, known)]
+    assert found[0] == found[1]
