@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators import search as T
 from sluice.operators import topk as K
+from sluice.plans import catalog
 
 
 @pytest.fixture
@@ -50,3 +51,9 @@ def test_queries_without_a_chance_are_left_out(case):
     terms = case[0].select("query_id", "pos", "term", "attr", "idf", "query_bytes")
     found = [rows(T.search(terms, case[1], "id", size=3, known=k), "query_id", "id", "weight", "rank", "total") for k in (None, known)]
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("name", ["u5_intersect_terms"])
+def test_matches_are_not_shuffled(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[0]
