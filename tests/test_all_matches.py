@@ -53,7 +53,7 @@ def test_queries_without_a_chance_are_left_out(case):
     assert found[0] == found[1]
 
 
-@pytest.mark.parametrize("name", ["u5_intersect_terms", "t7_retrieve", "t8_score"])
+@pytest.mark.parametrize("name", ["u5_intersect_terms", "t7_retrieve", "t8_score", "t11_explain_scores"])
 def test_matches_are_not_shuffled(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[0]
